@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from postlens.llm import quality
+from postlens.llm import chat, quality, sharding, warc
 
 QUERIES = {
+    "op3_ring_sharding": sharding.query,
+    "op4_reply_trees": chat.query,
+    "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
 }
 
 ORACLES = {
+    "op4_reply_trees": chat.SQL,
+    "op8_warc_revisits": warc.SQL,
     "op9_host_quality": quality.SQL,
 }
