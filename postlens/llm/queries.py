@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, quality, sharding, warc
+from postlens.llm import chat, decontaminate, quality, sharding, warc
 
 QUERIES = {
     "op3_ring_sharding": sharding.query,
     "op4_reply_trees": chat.query,
+    "op6_decontamination": decontaminate.query,
     "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
 }
 
 ORACLES = {
     "op4_reply_trees": chat.SQL,
+    "op6_decontamination": decontaminate.SQL,
     "op8_warc_revisits": warc.SQL,
     "op9_host_quality": quality.SQL,
 }
