@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, quality, sharding, warc
+from postlens.llm import chat, decontaminate, quality, sentencepiece, sharding, warc
 
 QUERIES = {
+    "op2_prefix_tokens": sentencepiece.query,
     "op3_ring_sharding": sharding.query,
     "op4_reply_trees": chat.query,
     "op6_decontamination": decontaminate.query,
