@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, quality, sentencepiece, sharding, warc
+from postlens.llm import chat, decontaminate, quality, repeats, sentencepiece, sharding, warc
 
 QUERIES = {
     "op2_prefix_tokens": sentencepiece.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.query,
     "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
+    "op10_repeated_text": repeats.query,
 }
 
 ORACLES = {
