@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, quality, repeats, sentencepiece, sharding, warc
+from postlens.llm import chat, decontaminate, jaccard, quality, repeats, sentencepiece, sharding, warc
 
 QUERIES = {
     "op2_prefix_tokens": sentencepiece.query,
     "op3_ring_sharding": sharding.query,
     "op4_reply_trees": chat.query,
+    "op5_jaccard_join": jaccard.query,
     "op6_decontamination": decontaminate.query,
     "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_reply_trees": chat.SQL,
+    "op5_jaccard_join": jaccard.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op8_warc_revisits": warc.SQL,
     "op9_host_quality": quality.SQL,
