@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, jaccard, quality, repeats, sentencepiece, sharding, warc
+from postlens.llm import chat, decontaminate, jaccard, quality, repeats, sentencepiece, sharding, toxicity, warc
 
 QUERIES = {
     "op2_prefix_tokens": sentencepiece.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_reply_trees": chat.query,
     "op5_jaccard_join": jaccard.query,
     "op6_decontamination": decontaminate.query,
+    "op7_toxicity": toxicity.query,
     "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
     "op10_repeated_text": repeats.query,
