@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, jaccard, quality, repeats, sentencepiece, sharding, toxicity, warc
+from postlens.llm import chat, decontaminate, jaccard, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_pii_spans": pii.query,
     "op2_prefix_tokens": sentencepiece.query,
     "op3_ring_sharding": sharding.query,
     "op4_reply_trees": chat.query,
