@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,6 +204,36 @@ def decontaminate(
     return rows.drop("text")
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no window of a test item occurs."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+
+    def step(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, clean, part, size = batch.column(at).to_pylist(), [], [], 0
+                for text in [*texts, None]:
+                    part.append(text)
+                    size += len(text or "")
+                    if size > SLICE_BYTES or len(clean) + len(part) == len(texts) + 1:
+                        clean += [not s for s in _match(part, shared.value, 0)[1]]
+                        part, size = [], 0
+                yield batch.filter(pa.array(clean[: len(texts)], pa.bool_()))
+
+        return run
+
+    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(step(sc.broadcast(Windows(items))), docs.schema)
+    return docs
+
+
 def query(spark, sf_dir):
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("long"))

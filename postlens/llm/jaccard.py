@@ -295,7 +295,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, frequent: int = 65_536
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, uid (a hash of id and text).
 
     Two rows link if 100 * common >= percent * (shingles of both); component_id is the
     smallest doc_id that links lead to. Null and wordless texts have no shingles and stay
@@ -374,15 +374,38 @@ def jaccard_join(
     comp = components(links.unionAll(more))
 
     ids = profiles.filter("n > 0").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
-    ids = ids.select("doc_id", "n", F.coalesce("comp", "sid").alias("comp"))
+    ids = ids.select("uid", "doc_id", "n", F.coalesce("comp", "sid").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = ids.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = profiles.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = ids.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid", "comp")
+    alone = profiles.filter("n = 0")
+    alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "uid", F.lit(None).cast("long").alias("comp"))
     return out.unionAll(alone)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """docs, all columns as they are, with one row of each component: that of the smallest id, nulls last.
+
+    Rows without words stay. Of rows alike in id and text one stays, whether they have words or not.
+    """
+    found = materialize(jaccard_join(docs, id_col, text_col, **options).select("uid", "doc_id", "comp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("f")
+    first = found.filter("comp is not null").groupBy("comp").agg(first).select("comp", F.col("f.uid").alias("first"))
+    gone = found.join(first, "comp").filter("uid <> first").select("uid").distinct()
+    gone = materialize(gone)
+    twice = not found.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    if gone.count() <= broadcast_rows:  # else the texts are shuffled by uid
+        gone = F.broadcast(gone)
+    # The key is made beside the columns of docs, whatever their names.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("uid"))
+    rows = rows.join(gone, "uid", "left_anti")
+    if twice:
+        rows = rows.dropDuplicates(["uid"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir):
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

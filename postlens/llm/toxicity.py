@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -335,5 +336,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under 0.5; nothing is shuffled for it."""
+    sc, model = docs.sparkSession.sparkContext, character_model(docs, text_col)
+    scorer = _score(sc.broadcast(model), sc.broadcast(learn(docs, labels, model, id_col, text_col, **options)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                kept.append(batch)
+                yield pd.DataFrame({"text": batch.column(at).to_pylist()})
+
+        for scored in scorer(texts()):
+            yield kept.pop().filter(pa.array(scored["score"].to_numpy() < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
