@@ -48,28 +48,29 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     cycle have no root and are left out. (tree_id, node_id) is a key.
     """
     small = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    jump = materialize(
-        small.select("tree_id", "node_id", F.col("parent_id").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    )
     leaves = small.alias("a").join(
         small.alias("b"),
         F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.node_id") == F.col("b.parent_id")),
         "left_anti",
     )
+    columns = ["tree_id", "node_id", "up", "score", "depth"]
+    start = small.select("tree_id", "node_id", F.col("parent_id").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
+    rooted, active = start.filter("up is null"), start.filter("up is not null")
     levels, left = [], -1
-    while (now := jump.filter("up is not null").count()) and now != left:
+    # Only messages that have not met their root yet take part in the next round.
+    while (now := active.count()) and now != left:
         left = now
-        levels.append(jump)
-        a, b = jump.alias("a"), jump.alias("b")
+        levels.append(active)
+        a, b = active.alias("a"), rooted.unionByName(active).alias("b")
         joined = a.join(b, F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.up") == F.col("b.node_id")), "left")
-        jump = materialize(
+        after = materialize(
             joined.select(
                 "a.tree_id", "a.node_id", F.col("b.up").alias("up"),
                 (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
                 (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
             )
         )
-    rooted = jump.filter("up is null")
+        rooted, active = rooted.unionByName(after.filter("up is null").select(columns)), after.filter("up is not null")
     best = Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("depth"), "node_id")
     ends = rooted.alias("r").join(
         leaves.alias("l"),
@@ -79,7 +80,7 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ends = ends.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches)
     on = ends.select("tree_id", "branch", "node_id")
     for level in reversed(levels):
-        s, up = on.alias("s"), level.filter("up is not null").alias("u")
+        s, up = on.alias("s"), level.alias("u")
         more = s.join(up, F.col("s.tree_id").eqNullSafe(F.col("u.tree_id")) & (F.col("s.node_id") == F.col("u.node_id")))
         on = on.unionAll(more.select("s.tree_id", "s.branch", F.col("u.up").alias("node_id")))
         on = materialize(on)
