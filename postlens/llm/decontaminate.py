@@ -26,7 +26,7 @@ WINDOW = 10
 WORD_BYTES = bytes(
     c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-STATE = "doc_id {id}, text string, n_words long, spans array<int>, items array<string>, near array<string>"
+STATE = "doc_id string, text string, n_words long, spans array<int>, items array<string>, near array<string>"
 SLICE_BYTES = 8 << 20
 
 
@@ -195,13 +195,13 @@ def decontaminate(
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit([]).cast("array<int>").alias("spans"), F.lit([]).cast("array<string>").alias("items"), F.lit([]).cast("array<string>").alias("near"),
     )
     parts = [sc.broadcast(Windows(x)) for x in blocks(benchmark, item_col, item_text_col, block_bytes)]
     for k, shared in enumerate(parts):
-        rows = rows.mapInPandas(_step(shared, misses, k == len(parts) - 1), STATE.format(id=kind))
-    return rows.drop("text")
+        rows = rows.mapInPandas(_step(shared, misses, k == len(parts) - 1), STATE)
+    return rows.drop("text").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def drop_contaminated(

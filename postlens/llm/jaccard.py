@@ -17,11 +17,12 @@ Equal sets are one set throughout. No pairs within a group of copies are made.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ from pyspark.sql.window import Window
 
 from postlens.llm.scratch import materialize
 
-MOST_WORDS, MOST_SEEN = 400_000, 1_000_000
+MOST_SEEN = 1_000_000
+SLICE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 BLOCK = 64
 #: A list of this many sets or more is processed by pairs of parts rather than whole.
 PART = 2_000
@@ -46,27 +50,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> u64(33))
 
 
-class Words(dict):
-    """64-bit hashes of words; keeps the last MOST_WORDS."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(data: bytes, words: Words, size: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted hashes; fewer words than size make one shingle."""
-    parts = data.lower().split()
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, u64(n), np.uint64)
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, u64(b), np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Place and 64-bit hash of each word, from sums of weighted bytes up to its ends."""
+    text = np.frombuffer(b" " + data.lower() + b" ", np.uint8)
+    up, down = powers(1 << (len(text) - 1).bit_length())
+    space = SPACES[text]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + u64(1)) * up[: len(text)], out=sums[1:])
+    return start - 1, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in groups of about SLICE bytes."""
+    part, size = [], 0
+    for x in texts:
+        if part and size + len(x) > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x) + 1
+    if part:
+        yield part
+
+
+def _long_words(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length, taken in slices that end at a space."""
+    out, at = [], 0
+    while at < len(data):
+        cut = re.compile(rb"[ \t-\r]").search(data, min(at + SLICE, len(data)))
+        end = cut.start() if cut else len(data)
+        out.append(word_hashes(data[at:end])[1])
+        at = end + 1
+    return np.concatenate(out)
+
+
+def _shingled(h: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(max(0, len(h) - n + 1), u64(n), np.uint64)
     for k in range(n):
-        out = out * u64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return np.unique(mix(out))
+        out = out * u64(BASE) + h[k : len(h) - n + 1 + k]
+    return mix(out)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted hashes; fewer words than size make one shingle."""
+    out: list[np.ndarray] = []
+    for part in _pieces(texts):
+        if len(part) == 1 and len(part[0]) > SLICE:
+            words, bounds = _long_words(part[0]), [0, None]
+        else:
+            at, words = word_hashes(b" ".join(part))
+            bounds = np.searchsorted(at, np.cumsum([0] + [len(x) + 1 for x in part])).tolist()
+        whole = _shingled(words, size)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            b = len(words) if b is None else b
+            h = np.sort(whole[a : b - size + 1]) if b - a >= size else _shingled(words[a:b], b - a) if b > a else words[:0]
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h)
+    return out
 
 
 def need(n: int, percent: int) -> int:
@@ -81,8 +133,23 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """256 parity bits: bits that differ between two sets are fewer than the shingles that differ."""
-    return np.packbits(np.bincount((s & u64(255)).astype(np.int64), minlength=256) % 2 == 1).tobytes()
+    """Parity bits, as many as the set has shingles or up to twice as many: fewer bits differ than shingles."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & u64(bits - 1)).astype(np.int64), minlength=bits) % 2 == 1, bitorder="little").tobytes()
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the shingles in which two sets differ, from their signatures as words."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def may_link(n1: int, n2: int, differing: int, percent: int) -> bool:
+    """n1 + n2 - 2 common is what differs, and 100 common >= percent (n1 + n2 - common)."""
+    return (100 + percent) * (n1 + n2 - differing) >= 2 * percent * (n1 + n2)
 
 
 def _data(text: str | None) -> bytes:
@@ -92,16 +159,16 @@ def _data(text: str | None) -> bytes:
 def _profiles(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each text (its set), and one for each shingle that is frequent in the batch."""
-        words = Words()
         for batch in batches:
-            sets = [shingles(_data(t), words, size) for t in batch["text"]]
+            sets = shingle_sets([_data(t) for t in batch["text"]], size)
             yield pd.DataFrame({
                 "uid": batch["uid"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
-                "sid": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"), "h": None, "c": None,
+                "sid": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"), "sig": [signature(s) for s in sets],
+                "h": None, "c": None,
             })
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = c >= max(4, len(sets) // 500)
-            yield pd.DataFrame({"uid": None, "doc_id": None, "n": None, "sid": None, "h": h[often].view(np.int64), "c": c[often]})
+            yield pd.DataFrame({"uid": None, "doc_id": None, "n": None, "sid": None, "sig": None, "h": h[often].view(np.int64), "c": c[often]})
 
     return run
 
@@ -119,11 +186,10 @@ def ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _postings(shared, size: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, rank = shared.value
-        words, seen = Words(), set()
+        seen: set[int] = set()
         for batch in batches:
             hs, ids, ns, at = [], [], [], []
-            for text in batch["text"]:
-                s = shingles(_data(text), words, size)
+            for s in shingle_sets([_data(t) for t in batch["text"]], size):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 if len(seen) >= MOST_SEEN:
@@ -152,10 +218,11 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, expand = Words(), zstandard.ZstdDecompressor().decompress
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sets = [shingles(expand(x), words, size) for x in batch["packed"]]
-            yield batch.drop(columns=["uid", "packed"]).assign(sig=[signature(s) for s in sets], items=[s.tobytes() for s in sets])
+            texts = [expand(x) for x in batch["packed"]] if "packed" in batch else [_data(x) for x in batch["text"]]
+            sets = shingle_sets(texts, size)
+            yield batch[["sid", "n", "pivot", "is_pivot"]].assign(items=[s.tobytes() for s in sets])
 
     return run
 
@@ -178,70 +245,90 @@ def _compare_pivots(percent: int):
     return run
 
 
-def pairs_of_list(sid, n, pos, comp, sig, percent: int, other=None) -> np.ndarray:
+def _viable(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets and the pivots they meet that may link by their sizes and signatures."""
+        of = lambda x: np.frombuffer(x, np.uint64)
+        for b in batches:
+            keep = [
+                may_link(n1, n2, differ(of(x), of(y)), percent)
+                for n1, n2, x, y in zip(b["n"], b["n_pivot"], b["sig"], b["sig_pivot"], strict=True)
+            ]
+            yield b.loc[np.array(keep, bool), ["sid", "pivot", "k", "pw"]]
+
+    return run
+
+
+def pairs_of_list(sid, n, pos, comp, sig, percent: int, other=None) -> list[tuple[int, int]]:
     """Pairs of an index list (or of two of its parts) that may link and are not known to be connected.
 
     Members are ordered by size and position and taken in blocks; of two blocks only the
     smallest and largest sizes and the first positions decide whether they are skipped.
     """
+
     def blocks(sid, n, pos, comp, sig):
         o = np.lexsort((pos, n))
-        sid, n, pos, comp, sig = sid[o], n[o], pos[o], comp[o], sig[o]
-        return [tuple(x[k : k + BLOCK] for x in (sid, n, pos, comp, sig)) for k in range(0, len(o), BLOCK)]
+        return [tuple(x[o[k : k + BLOCK]] for x in (sid, n, pos, comp, sig)) for k in range(0, len(o), BLOCK)]
 
     mine = blocks(sid, n, pos, comp, sig)
     theirs = mine if other is None else blocks(*other)
     out = []
     for k, (s1, n1, p1, c1, g1) in enumerate(mine):
-        for s2, n2, p2, c2, g2 in theirs[k:] if other is None else theirs:
-            if n1[-1] <= n2[0] and 100 * n1[-1] < percent * n2[0]:
+        for j, (s2, n2, p2, c2, g2) in enumerate(theirs[k:] if other is None else theirs):
+            if 100 * n1[-1] < percent * n2[0]:
                 break
-            if n2[-1] <= n1[0] and 100 * n2[-1] < percent * n1[0]:
+            if 100 * n2[-1] < percent * n1[0]:
                 continue
             # At most what lies from the shared shingle on can be common.
             most = min((n1 - p1).max(), (n2 - p2).max())
             if (100 + percent) * most < percent * (n1[0] + n2[0]):
                 continue
-            total = n1[:, None] + n2[None, :]
             rest = np.minimum((n1 - p1)[:, None], (n2 - p2)[None, :])
-            good = (c1[:, None] != c2[None, :]) & ((100 + percent) * rest >= percent * total)
-            a, b = np.nonzero(good)
-            if len(a):
-                differ = np.bitwise_count(g1[a] ^ g2[b]).sum(axis=1).astype(np.int64)
-                # n1 + n2 - 2 common = what differs; 100 common >= percent (n1 + n2 - common).
-                keep = (100 + percent) * (total[a, b] - differ) >= 2 * percent * total[a, b]
-                x, y = s1[a[keep]], s2[b[keep]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            good = (c1[:, None] != c2[None, :]) & ((100 + percent) * rest >= percent * (n1[:, None] + n2[None, :]))
+            if other is None and j == 0:
+                good = np.triu(good)
+            for a, b in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+                if may_link(n1[a], n2[b], differ(g1[a], g2[b]), percent):
+                    x, y = int(s1[a]), int(s2[b])
+                    out.append((x, y) if x < y else (y, x))
+    return out
 
 
 def _list_pairs(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Lists come sorted by key and part; the first part of a key's rows is matched within, or with the second."""
-
-        def pairs(g: pd.DataFrame) -> np.ndarray:
-            def columns(x):
-                sig = np.frombuffer(b"".join(x["sig"]), np.uint64).reshape(-1, 4)
-                return x["sid"].to_numpy(), x["n"].to_numpy(), x["pos"].to_numpy(), x["comp"].to_numpy(), sig
-
-            if g["x"].iloc[0] == g["y"].iloc[0]:
-                return pairs_of_list(*columns(g), percent)
-            first = g["part"] == g["x"]
-            return pairs_of_list(*columns(g[first]), percent, columns(g[~first]))
+        """Lists come sorted by key; a list is matched within, or its part x with its part y."""
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(rows: dict[str, np.ndarray], cuts: list[int]) -> pd.DataFrame:
+            start = np.array(cuts[:-1])
+            if not len(start):
+                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            open_ = np.minimum.reduceat(rows["comp"], start) != np.maximum.reduceat(rows["comp"], start)
+            new = []
+            for k in np.flatnonzero(open_).tolist():
+                a, b = cuts[k], cuts[k + 1]
+                own = [rows[c][a:b] for c in ("sid", "n", "pos", "comp")]
+                own.append(np.array([None, *(np.frombuffer(x, np.uint64) for x in rows["sig"][a:b])], object)[1:])
+                if rows["x"][a] == rows["y"][a]:
+                    found = pairs_of_list(*own, percent)
+                else:
+                    first = rows["part"][a:b] == rows["x"][a]
+                    found = pairs_of_list(*[c[first] for c in own], percent, [c[~first] for c in own])
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                new += [p for p in set(found) if p not in seen]
+                seen.update(found)
+            return pd.DataFrame(new, columns=["a", "b"], dtype=np.int64)
 
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             key = batch[["h", "x", "y"]].to_numpy()
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
-            found = [pairs(batch.iloc[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pairs({c: batch[c].to_numpy() for c in batch.columns}, cuts)
             rest = batch.iloc[cuts[-1] :]
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
         if rest is not None and len(rest):
-            both = pairs(rest)
-            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            yield pairs({c: rest[c].to_numpy() for c in rest.columns}, [0, len(rest)])
 
     return run
 
@@ -292,8 +379,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _fetch(rows: DataFrame, profiles: DataFrame, needed: DataFrame, best: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """sid, n, pivot (the set itself where it has none), is_pivot, items of the needed sets, each from one of its texts."""
+    chiefs = best.select(F.col("pivot").alias("sid")).distinct().withColumn("is_pivot", F.lit(True))
+    wanted = profiles.filter("n > 0").join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
+    wanted = wanted.join(best, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid")).join(chiefs, "sid", "left").withColumn("is_pivot", F.coalesce("is_pivot", F.lit(False)))
+    wanted = materialize(wanted)
+    if wanted.count() <= broadcast_rows:
+        found = rows.select("uid", "text").join(F.broadcast(wanted), "uid")
+    else:
+        found = rows.select("uid", "text").mapInPandas(_pack, "uid long, packed binary").join(wanted, "uid")
+    out = found.mapInPandas(_sets(size), "sid long, n long, pivot long, is_pivot boolean, items binary")
+    return out.dropDuplicates(["sid"]) if not profiles.groupBy("uid").count().filter("count > 1").isEmpty() else out
+
+
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, frequent: int = 65_536
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    frequent: int = 65_536,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, uid (a hash of id and text).
 
@@ -305,9 +412,11 @@ def jaccard_join(
     order of shingles; they change the work, not the result.
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("uid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    made = materialize(rows.mapInPandas(_profiles(size), f"uid long, doc_id {kind}, n long, sid long, h long, c long"))
+    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    made = rows.mapInPandas(_profiles(size), "uid long, doc_id string, n long, sid long, sig binary, h long, c long")
+    made = materialize(made.withColumn("doc_id", F.col("doc_id").cast(kind)))
     profiles = made.filter("h is null").select("uid", "doc_id", "n", "sid")
     top = made.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(frequent)
     top = np.array([tuple(r) for r in top.collect()], np.int64).reshape(-1, 2)  # at most `frequent` rows
@@ -315,60 +424,64 @@ def jaccard_join(
     order = np.argsort(hot)
     shared = sc.broadcast((hot[order], (-np.arange(len(hot)))[order]))
 
-    postings = rows.select("text").mapInPandas(_postings(shared, size, percent), "h long, sid long, np long")
-    w = Window.partitionBy("h")
-    lists = postings.select("h", "sid", "np", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi")).filter("lo <> hi")
-    lists = materialize(lists.select("h", "sid", "np").distinct())
+    # One shuffle: equal sets of a list fall together, and lists of one set go.
+    lists = rows.select("text").mapInPandas(_postings(shared, size, percent), "h long, sid long, np long").repartition("h")
+    lists = lists.groupBy("h", "sid").agg(F.first("np").alias("np"))
+    lists = materialize(lists.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("m > 1"))
 
-    # The pivot of a list lies in the most lists; a set's pivot is the one it meets most often.
+    # The pivot of a list lies in the most lists; a set's pivot is the one it meets most often and may link with.
     weight = materialize(lists.groupBy("sid").agg(F.count(F.lit(1)).alias("w")))
-    heavy = lists.select("h", "sid").join(weight, "sid")
-    chief = heavy.groupBy("h").agg(F.max(F.struct("w", "sid")).alias("p")).select("h", F.col("p.w").alias("pw"), F.col("p.sid").alias("pivot"))
-    met = heavy.join(chief, "h").filter("pivot <> sid").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("pw").alias("pw"))
-    best = met.groupBy("sid").agg(F.max(F.struct("k", "pw", "pivot")).alias("p")).select("sid", F.col("p.pivot").alias("pivot"))
-    best = materialize(weight.select("sid").join(best, "sid", "left"))
-    chiefs = best.select(F.col("pivot").alias("sid")).filter("sid is not null").distinct().withColumn("is_pivot", F.lit(True))
-    wanted = profiles.filter("n > 0").groupBy("sid").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
-    wanted = wanted.join(best, "sid").join(chiefs, "sid", "left").withColumn("is_pivot", F.coalesce("is_pivot", F.lit(False)))
-    packed = rows.select("uid", "text").mapInPandas(_pack, "uid long, packed binary")
-    sets = packed.join(wanted, "uid").mapInPandas(
-        _sets(size), "sid long, n long, pivot long, is_pivot boolean, sig binary, items binary"
-    )
-    sets = materialize(sets)
-
-    other = sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("items").alias("other")).dropDuplicates(["pivot"])
-    compared = sets.filter("pivot is not null").select("sid", "n", "pivot", "items").join(other, "pivot")
+    signs = made.filter("n > 0").select("sid", "n", "sig").join(weight, "sid", "left_semi").groupBy("sid").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signs = materialize(signs)
+    few = weight.count() <= broadcast_rows  # else what follows is shuffled by set
+    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    heavy = lists.select("h", "sid").join(small(weight), "sid")
+    chief = F.max(F.struct("w", "sid")).over(Window.partitionBy("h"))
+    met = heavy.select("sid", chief.alias("p")).select("sid", F.col("p.sid").alias("pivot"), F.col("p.w").alias("pw"))
+    met = met.filter("pivot <> sid").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("pw").alias("pw"))
+    met = met.join(small(signs), "sid").join(small(signs.toDF("pivot", "n_pivot", "sig_pivot")), "pivot")
+    met = met.mapInPandas(_viable(percent), "sid long, pivot long, k long, pw long")
+    best = materialize(met.groupBy("sid").agg(F.max(F.struct("k", "pw", "pivot")).alias("p")).select("sid", F.col("p.pivot").alias("pivot")))
+    needed = best.select("sid").unionAll(best.select("pivot")).distinct()
+    sets = materialize(_fetch(rows, profiles, needed, best, size, broadcast_rows))
+
+    other = sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("items").alias("other"))
+    compared = sets.filter("pivot <> sid").select("sid", "n", "pivot", "items").join(other, "pivot")
     compared = materialize(compared.mapInPandas(
         _compare_pivots(percent), "sid long, n long, pivot long, n_pivot long, linked boolean, less binary, more binary"
     ))
     links = compared.filter("linked").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
     known = components(links)
 
-    # Lists whose sets are not all connected yet.
-    sids = sets.select("sid", "sig").dropDuplicates(["sid"]).join(known.withColumnRenamed("node", "sid"), "sid", "left")
-    sids = sids.select("sid", "sig", F.coalesce("comp", "sid").alias("comp"))
-    lists = lists.join(sids, "sid")
-    open_ = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    members = lists.join(open_.select("h", "m"), "h").select(
-        "h", "sid", F.expr(f"np div {PACK}").alias("n"), F.expr(f"np % {PACK}").alias("pos"), "comp", "sig",
+    # Lists whose sets are not all connected yet. A long list is dealt out as all pairs of its
+    # parts: (x, y) with x <= y, each a group of its own.
+    members = lists.join(small(known.withColumnRenamed("node", "sid")), "sid", "left").select(
+        "h", "sid", F.expr(f"np % {PACK}").alias("pos"), F.coalesce("comp", "sid").alias("comp"),
         F.expr(f"1 + (m - 1) div {PART}").cast("int").alias("parts"),
     )
-    # A long list is dealt out as all pairs of its parts: (x, y) with x <= y, each a task's group of its own.
     members = members.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     members = members.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.withColumns({"x": F.least("part", "z"), "y": F.greatest("part", "z")}).drop("z", "parts")
-    dealt = members.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    if few:  # signatures are looked up after the shuffle
+        members = members.repartition("h", "x", "y").join(small(signs), "sid")
+    else:
+        members = members.join(signs, "sid").repartition("h", "x", "y")
+    dealt = members.sortWithinPartitions("h", "x", "y")
     pairs = materialize(dealt.mapInPandas(_list_pairs(percent), "a long, b long").distinct())
+    paired = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    lacking = materialize(paired.join(sets.select("sid"), "sid", "left_anti"))
+    if not lacking.isEmpty():
+        sets = sets.unionByName(materialize(_fetch(rows, profiles, lacking, best, size, broadcast_rows)))
 
     delta = compared.select("sid", "n", "pivot", "n_pivot", "less", "more")
     one = delta.toDF("a", "n1", "pivot", "n_pivot", "l1", "m1")
     two = delta.drop("n_pivot").toDF("b", "n2", "pivot2", "l2", "m2")
-    by_pivot = best.filter("pivot is not null")
-    sided = pairs.join(by_pivot.toDF("a", "pa"), "a", "left").join(by_pivot.toDF("b", "pb"), "b", "left")
+    sided = pairs.join(best.toDF("a", "pa"), "a", "left").join(best.toDF("b", "pb"), "b", "left")
     sided = materialize(sided.withColumn("alike", F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))))
     alike = sided.filter("alike").select("a", "b").join(one, "a").join(two, "b")
     more = alike.select("a", "b", "n_pivot", "n1", "n2", "l1", "l2", "m1", "m2").mapInPandas(_compare_differences(percent), "a long, b long")
-    items = sets.select("sid", "items").dropDuplicates(["sid"])
+    items = sets.select("sid", "items")
     far = sided.filter("not alike").select("a", "b").join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
     more = more.unionAll(far.mapInPandas(_compare_sets(percent), "a long, b long"))
     comp = components(links.unionAll(more))

@@ -34,7 +34,7 @@ from postlens.llm.scratch import materialize
 
 LENGTH, WINDOW, GRAM, SHALLOW = 400, 200, 16, 16
 SHARED = LENGTH - WINDOW + 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 MOST = 20_000
 BASE = 0x9E3779B97F4A7C15
 
@@ -338,9 +338,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; other columns of docs are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"))
     # Rows alike in id and text share a uid, and so their spans.
-    rows = rows.withColumn("uid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
     long = rows.filter(F.octet_length("text") >= LENGTH)
     places = materialize(long.select("uid", "text").mapInPandas(_anchor_rows, PLACE))
 
@@ -361,8 +362,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = asked.groupBy("uid").agg(
         F.collect_list(F.struct("shared", "uid", "first", "left", "places", "known")).alias("wanted")
     )  # a text's own anchors
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    packed = rows.mapInPandas(_pack, f"doc_id {kind}, uid long, packed binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    packed = rows.mapInPandas(_pack, "doc_id string, uid long, packed binary")
     cut = packed.drop("doc_id").join(wanted, "uid")
     contexts = cut.mapInPandas(
         _cut, "shared long, uid long, first long, left int, places int, known boolean, before binary, after binary"
@@ -374,7 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = sorted_.mapInPandas(_settle_groups, "uid long, start long, end long")
     spans = whole.unionByName(part).unionByName(_big(contexts.join(large, "shared", "left_semi")))
     found = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("found"))  # a text's own spans
-    return packed.join(found, "uid", "left").mapInPandas(_remove, f"doc_id {kind}, kept binary, spans array<long>")
+    out = packed.join(found, "uid", "left").mapInPandas(_remove, "doc_id string, kept binary, spans array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def query(spark, sf_dir):

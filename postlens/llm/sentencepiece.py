@@ -167,8 +167,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [t.encode(x) for x in batch["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, ids binary")
+    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -180,7 +181,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             yield batch.assign(decoded=[t.decode(x) for x in batch["ids"]])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids binary, decoded string")
+    rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    out = rows.mapInPandas(run, "doc_id string, ids binary, decoded string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:

@@ -315,8 +315,8 @@ def restore_texts(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", te
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "restored": [restore.text(t) for t in batch["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, restored string")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, restored string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -329,10 +329,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = character_model(docs, text_col)
     index, weights = learn(docs, labels, model, id_col, text_col, **options)
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(_score(sc.broadcast(model), sc.broadcast((index, weights))), f"doc_id {kind}, score double, n_restored int")
+    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(_score(sc.broadcast(model), sc.broadcast((index, weights))), "doc_id string, score double, n_restored int")
     return out.select(
-        "doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored"
+        F.col("doc_id").cast(kind).alias("doc_id"), in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored"
     )
 
 
