@@ -38,6 +38,7 @@ BLOCK = 64
 #: A list of this many sets or more is processed by pairs of parts rather than whole.
 PART = 2_000
 PACK = 1 << 31
+RECENT = 64 << 20
 
 
 def u64(x: int) -> np.uint64:
@@ -211,33 +212,55 @@ def _postings(shared, size: int, percent: int):
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts in compressed form: a third of what the hashes of their shingles take."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pd.DataFrame({"uid": batch["uid"], "packed": [squeeze(_data(t)) for t in batch["text"]]})
-
-
-def _sets(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            texts = [expand(x) for x in batch["packed"]] if "packed" in batch else [_data(x) for x in batch["text"]]
-            sets = shingle_sets(texts, size)
-            yield batch[["sid", "n", "pivot", "is_pivot"]].assign(items=[s.tobytes() for s in sets])
-
-    return run
+        yield batch.assign(packed=[squeeze(_data(t)) for t in batch["text"]]).drop(columns="text")
+
+
+def _unpacked(packed, size: int) -> Iterator[np.ndarray]:
+    """The sets of compressed texts in turn; about SLICE bytes of text are expanded at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    part, total = [], 0
+    for x in packed:
+        part.append(expand(x))
+        total += len(part[-1])
+        if total > SLICE:
+            yield from shingle_sets(part, size)
+            part, total = [], 0
+    yield from shingle_sets(part, size)
+
+
+class Recent:
+    """Sets by id, made from compressed texts and kept while they take at most RECENT bytes."""
+
+    def __init__(self, size: int):
+        self.size, self.sets, self.bytes = size, {}, 0
+
+    def get(self, sid: int, packed: bytes) -> np.ndarray:
+        s = self.sets.get(sid)
+        if s is None:
+            s = next(_unpacked([packed], self.size))
+            if self.bytes > RECENT:
+                self.sets.clear()
+                self.bytes = 0
+            self.sets[sid] = s
+            self.bytes += s.nbytes
+        return s
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def _compare_pivots(percent: int):
+def _compare_pivots(size: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each set against its pivot: whether they link, and the set as differences."""
+        pivots = Recent(size)
         for batch in batches:
             rows = []
-            for sid, n, pivot, x, y in zip(batch["sid"], batch["n"], batch["pivot"], batch["items"], batch["other"], strict=True):
-                s, p = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for sid, n, pivot, s, y in zip(batch["sid"], batch["n"], batch["pivot"], _unpacked(batch["packed"], size), batch["other"], strict=True):
+                p = pivots.get(pivot, y)
                 less, more = np.setdiff1d(p, s, True), np.setdiff1d(s, p, True)
                 rows.append((sid, n, pivot, len(p), linked(len(s) - len(more), len(s), len(p), percent), less.tobytes(), more.tobytes()))
             yield pd.DataFrame(rows, columns=["sid", "n", "pivot", "n_pivot", "linked", "less", "more"])
@@ -347,15 +370,15 @@ def _compare_differences(percent: int):
     return run
 
 
-def _compare_sets(percent: int):
+def _compare_sets(size: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda x: np.frombuffer(x, np.uint64)
-        for b in batches:
-            keep = [
-                linked(len(np.intersect1d(of(x), of(y), True)), len(x) // 8, len(y) // 8, percent)
-                for x, y in zip(b["x"], b["y"], strict=True)
-            ]
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
+        recent = Recent(size)
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
+                s, t = recent.get(a, x), recent.get(b, y)
+                keep.append(linked(len(np.intersect1d(s, t, True)), len(s), len(t), percent))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
 
@@ -366,7 +389,8 @@ def components(edges: DataFrame) -> DataFrame:
     Labels go to neighbours and are then looked up once in themselves, so chains shorten by
     half in each round. Every round is written to the shared folder.
     """
-    both = materialize(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(edges.select(F.inline(ways)).distinct())
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
@@ -379,17 +403,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _fetch(rows: DataFrame, profiles: DataFrame, needed: DataFrame, best: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
-    """sid, n, pivot (the set itself where it has none), is_pivot, items of the needed sets, each from one of its texts."""
+def _fetch(rows: DataFrame, profiles: DataFrame, needed: DataFrame, best: DataFrame, broadcast_rows: int) -> DataFrame:
+    """sid, n, pivot (the set itself where it has none), is_pivot, packed text of the needed sets, each from one of its texts."""
     chiefs = best.select(F.col("pivot").alias("sid")).distinct().withColumn("is_pivot", F.lit(True))
     wanted = profiles.filter("n > 0").join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
     wanted = wanted.join(best, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid")).join(chiefs, "sid", "left").withColumn("is_pivot", F.coalesce("is_pivot", F.lit(False)))
     wanted = materialize(wanted)
     if wanted.count() <= broadcast_rows:
         found = rows.select("uid", "text").join(F.broadcast(wanted), "uid")
+        out = found.mapInPandas(_pack, "uid long, sid long, n long, pivot long, is_pivot boolean, packed binary")
     else:
-        found = rows.select("uid", "text").mapInPandas(_pack, "uid long, packed binary").join(wanted, "uid")
-    out = found.mapInPandas(_sets(size), "sid long, n long, pivot long, is_pivot boolean, items binary")
+        out = rows.select("uid", "text").mapInPandas(_pack, "uid long, packed binary").join(wanted, "uid")
+    out = out.select("sid", "n", "pivot", "is_pivot", "packed")
     return out.dropDuplicates(["sid"]) if not profiles.groupBy("uid").count().filter("count > 1").isEmpty() else out
 
 
@@ -444,12 +469,12 @@ def jaccard_join(
     met = met.mapInPandas(_viable(percent), "sid long, pivot long, k long, pw long")
     best = materialize(met.groupBy("sid").agg(F.max(F.struct("k", "pw", "pivot")).alias("p")).select("sid", F.col("p.pivot").alias("pivot")))
     needed = best.select("sid").unionAll(best.select("pivot")).distinct()
-    sets = materialize(_fetch(rows, profiles, needed, best, size, broadcast_rows))
+    sets = materialize(_fetch(rows, profiles, needed, best, broadcast_rows))
 
-    other = sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("items").alias("other"))
-    compared = sets.filter("pivot <> sid").select("sid", "n", "pivot", "items").join(other, "pivot")
+    other = sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("packed").alias("other"))
+    compared = sets.filter("pivot <> sid").select("sid", "n", "pivot", "packed").join(other, "pivot")
     compared = materialize(compared.mapInPandas(
-        _compare_pivots(percent), "sid long, n long, pivot long, n_pivot long, linked boolean, less binary, more binary"
+        _compare_pivots(size, percent), "sid long, n long, pivot long, n_pivot long, linked boolean, less binary, more binary"
     ))
     links = compared.filter("linked").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
     known = components(links)
@@ -469,21 +494,25 @@ def jaccard_join(
         members = members.join(signs, "sid").repartition("h", "x", "y")
     dealt = members.sortWithinPartitions("h", "x", "y")
     pairs = materialize(dealt.mapInPandas(_list_pairs(percent), "a long, b long").distinct())
-    paired = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     lacking = materialize(paired.join(sets.select("sid"), "sid", "left_anti"))
     if not lacking.isEmpty():
-        sets = sets.unionByName(materialize(_fetch(rows, profiles, lacking, best, size, broadcast_rows)))
+        sets = sets.unionByName(materialize(_fetch(rows, profiles, lacking, best, broadcast_rows)))
 
-    delta = compared.select("sid", "n", "pivot", "n_pivot", "less", "more")
-    one = delta.toDF("a", "n1", "pivot", "n_pivot", "l1", "m1")
-    two = delta.drop("n_pivot").toDF("b", "n2", "pivot2", "l2", "m2")
+    # Only the sets of these pairs are shuffled.
     sided = pairs.join(best.toDF("a", "pa"), "a", "left").join(best.toDF("b", "pb"), "b", "left")
     sided = materialize(sided.withColumn("alike", F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))))
+    asked = materialize(sided.select(F.explode(F.array("a", "b")).alias("sid"), "alike").distinct())
+    brief = (lambda x: F.broadcast(x)) if asked.count() <= broadcast_rows else (lambda x: x)
+    delta = compared.select("sid", "n", "pivot", "n_pivot", "less", "more")
+    delta = delta.join(brief(asked.filter("alike").select("sid")), "sid", "left_semi")
+    one = delta.toDF("a", "n1", "pivot", "n_pivot", "l1", "m1")
+    two = delta.select("sid", "n", "less", "more").toDF("b", "n2", "l2", "m2")
     alike = sided.filter("alike").select("a", "b").join(one, "a").join(two, "b")
     more = alike.select("a", "b", "n_pivot", "n1", "n2", "l1", "l2", "m1", "m2").mapInPandas(_compare_differences(percent), "a long, b long")
-    items = sets.select("sid", "items")
-    far = sided.filter("not alike").select("a", "b").join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
-    more = more.unionAll(far.mapInPandas(_compare_sets(percent), "a long, b long"))
+    texts = sets.select("sid", "packed").join(brief(asked.filter("not alike").select("sid")), "sid", "left_semi")
+    far = sided.filter("not alike").select("a", "b").join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a")
+    more = more.unionAll(far.mapInPandas(_compare_sets(size, percent), "a long, b long"))
     comp = components(links.unionAll(more))
 
     ids = profiles.filter("n > 0").join(comp.withColumnRenamed("node", "sid"), "sid", "left")

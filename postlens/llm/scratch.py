@@ -25,5 +25,5 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
