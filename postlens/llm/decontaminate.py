@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.scratch import small_batches
+
 WINDOW = 10
 #: Bytes of words: digits, lower-case letters and all of non-ASCII text; A-Z are lower-cased, the rest are spaces.
 WORD_BYTES = bytes(
@@ -193,6 +195,7 @@ def decontaminate(
     each for itself; without documents there are no rows, without items nothing is hit.
     Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
@@ -213,6 +216,7 @@ def drop_contaminated(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of docs, all columns as they are, in which no window of a test item occurs."""
+    small_batches(docs.sparkSession)
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
 
     def step(shared):

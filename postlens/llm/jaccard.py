@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlens.llm.scratch import materialize
+from postlens.llm.scratch import materialize, small_batches
 
 MOST_SEEN = 1_000_000
 SLICE = 1 << 20
@@ -436,6 +436,7 @@ def jaccard_join(
     not looked at. ``frequent`` shingles (a bound on what is broadcast) come last in the
     order of shingles; they change the work, not the result.
     """
+    small_batches(docs.sparkSession)
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     # Ids go through pandas as text, which keeps nulls and large numbers as they are.
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
@@ -517,7 +518,8 @@ def jaccard_join(
 
     ids = profiles.filter("n > 0").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
     ids = ids.select("uid", "doc_id", "n", F.coalesce("comp", "sid").alias("comp"))
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join with it can split a large component.
+    least = materialize(ids.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     out = ids.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid", "comp")
     alone = profiles.filter("n = 0")
     alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "uid", F.lit(None).cast("long").alias("comp"))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import materialize
+from postlens.llm.scratch import materialize, small_batches
 
 LENGTH, WINDOW, GRAM, SHALLOW = 400, 200, 16, 16
 SHARED = LENGTH - WINDOW + 1
@@ -337,6 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text repeat its strings. Null texts are empty; texts under LENGTH bytes stay whole; an
     empty table gives no rows; other columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Ids go through pandas as text, which keeps nulls and large numbers as they are.
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"))

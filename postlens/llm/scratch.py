@@ -17,6 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/postlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Sends whole texts to Python in batches of 1,000 rows, where the session has Spark's 10,000.
+
+    A worker holds a batch as Arrow, as strings and as what is made of them, all at once. A
+    number that the session has set itself stays.
+    """
+    if spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, str(rows))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from postlens.llm.scratch import small_batches
+
 MARK = "▁"
 #: Encoded words and pair tests kept by a Python worker.
 MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
@@ -187,6 +189,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
+    small_batches(docs.sparkSession)
     both = decode(encode(docs, model), model)
     return both.select(
         "doc_id",

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.scratch import small_batches
+
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -61,6 +63,7 @@ def _count_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """-log P(c | a, b) over letter classes, from all texts; CLASSES^3 numbers whatever the corpus."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_letters, "k long, n long")
     three = np.zeros(CLASSES**3)
     for r in rows.groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most CLASSES^3 rows
