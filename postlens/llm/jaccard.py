@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from postlens.llm.scratch import materialize, small_batches
 
-MOST_SEEN = 1_000_000
+MOST_SEEN = 200_000
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -38,7 +38,7 @@ BLOCK = 64
 #: A list of this many sets or more is processed by pairs of parts rather than whole.
 PART = 2_000
 PACK = 1 << 31
-RECENT = 64 << 20
+RECENT = 16 << 20
 
 
 def u64(x: int) -> np.uint64:
