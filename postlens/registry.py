@@ -147,13 +147,14 @@ report("alert_account_cracked", f"""SELECT l.user_name, l.client_ip, count(DISTI
 
 # Daily totals.
 _OLD = f"ts < TIMESTAMP '{NOW}' - INTERVAL 10 DAY"
-_FM = f"SELECT CAST(ts AS DATE) AS day, sender_domain AS domain, direction, count(*) AS messages, sum(size_bytes)::BIGINT AS bytes FROM message WHERE {_OLD} GROUP BY 1, 2, 3"
-_FD = f"SELECT CAST(ts AS DATE) AS day, recipient_domain AS domain, 'out' AS direction, {OUTCOMES} FROM delivery WHERE {_OLD} GROUP BY 1, 2"
-report("rollup_messages", _FM, lambda m: rollup.fold_messages(m, NOW, 10), "message")
-report("rollup_deliveries", _FD, lambda d: rollup.fold_deliveries(d, NOW, 10), "delivery")
+_FM = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sender_domain AS domain, direction, count(*) AS messages, sum(size_bytes)::BIGINT AS bytes FROM message WHERE {_OLD} GROUP BY 1, 2, 3"
+_FD = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, recipient_domain AS domain, 'out' AS direction, {OUTCOMES} FROM delivery WHERE {_OLD} GROUP BY 1, 2"
+_dated = lambda rows: rows.withColumn("day", F.col("day").cast("string"))
+report("rollup_messages", _FM, lambda m: _dated(rollup.fold_messages(m, NOW, 10)), "message")
+report("rollup_deliveries", _FD, lambda d: _dated(rollup.fold_deliveries(d, NOW, 10)), "delivery")
 report("rollup_merge", f"""SELECT day, domain, direction, max(messages)::BIGINT AS messages, max(bytes)::BIGINT AS bytes, max(successes)::BIGINT AS successes, max(deferrals)::BIGINT AS deferrals, max(failures)::BIGINT AS failures FROM (
   SELECT day, domain, direction, messages, bytes, 0 AS successes, 0 AS deferrals, 0 AS failures FROM ({_FM}) UNION ALL SELECT day, domain, direction, 0, 0, successes, deferrals, failures FROM ({_FD})) GROUP BY 1, 2, 3""",
-       lambda m, d: rollup.merge_daily(rollup.fold_messages(m, NOW, 10), rollup.fold_messages(m, NOW, 10), rollup.fold_deliveries(d, NOW, 10)), "message", "delivery")
+       lambda m, d: _dated(rollup.merge_daily(rollup.fold_messages(m, NOW, 10), rollup.fold_messages(m, NOW, 10), rollup.fold_deliveries(d, NOW, 10))), "message", "delivery")
 report("prune_oldest", f"""SELECT msg_id, ts FROM (SELECT *, max(c) OVER (PARTITION BY date_trunc('second', ts)) AS upto FROM (SELECT *, count(*) OVER (ORDER BY date_trunc('second', ts)) AS c FROM message)) WHERE NOT ({_OLD}) OR upto > 500""",
        lambda m: rollup.prune(m, NOW, 10, 500).select("msg_id", "ts"), "message")
 report("digest_figures", f"""SELECT 'messages out' AS figure, count(*) FILTER (direction = 'out')::DOUBLE AS value FROM message WHERE CAST(ts AS DATE) = DATE '2024-01-10'
