@@ -3,8 +3,11 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers. Besides, generators
 with high recall propose spans, overlapping ones too; boosted trees judge each by its form
 and its surroundings, and spans above a threshold calibrated for their generator are added.
-The trees learn which candidates the base rules confirm, from features that leave out what
-these rules test (check digits, the leading plus), so they add what looks and stands alike.
+The trees learn which candidates are confirmed, from features that leave out most of what the
+confirming rules test (check digits, the leading plus, endings), so they add what looks and
+stands alike. Numbers are confirmed by the base rules. These cannot confirm spelled-out
+addresses and secrets, which have strict rules of their own; what those confirm is added
+in any corpus, however few there are.
 Only DataFrame functions are used, and texts are never shuffled.
 """
 
@@ -36,20 +39,31 @@ MAY = {
     "card": lambda t: t.rlike(PATTERNS["card"]),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
+AT, DOT = (rf"(?: {x} | ?[(\[]{x}[)\]] ?)" for x in ("at", "dot"))
+HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|{DOT})[A-Za-z0-9-]{{1,63}}){{0,4}}"
 #: High-recall generators: numbers in any grouping, addresses spelled out, assigned secrets.
 GENERATORS = {
     "number": r"[(]?[0-9][0-9 ()./-]{5,30}[0-9]",
     "long_number": "[0-9](?:[ -]?[0-9]){7,}+",
-    "address": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(?:@| at | ?[(\[]at[)\]] ?)[A-Za-z0-9-]{1,63}(?:\.| dot | ?[(\[]dot[)\]] ?)[A-Za-z]{2,24}",
+    "address": rf"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{{1,64}}(?:{AT}{HOST}(?:\.|{DOT})|@{HOST}{DOT})[A-Za-z]{{2,24}}",
     "secret": r"(?i)(?<![A-Za-z])(?:token|secret|password|api_?key|key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,200}",
 }
 GENERATOR_MAY = {
     "number": lambda t: t.rlike("[0-9]{3}"),
     "long_number": lambda t: t.rlike("[0-9]{3}"),
-    "address": lambda t: t.rlike(r"@| at |[(\[]at[)\]]"),
+    "address": lambda t: t.rlike(rf"{AT}|@{HOST}{DOT}"),
     "secret": lambda t: t.rlike("[=:] ?[\"']?[A-Za-z0-9+/_-]{8}"),
 }
-FEATURES = ("generator", "digits", "length", "groups", "letters", "longest", "signs", "before", "after", "cue")
+#: Endings of addresses that are no English words, and words before " at " that are no names.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|nl|es|pt|pl|se|fi|dk|ch|cz|hu|ro|gr|eu|ru|ua|cn|jp|kr|br|ar|mx|ca|au|nz|za|ie|il|tr|dev|app"
+NO_NAME = "us|me|him|her|them|it|one|all|out|up|now|here|online|available|visit|look|looks|looked|looking|is|are|was|were|site|page|website"
+#: Strict rules of the generators whose candidates no base rule can confirm. Plain " at " needs a spelled-out dot and
+#: a known ending (else "us at host.com" counts); a secret's value has a letter beside a digit, and a mere key is long.
+SURE = {
+    "address": lambda m: m.rlike(rf"(?i)[(\[]at[)\]]|@| at .*{DOT}") & m.rlike(rf"(?i)(?:\.|{DOT})(?:{ENDINGS})$") & ~m.rlike(rf"(?i)^(?:{NO_NAME}) at "),
+    "secret": lambda m: m.rlike(r"[=:].*(?:[A-Za-z][0-9]|[0-9][A-Za-z])") & (~m.rlike("(?i)^key") | m.rlike(r"[=:] ?[\"']?[^ \"']{16}")),
+}
+FEATURES = ("generator", "digits", "length", "groups", "letters", "longest", "signs", "before", "after", "cue", "spelled")
 
 
 def matches(text: Column, pattern: str, may: Column) -> Column:
@@ -105,14 +119,14 @@ def with_base(rows: DataFrame) -> DataFrame:
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
-    """Adds candidates: array of start, end, generator and the features by which they are judged."""
+    """Adds candidates: array of start, end, the features by which they are judged, and whether a strict rule confirms them."""
     text = F.col("text")
     rows = rows.withColumns({f"g_{g}": matches(text, p, GENERATOR_MAY[g](text)) for g, p in GENERATORS.items()})
 
     def char_class(c: Column) -> Column:
         return F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).otherwise(4)
 
-    def judged(x: Column, no: int) -> Column:
+    def judged(x: Column, no: int, generator: str) -> Column:
         m, start, end = x["match"], x["start"], x["end"]
         before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
         runs = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda r: F.char_length(r))
@@ -125,11 +139,13 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")), char_class(F.substring(text, end + 1, F.lit(1))),
             F.when(before.rlike("(?i)call|phone|tel|fax"), 1).when(before.rlike("(?i)card|visa|pay"), 2).when(before.rlike("(?i)mail|contact"), 3)
             .when(before.rlike("(?i)token|secret|key|pass"), 4).otherwise(0),
+            F.when(m.rlike(r"[(\[]at[)\]]"), 2).when(m.contains(" at "), 1).otherwise(0) + 3 * m.rlike(DOT).cast("int"),
         )
-        return F.struct(start.alias("start"), end.alias("end"), F.array(*[v.cast("int") for v in values]).alias("x"))
+        sure = SURE[generator](m) if generator in SURE else F.lit(False)
+        return F.struct(start.alias("start"), end.alias("end"), F.array(*[v.cast("int") for v in values]).alias("x"), sure.alias("sure"))
 
     def proposed(no: int, generator: str) -> Column:
-        return F.transform(f"g_{generator}", lambda x: judged(x, no))
+        return F.transform(f"g_{generator}", lambda x: judged(x, no, generator))
 
     rows = rows.withColumn("candidates", F.concat(*[proposed(i, g) for i, g in enumerate(GENERATORS)]))
     return rows.drop(*[f"g_{g}" for g in GENERATORS])
@@ -224,9 +240,10 @@ def find_spans(
     """The rows of docs with two more columns: base and spans, arrays of start, order, end, kind in order.
 
     spans holds the base spans and the added ones (kinds: the generators' names), which
-    overlap no base span. The model is fitted on at most ``sample`` candidates, those with
+    overlap no base span: those that a strict rule of SURE confirms, and those that the model
+    likes. The model is fitted on at most ``sample`` candidates, those with
     the smallest hash of id and place, half of them for the trees and half for the
-    thresholds; too few or only one sort of candidates add nothing. Null and empty texts
+    thresholds; with too few or only one sort of candidates it adds nothing. Null and empty texts
     have no spans; repeated rows get equal spans; an empty table gives no rows; columns of
     docs named like the new ones are replaced.
     """
@@ -237,28 +254,28 @@ def find_spans(
     # Candidates and base spans do not depend on the row's other columns.
     every = rows.select("id", "base", F.explode("candidates").alias("c"))
     every = every.select(
-        F.xxhash64("id", "c.start", "c.end").alias("o"), F.col("c.x").alias("x"), _overlaps(F.col("c"), F.col("base")).cast("int").alias("y")
-    )
+        F.xxhash64("id", "c.start", "c.end").alias("o"), F.col("c.x").alias("x"),
+        (_overlaps(F.col("c"), F.col("base")) | F.col("c.sure")).cast("int").alias("y"),
+    )
     picked = materialize(every.orderBy("o", "x").limit(sample))
     train, check = picked.filter("o % 2 = 0"), picked.filter("o % 2 <> 0")
     kinds = {r.y for r in train.select("y").distinct().collect()}
-    added = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    trees, bounds = [], []
     if len(kinds) == 2:
         trees = boost(train)
         bounds = calibrate(check, trees, precision, least)
 
-        def chosen(c: Column) -> Column:
-            score = raw_score(trees, c["x"])
-            above = [(c["x"][0] == g) & (score >= b) for g, b in enumerate(bounds) if b is not None]
-            return reduce(lambda p, q: p | q, above, F.lit(False)) & ~_overlaps(c, F.col("base"))
-
-        names = F.array(*[F.lit(g) for g in GENERATORS])
-        added = F.transform(
-            F.filter("candidates", chosen),
-            lambda c: F.struct(
-                c["start"].alias("start"), (F.lit(len(KINDS)) + c["x"][0]).alias("order"), c["end"].alias("end"), names[c["x"][0]].alias("kind")
-            ),
-        )
+    def chosen(c: Column) -> Column:
+        above = [(c["x"][0] == g) & (raw_score(trees, c["x"]) >= b) for g, b in enumerate(bounds) if b is not None]
+        return reduce(lambda p, q: p | q, above, c["sure"]) & ~_overlaps(c, F.col("base"))
+
+    names = F.array(*[F.lit(g) for g in GENERATORS])
+    added = F.transform(
+        F.filter("candidates", chosen),
+        lambda c: F.struct(
+            c["start"].alias("start"), (F.lit(len(KINDS)) + c["x"][0]).alias("order"), c["end"].alias("end"), names[c["x"][0]].alias("kind")
+        ),
+    )
     out = rows.select("row", "base", F.array_sort(F.concat("base", added)).alias("spans"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 

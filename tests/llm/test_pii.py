@@ -78,3 +78,21 @@ def test_repeated_null_and_no_rows(spark):
     assert sorted(str(x.text) for x in rows) == ["None", "[EMAIL]", "[EMAIL]", "[EMAIL]"]
     assert pii.find_spans(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_secrets_and_spelled_out_addresses(spark):
+    rows = [(1, "the api_key=9fQ2x7Lm4Zt8 leaked"), (2, "write to jane.roe at mail dot example dot org today"), (3, "or joe [at] example.com, thanks"),
+            (4, "he looked at the dot product, and the password: something else"), (5, "visit us at example.com or us at example dot com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got[1] == "the [SECRET] leaked" and got[2] == "write to [ADDRESS] today" and got[3] == "or [ADDRESS], thanks"
+    assert got[4] == rows[3][1] and got[5] == rows[4][1]
+
+
+def test_learns_secrets_from_confirmed_ones(spark):
+    r = random.Random(3)
+    value = lambda: "".join(r.choice("abcdefXYZ") + r.choice("0123456789") for _ in range(8))
+    rows = [(i, f"login with password={value()} and token: {r.choice(['something', 'whatever', 'unknownword'])} here") for i in range(500)]
+    rows.append((1000, "login with password=1-abcd-2-efgh-3-4-5-6-7-8 and go"))  # no letter beside a digit
+    got = {x.doc_id: [s.kind for s in x.spans] for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["secret"] for i in range(500)) and "secret" in got[1000]
