@@ -211,13 +211,14 @@ def raw_score(trees: list[Tree], x: Column) -> Column:
     return reduce(lambda a, t: a + t.column(x, lambda leaf: F.lit(float(leaf.value))), trees, F.lit(0.0))
 
 
-def calibrate(sample: DataFrame, trees: list[Tree], precision: float, least: int) -> list[float | None]:
+def calibrate(candidates: DataFrame, trees: list[Tree], precision: float, least: int) -> list[float | None]:
     """For each generator the lowest score above which the share of confirmed spans is at least ``precision``.
 
-    None where no score has ``least`` spans above it; scores are counted in steps of 0.1.
+    None where no score has ``least`` spans above it. Spark counts all candidates by score in
+    steps of 0.1; the driver sees at most generators x 201 rows.
     """
     steps = F.floor(F.greatest(F.least(raw_score(trees, F.col("x")), F.lit(10.0)), F.lit(-10.0)) * 10).cast("int")
-    counts = sample.groupBy(F.col("x")[0].alias("g"), steps.alias("s")).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
+    counts = candidates.groupBy(F.col("x")[0].alias("g"), steps.alias("s")).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
     out: list[float | None] = []
     for g in range(len(GENERATORS)):
         good = total = 0
@@ -241,10 +242,9 @@ def find_spans(
 
     spans holds the base spans and the added ones (kinds: the generators' names), which
     overlap no base span: those that a strict rule of SURE confirms, and those that the model
-    likes. The model is fitted on at most ``sample`` candidates, those with
-    the smallest hash of id and place, half of them for the trees and half for the
-    thresholds; with too few or only one sort of candidates it adds nothing. Null and empty texts
-    have no spans; repeated rows get equal spans; an empty table gives no rows; columns of
+    likes. The trees are fitted on half of at most ``sample`` candidates, those with the
+    smallest hash of id and place; the thresholds come from all candidates. With too few or
+    only one sort of candidates the model adds nothing. Null and empty texts have no spans; repeated rows get equal spans; an empty table gives no rows; columns of
     docs named like the new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -257,13 +257,13 @@ def find_spans(
         F.xxhash64("id", "c.start", "c.end").alias("o"), F.col("c.x").alias("x"),
         (_overlaps(F.col("c"), F.col("base")) | F.col("c.sure")).cast("int").alias("y"),
     )
-    picked = materialize(every.orderBy("o", "x").limit(sample))
-    train, check = picked.filter("o % 2 = 0"), picked.filter("o % 2 <> 0")
+    every = materialize(every)
+    train = materialize(every.orderBy("o", "x").limit(sample)).filter("o % 2 = 0")
     kinds = {r.y for r in train.select("y").distinct().collect()}
     trees, bounds = [], []
     if len(kinds) == 2:
         trees = boost(train)
-        bounds = calibrate(check, trees, precision, least)
+        bounds = calibrate(every, trees, precision, least)
 
     def chosen(c: Column) -> Column:
         above = [(c["x"][0] == g) & (raw_score(trees, c["x"]) >= b) for g, b in enumerate(bounds) if b is not None]

@@ -96,3 +96,11 @@ def test_learns_secrets_from_confirmed_ones(spark):
     rows.append((1000, "login with password=1-abcd-2-efgh-3-4-5-6-7-8 and go"))  # no letter beside a digit
     got = {x.doc_id: [s.kind for s in x.spans] for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == ["secret"] for i in range(500)) and "secret" in got[1000]
+
+
+def test_thresholds_count_all_candidates(spark):
+    r = random.Random(6)
+    rows = [(i, f"word call +1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)} then {r.randint(1, 99999999)} other") for i in range(600)]
+    rows.append((1000, "word call 1 (123) 555-0199 then other"))
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), sample=150).filter("doc_id = 1000").first()
+    assert [x.kind for x in got.spans] == ["number"]
