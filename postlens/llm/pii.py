@@ -49,8 +49,8 @@ GENERATORS = {
     "secret": r"(?i)(?<![A-Za-z])(?:token|secret|password|api_?key|key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,200}",
 }
 GENERATOR_MAY = {
-    "number": lambda t: t.rlike("[0-9]{3}"),
-    "long_number": lambda t: t.rlike("[0-9]{3}"),
+    "number": lambda t: t.rlike("[0-9][0-9 ()./-]{5}"),
+    "long_number": lambda t: t.rlike("[0-9](?:[ -]?[0-9]){7}"),
     "address": lambda t: t.rlike(rf"{AT}|@{HOST}{DOT}"),
     "secret": lambda t: t.rlike("[=:] ?[\"']?[A-Za-z0-9+/_-]{8}"),
 }

@@ -104,3 +104,9 @@ def test_thresholds_count_all_candidates(spark):
     rows.append((1000, "word call 1 (123) 555-0199 then other"))
     got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), sample=150).filter("doc_id = 1000").first()
     assert [x.kind for x in got.spans] == ["number"]
+
+
+def test_proposes_numbers_in_ones_and_twos(spark):
+    docs = spark.createDataFrame([("ring 06 12 34 56 78 now",), ("ring 12-34-56-78 now",), ("ring 01.23.45.67.89 now",)], "text string")
+    got = [{c.x[0] for c in r.candidates} for r in pii.with_candidates(docs).collect()]
+    assert got == [{0, 1}, {0, 1}, {0}]
