@@ -140,7 +140,10 @@ def _match(texts: list[str | None], w: Windows, misses: int) -> tuple[list[int],
         a = start[k] - index.starts[d]
         spans[d] = [x for run in _runs(a, a + w.lengths[win[k]]) for x in run]
         items[d] = {w.items[i] for i in np.unique(w.of[win[k]])}
-    for d, i in np.unique(np.stack([index.doc_of(near_start), w.of[near_win].astype(np.int64)]), axis=1).T:
+    doc = index.doc_of(near_start)
+    inside = (doc >= 0) & (near_start + w.size <= index.starts[doc] + index.lengths[doc])  # gaps count as misses only
+    doc, near_win = doc[inside], near_win[inside]
+    for d, i in np.unique(np.stack([doc, w.of[near_win].astype(np.int64)]), axis=1).T:
         near[d].add(w.items[i])
     return [len(x) for x in ids], spans, items, near
 

@@ -229,3 +229,11 @@ def test_warc(spark, tmp_path):
     path = scratch.shared_folder(spark)
     warc.write_archives(pages.limit(0), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_near_matches_lie_inside_one_document():
+    item = [f"q{i}" for i in range(10)]
+    w = decontaminate.Windows([("7", " ".join(item))])
+    texts = ["other words", " ".join(item[1:] + ["end"]), "more words", " ".join(["begin", *item[:8]]), " ".join(item[:9] + ["x"])]
+    assert decontaminate._match(texts, w, 2)[3] == [set(), set(), set(), set(), {"7"}]
+    assert decontaminate._match(texts[1:2], w, 2)[3] == [set()]
