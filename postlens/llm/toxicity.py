@@ -26,10 +26,16 @@ from postlens.llm.scratch import small_batches
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
-#: Costs in nats: a letter written as a sign; a sign that could be a letter, another sign or a second letter that is dropped.
-AS_SIGN, DROP_LIKE, DROP_SIGN, DROP_SECOND = 1.0, 7.0, 0.7, 2.5
+#: Costs in nats: a letter written as a sign; a sign that could be a letter, another sign or a second letter that is dropped;
+#: a sign at a word's edge that could be a letter, as it may be plain punctuation.
+AS_SIGN, DROP_LIKE, DROP_SIGN, DROP_SECOND, DROP_EDGE = 1.0, 7.0, 0.7, 2.5, 5.0
+#: Words of letters apart are taken from all paths so much dearer than the best; longer words are not tried beyond BEAM,
+#: nor words of more than MOST_SIGNS characters (a run is read as one word too, however long).
+NEAR, BEAM, MOST_SIGNS = 6.0, 25.0, 40
 CLASSES = 64
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_NO_LEET = "(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+"
+NO_LEET_EDGE = re.compile(f"^{_NO_LEET}|{_NO_LEET}$")
 THRICE = re.compile(r"(.)\1\1")
 SHORTEST, LONGEST, MOST_CACHED = 3, 8, 400_000
 
@@ -80,15 +86,17 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.cost = model.ravel().tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def options(self, word: str) -> list[list[tuple[str, float]]]:
         out, run = [], 0
+        inner = [i for i, ch in enumerate(word) if ch.isalnum()] or [0]
         for i, ch in enumerate(word):
             run = run + 1 if i and word[i - 1] == ch else 1
             if not ch.isalpha():
                 like = LEET.get(ch, "")
-                out.append([(x, AS_SIGN) for x in like] + [("", DROP_LIKE if like else DROP_SIGN)])
+                drop = DROP_SIGN if not like else DROP_LIKE if inner[0] <= i <= inner[-1] else DROP_EDGE
+                out.append([(x, AS_SIGN) for x in like] + [("", drop)])
             elif run == 1:
                 out.append([(ch, 0.0)])
             elif run == 2:
@@ -97,54 +105,105 @@ class Restorer:
                 out.append([("", 0.0)])
         return out
 
-    def viterbi(self, word: str) -> str:
+    def step(self, states: dict, choices: list[tuple[str, float]]) -> dict:
+        """The cheapest text for each pair of last classes, one character further."""
         of, cost = letter_class(), self.cost
+        after: dict[tuple[int, int], tuple[float, str]] = {}
+        for (a, b), (total, text) in states.items():
+            for letter, extra in choices:
+                if letter:
+                    c = int(of[ord(letter)]) if ord(letter) < 0x10000 else 0
+                    key, now = (b, c), (total + extra + cost[(a * CLASSES + b) * CLASSES + c], text + letter)
+                else:
+                    key, now = (a, b), (total + extra, text)
+                if key not in after or now < after[key]:
+                    after[key] = now
+        return after
+
+    def end(self, states: dict) -> tuple[float, str]:
+        return min((total + self.cost[(a * CLASSES + b) * CLASSES], text) for (a, b), (total, text) in states.items())
+
+    def viterbi(self, word: str) -> str:
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for choices in self.options(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, text) in states.items():
-                for letter, extra in choices:
-                    if letter:
-                        c = int(of[ord(letter)]) if ord(letter) < 0x10000 else 0
-                        key, now = (b, c), (total + extra + cost[(a * CLASSES + b) * CLASSES + c], text + letter)
-                    else:
-                        key, now = (a, b), (total + extra, text)
-                    if key not in after or now < after[key]:
-                        after[key] = now
-            states = after
-        return min((total + cost[(a * CLASSES + b) * CLASSES], text) for (a, b), (total, text) in states.items())[1]
-
-    def word(self, token: str) -> str:
-        """The restored word of a token, without what stands around it; '' for what holds no letters."""
+            states = self.step(states, choices)
+        return self.end(states)[1]
+
+    def spaced(self, run: list[str]) -> tuple[list[str], set[str]]:
+        """The words of the best path through characters that stand apart, and all joined words of paths near the best."""
+        if not any(c.isalpha() for c in run):
+            return list(run), set()
+        options, n = self.options("".join(c.lower()[:1] for c in run)), len(run)
+        least, parts = [0.0] + [math.inf] * n, []
+        for i in range(n):
+            states = {(0, 0): (0.0, "")}
+            for j in range(i, min(n, i + MOST_SIGNS)):
+                states = self.step(states, options[j])
+                total, text = self.end(states)
+                gaps = DROP_SIGN * (j - i)
+                parts.append((i, j + 1, total + gaps, text))
+                least[j + 1] = min(least[j + 1], least[i] + total + gaps)
+                if least[i] + gaps + min(states.values())[0] > least[j + 1] + BEAM:
+                    break
+        rest, follow = [math.inf] * n + [0.0], [(n, "")] * n
+        for i, j, total, text in reversed(parts):
+            if total + rest[j] < rest[i]:
+                rest[i], follow[i] = total + rest[j], (j, text)
+        best, at = [], 0
+        while at < n:
+            at, text = follow[at]
+            best.append(text)
+        near = {text for i, j, total, text in parts if j - i > 1 and least[i] + total + rest[j] <= rest[0] + NEAR}
+        return [x for x in best if x], near
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The restored word of a token, and the one without the signs at its edges if that differs; '' for no letters."""
         got = self.known.get(token)
         if got is None:
-            core = EDGE.sub("", token.lower())
-            if not core.isalpha():
-                got = self.viterbi(core) if any(c.isalpha() for c in core) else ""
+            low = token.lower()
+            plain = EDGE.sub("", low)
+            signed = NO_LEET_EDGE.sub("", low)
+            if plain.isalpha():
+                got = (self.viterbi(plain) if THRICE.search(plain) else plain,)
             else:
-                got = self.viterbi(core) if THRICE.search(core) else core
+                got = (self.viterbi(plain) if any(c.isalpha() for c in plain) else "",)
+            if signed != plain and got[0]:
+                whole = self.viterbi(signed)
+                got = got if whole == got[0] else (whole, *got)
             if len(token) <= 64:
                 if len(self.known) >= MOST_CACHED:
                     self.known.clear()
                 self.known[token] = got
         return got
 
+    def word(self, token: str) -> str:
+        """The restored word of a token, without what stands around it; '' for what holds no letters."""
+        return self.readings(token)[0]
+
     def words(self, text: str | None) -> tuple[set[str], int]:
         """The distinct restored words of a text, and how many distinct tokens were changed.
 
-        Four or more single characters in a row are read as one word too.
+        Three or more single characters in a row are read as words too, at any of their
+        boundaries, and four or more as one word; a sign may stand by the first and the last.
         """
         tokens = text.split() if text else []
         single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-        distinct = set(tokens)
-        found = {self.word(t) for t in distinct}
-        changed = sum(1 for t in distinct if self.word(t) not in t.lower())
-        if single.sum() >= 4:
+        found, changed = set(), 0
+        for t in set(tokens):
+            got = self.readings(t)
+            found.update(got)
+            changed += got[0] not in t.lower()
+        if single.sum() >= 2:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= 2:
+                    before, after = ([c for t in tokens[k : k + 1] for c in t if c.isalnum()] for k in (a - 1 if a else len(tokens), b))
+                    run = (before if len(before) == 1 else []) + tokens[a:b] + (after if len(after) == 1 else [])
+                    if len(run) >= 3:
+                        found |= self.spaced(run)[1]
+                        changed += 1
                 if b - a >= 4:
                     found.add(self.word(" ".join(tokens[a:b])))
-                    changed += 1
         found.discard("")
         return found, changed
 
@@ -155,7 +214,7 @@ class Restorer:
             if t is not None and len(t) == 1:
                 run.append(t)
                 continue
-            out += [self.word(" ".join(run))] if len(run) >= 4 else run
+            out += self.spaced(run)[0] if len(run) >= 3 else run
             run = []
             if t is not None:
                 core = EDGE.sub("", t.lower())

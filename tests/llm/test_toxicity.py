@@ -55,3 +55,14 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame(labels, "doc_id long, toxic int").limit(0)
     assert all(r.score < 0.01 for r in tx.toxicity(df, none).collect())
     assert tx.toxicity(df.limit(0), none).count() == 0
+
+
+def test_restores_signs_at_edges_and_words_among_letters(spark):
+    docs, _ = corpus()
+    r = tx.Restorer(tx.character_model(spark.createDataFrame(docs, "doc_id long, text string, score string")))
+    for seen in ("!diot", "|diot", "1dio+", '"!d!o+"', "idiot!", "(idiot", "idiot!!!"):
+        assert r.word(seen) == "idiot", seen
+    for seen in ("x i d i o t y", "an i d i o t! the", "the i d i o t m o r o n", "i d i o t"):
+        assert "idiot" in r.words(seen)[0], seen
+    assert "the" in r.words("x t h e y")[0] and "an" in r.words("1 a n 2")[0]
+    assert r.words("1 2 3 4 5")[0] == set()
