@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.scratch import small_batches
@@ -232,17 +232,25 @@ def features(words: set[str]) -> Counter[str]:
     return out
 
 
-def _count_features(shared, only: frozenset[str] | None):
+def _count_features(shared):
+    """Toxic (a) and clean (b) rows by feature, summed within a task as far as memory allows."""
+
+    def table(counts: dict[str, list[int]]) -> pd.DataFrame:
+        both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"f": pd.Series(list(counts), dtype=object), "a": both[:, 0], "b": both[:, 1]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, counts = Restorer(shared.value), Counter()
+        restore, counts = Restorer(shared.value), {}
         for batch in batches:
-            for text in batch["text"]:
-                found = features(restore.words(text)[0]).keys()
-                counts.update(found if only is None else found & only)
-            if len(counts) > 500_000:
-                yield pd.DataFrame(counts.items(), columns=["f", "n"])
+            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+                for f in features(restore.words(text)[0]):
+                    if (n := counts.get(f)) is None:
+                        n = counts[f] = [0, 0]
+                    n[0 if toxic else 1] += 1
+            if len(counts) > 300_000:
+                yield table(counts)
                 counts.clear()
-        yield pd.DataFrame(list(counts.items()), columns=["f", "n"])
+        yield table(counts)
 
     return run
 
@@ -263,12 +271,11 @@ def _vectors(shared, index: dict[str, int]):
     return run
 
 
-def association(a: int, b: int, n: int, m: int) -> float:
+def association(a: Column, b: Column, n: int, m: int) -> Column:
     """Log-likelihood ratio of a of n toxic and b of m clean rows; 0 unless likelier in toxic rows."""
-    if a * m <= b * n:
-        return 0.0
-    part = lambda k, n, p: (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if k < n else 0)
-    return part(a, n, a / n) + part(b, m, b / m) - part(a, n, (a + b) / (n + m)) - part(b, m, (a + b) / (n + m))
+    part = lambda k, n, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
+    ratio = part(a, n, a / n) + part(b, m, b / m) - part(a, n, (a + b) / (n + m)) - part(b, m, (a + b) / (n + m))
+    return F.when(a * float(m) <= b * float(n), 0.0).otherwise(ratio)
 
 
 def fit(rows: list, n_features: int, l2: float = 1.0, rounds: int = 400) -> np.ndarray:
@@ -299,7 +306,6 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    candidates: int = 20_000,
     most: int = 3_000,
     least: float = 8.0,
     sample: int = 20_000,
@@ -307,9 +313,9 @@ def learn(
 ) -> tuple[dict[str, int], np.ndarray]:
     """The features and weights of the scorer.
 
-    Words and beginnings are counted over all labelled rows outside the fold; the
-    ``candidates`` most frequent ones of toxic rows are weighed, at most ``most`` with an
-    association of ``least`` are kept, and the weights are fitted on at most ``sample``
+    Words and beginnings are counted over all labelled rows outside the fold; Spark weighs
+    all that four toxic rows have, those ``most`` with the highest association, of ``least``
+    or more, are kept, and the weights are fitted on at most ``sample``
     rows, those with the smallest hash of the id. Ids with several labels count as toxic if
     one says so. Without rows of both kinds there are no features and the bias tells the share.
     """
@@ -319,18 +325,14 @@ def learn(
     if labels.count() <= broadcast_labels:  # else the texts are shuffled by id
         y = F.broadcast(y)
     rows = docs.filter(~in_fold(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(y, "id")
-    count = lambda kind, only: (
-        rows.filter(F.col("toxic") == kind).select("text").mapInPandas(_count_features(shared, only), "f string, n long")
-        .groupBy("f").agg(F.sum("n").alias("n"))
-    )
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, m = size.get(1, 0), size.get(0, 0)
     index: dict[str, int] = {}
     if n and m:
-        toxic = {r.f: r.n for r in count(1, None).filter("n >= 4").orderBy(F.desc("n"), "f").limit(candidates).collect()}
-        clean = {r.f: r.n for r in count(0, frozenset(toxic)).collect()}
-        score = {f: association(a, clean.get(f, 0), n, m) for f, a in toxic.items()}
-        best = sorted((f for f in score if score[f] >= least), key=lambda f: (-score[f], f))[:most]
+        counts = rows.filter("toxic IN (0, 1)").select("toxic", "text").mapInPandas(_count_features(shared), "f string, a long, b long")
+        counts = counts.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 4")
+        weighed = counts.select("f", association(F.col("a"), F.col("b"), n, m).alias("score")).filter(F.col("score") >= least)
+        best = [r.f for r in weighed.orderBy(F.desc("score"), "f").limit(most).collect()]
         index = {f: i for i, f in enumerate(best)}
     order = rows.select("toxic", "text", F.xxhash64("id").alias("o"))
     if n + m > 2 * sample:  # no need to look at many more rows than are fitted

@@ -66,3 +66,21 @@ def test_restores_signs_at_edges_and_words_among_letters(spark):
         assert "idiot" in r.words(seen)[0], seen
     assert "the" in r.words("x t h e y")[0] and "an" in r.words("1 a n 2")[0]
     assert r.words("1 2 3 4 5")[0] == set()
+
+
+def test_weighs_rare_words_among_many_frequent_ones(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(5_000)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:100]
+    texts = [" ".join(w for k, w in enumerate(words) if (k - d) % 50 < 5) + (" zzrarebad" if d < 4 else "") for d in range(50)]
+    texts += [x.replace(" zzrarebad", "") for x in texts]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 50)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    index, weights = tx.learn(df, labels, tx.character_model(df), least=2.0)
+    assert "zzrarebad$" in index and len(weights) == len(index) + 1
+
+
+def test_no_features_to_count(spark):
+    df = spark.createDataFrame([(1, ""), (0, None)], "toxic int, text string").repartition(3)
+    shared = spark.sparkContext.broadcast(np.ones((64, 64, 64)))
+    assert df.mapInPandas(tx._count_features(shared), "f string, a long, b long").count() == 0
