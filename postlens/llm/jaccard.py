@@ -5,12 +5,15 @@ threshold share a shingle among their first ones (the prefix). Postings of prefi
 grouped by shingle, as index lists.
 
 * Answers are derived from similar sets: of each list, the set that lies in the most lists
-  is the pivot. Every set is compared with its best pivot once, and kept as the pivot's
-  shingles it lacks and those it has besides. Two sets of one pivot are then compared by
-  these differences alone.
+  is the pivot. Every set is compared with its best pivot once, and what links with one
+  pivot is connected. Where two sets of one pivot still have to be compared, both are put as
+  the pivot's shingles they lack and those they have besides, and compared by these
+  differences alone.
 * Lists are cut into blocks ordered by size and position of the shingle; a block is skipped
   if its sizes and positions rule out that a partner reaches the threshold. Sets that are
-  already linked to each other, over others if need be, are not compared again.
+  already linked to each other, over others if need be, are not compared again: a list of
+  one component goes as a whole, and the members of a list's largest component only meet
+  those outside it.
 
 Equal sets are one set throughout. No pairs within a group of copies are made.
 """
@@ -28,17 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlens.llm.scratch import materialize, small_batches
+from postlens.llm.scratch import discard, materialize, small_batches
 
 MOST_SEEN = 200_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 BLOCK = 64
-#: A list of this many sets or more is processed by pairs of parts rather than whole.
+#: A list of more sets is processed by pairs of parts rather than whole.
 PART = 2_000
+#: The list of a shingle that more texts have is dealt out by set, in salted parts of about this many.
+SALTED = 5_000
 PACK = 1 << 31
-RECENT = 16 << 20
+RECENT = 8 << 20
 
 
 def u64(x: int) -> np.uint64:
@@ -186,7 +191,7 @@ def ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _postings(shared, size: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, rank = shared.value
+        hot, rank, salts = shared.value
         seen: set[int] = set()
         for batch in batches:
             hs, ids, ns, at = [], [], [], []
@@ -203,8 +208,14 @@ def _postings(shared, size: int, percent: int):
                 at.append(len(first))
             if hs:
                 pos = np.concatenate([np.arange(k) for k in at])
+                h, sid = np.concatenate(hs), np.repeat(np.array(ids, np.int64), at)
+                salt = np.zeros(len(h), np.int32)
+                if len(hot):
+                    where = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    salted = (hot[where] == h) & (salts[where] > 0)
+                    salt[salted] = 1 + sid[salted].view(np.uint64) % salts[where[salted]].astype(np.uint64)
                 yield pd.DataFrame({
-                    "h": np.concatenate(hs).view(np.int64), "sid": np.repeat(np.array(ids, np.int64), at),
+                    "h": h.view(np.int64), "salt": salt, "sid": sid,
                     "np": np.repeat(np.array(ns, np.int64), at) * PACK + pos,
                 })
 
@@ -255,15 +266,30 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
 
 def _compare_pivots(size: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each set against its pivot: whether they link, and the set as differences."""
+        """The sets that link with their pivots."""
+        pivots = Recent(size)
+        for batch in batches:
+            rows = []
+            for sid, pivot, s, y in zip(batch["sid"], batch["pivot"], _unpacked(batch["packed"], size), batch["other"], strict=True):
+                p = pivots.get(pivot, y)
+                if linked(len(np.intersect1d(s, p, True)), len(s), len(p), percent):
+                    rows.append((sid, pivot))
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _differences(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets as what their pivots have (as places in the pivot) and they lack, and what they have besides."""
         pivots = Recent(size)
         for batch in batches:
             rows = []
             for sid, n, pivot, s, y in zip(batch["sid"], batch["n"], batch["pivot"], _unpacked(batch["packed"], size), batch["other"], strict=True):
                 p = pivots.get(pivot, y)
-                less, more = np.setdiff1d(p, s, True), np.setdiff1d(s, p, True)
-                rows.append((sid, n, pivot, len(p), linked(len(s) - len(more), len(s), len(p), percent), less.tobytes(), more.tobytes()))
-            yield pd.DataFrame(rows, columns=["sid", "n", "pivot", "n_pivot", "linked", "less", "more"])
+                less = np.flatnonzero(~np.isin(p, s, assume_unique=True)).astype(np.int32)
+                rows.append((sid, n, pivot, len(p), less.tobytes(), np.setdiff1d(s, p, True).tobytes()))
+            yield pd.DataFrame(rows, columns=["sid", "n", "pivot", "n_pivot", "less", "more"])
 
     return run
 
@@ -359,11 +385,11 @@ def _list_pairs(percent: int):
 def _compare_differences(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of one pivot: common = pivot - (what either lacks) + (what both have besides)."""
-        of = lambda x: np.frombuffer(x, np.uint64)
+        of = lambda x, kind=np.uint64: np.frombuffer(x, kind)
         for b in batches:
             keep = []
             for np_, n1, n2, l1, l2, m1, m2 in zip(b["n_pivot"], b["n1"], b["n2"], b["l1"], b["l2"], b["m1"], b["m2"], strict=True):
-                common = np_ - len(np.union1d(of(l1), of(l2))) + len(np.intersect1d(of(m1), of(m2), True))
+                common = np_ - len(np.union1d(of(l1, np.int32), of(l2, np.int32))) + len(np.intersect1d(of(m1), of(m2), True))
                 keep.append(linked(common, n1, n2, percent))
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
@@ -387,19 +413,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for the nodes of edges a, b.
 
     Labels go to neighbours and are then looked up once in themselves, so chains shorten by
-    half in each round. Every round is written to the shared folder.
+    half in each round. Every round is written to the shared folder and replaces the last.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(edges.select(F.inline(ways)).distinct())
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
+    labels = last = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         new = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", "comp", F.least("comp", "m").alias("to"))
         up = new.select(F.col("node").alias("to"), F.col("to").alias("far"))
         after = new.join(up, "to").select("node", F.col("comp").alias("old"), F.least("to", "far").alias("comp"))
         after = materialize(after)
-        labels = after.select("node", "comp")
+        discard(last)
+        labels, last = after.select("node", "comp"), after
         if after.filter("old <> comp").isEmpty():
+            discard(both)
             return labels
 
 
@@ -418,6 +446,41 @@ def _fetch(rows: DataFrame, profiles: DataFrame, needed: DataFrame, best: DataFr
     return out.dropDuplicates(["sid"]) if not profiles.groupBy("uid").count().filter("count > 1").isEmpty() else out
 
 
+def dealt(lists: DataFrame, part: int, broadcast_rows: int) -> DataFrame:
+    """The members of lists that are not all connected yet, as groups h, x, y to be matched.
+
+    lists: h, sid, np (size and position), comp (null: the set alone). A list of at most
+    ``part`` sets is one group. A longer one is dealt out by the hash of the set: those
+    outside its largest component as all pairs x <= y of their parts, and each part of the
+    largest component, which need not meet itself, with each part of the others. Lists of
+    one component give no rows.
+    """
+    members = lists.withColumn("comp", F.coalesce("comp", "sid"))
+    by_comp = members.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    open_ = by_comp.groupBy("h").agg(
+        F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("m")
+    ).filter("k > 1")
+    open_ = materialize(open_.select("h", F.col("top.comp").alias("top"), F.col("top.c").alias("d"), "m"))
+    if open_.count() <= broadcast_rows:
+        open_ = F.broadcast(open_)
+    members = members.join(open_, "h")
+    n_others = F.expr(f"cast(greatest(1, 1 + (m - d - 1) div {part}) as int)")
+    n_main = F.expr(f"cast(1 + (d - 1) div {part} as int)")
+    members = members.select("h", "sid", F.expr(f"np % {PACK}").alias("pos"), "comp", (F.col("comp") == F.col("top")).alias("main"),
+                             "m", n_others.alias("o"), n_main.alias("n"))
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("main"), F.col("n")).otherwise(F.col("o"))).cast("int")
+    whole = F.col("m") <= part
+    own = F.when(whole, 0).when(F.col("main"), F.col("o") + own).otherwise(own)
+    members = members.withColumn("part", own)
+    groups = (
+        F.when(whole, F.expr("array(named_struct('x', 0, 'y', 0))"))
+        .when(F.col("main"), F.expr("transform(sequence(0, o - 1), x -> named_struct('x', x, 'y', part))"))
+        .otherwise(F.expr("""concat(transform(sequence(0, o - 1), z -> named_struct('x', least(part, z), 'y', greatest(part, z))),
+                                    transform(sequence(0, n - 1), z -> named_struct('x', part, 'y', o + z)))"""))
+    )
+    return members.select("h", "sid", "pos", "comp", "part", F.inline(groups))
+
+
 def jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -426,6 +489,7 @@ def jaccard_join(
     percent: int = 80,
     frequent: int = 65_536,
     broadcast_rows: int = 500_000,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, uid (a hash of id and text).
 
@@ -433,8 +497,9 @@ def jaccard_join(
     smallest doc_id that links lead to. Null and wordless texts have no shingles and stay
     alone, with their own doc_id; null ids are no smallest id unless all ids are null;
     repeated rows link like copies. An empty table gives no rows; other columns of docs are
-    not looked at. ``frequent`` shingles (a bound on what is broadcast) come last in the
-    order of shingles; they change the work, not the result.
+    not looked at. Texts of any length are read whole, in slices. ``frequent`` shingles (a
+    bound on what is broadcast) come last in the order of shingles; they and the other bounds
+    on what is broadcast change the work, not the result.
     """
     small_batches(docs.sparkSession)
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
@@ -448,23 +513,27 @@ def jaccard_join(
     top = np.array([tuple(r) for r in top.collect()], np.int64).reshape(-1, 2)  # at most `frequent` rows
     hot = top[:, 0].astype(np.int64).view(np.uint64)
     order = np.argsort(hot)
-    shared = sc.broadcast((hot[order], (-np.arange(len(hot)))[order]))
+    salts = np.where(top[:, 1] > SALTED, 1 + top[:, 1] // SALTED, 0)
+    shared = sc.broadcast((hot[order], (-np.arange(len(hot)))[order], salts[order]))
 
-    # One shuffle: equal sets of a list fall together, and lists of one set go.
-    lists = rows.select("text").mapInPandas(_postings(shared, size, percent), "h long, sid long, np long").repartition("h")
-    lists = lists.groupBy("h", "sid").agg(F.first("np").alias("np"))
-    lists = materialize(lists.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("m > 1"))
+    # One shuffle: equal sets of a list fall together, and lists of one set go. The long lists of
+    # frequent shingles are salted by set, so no task gets a whole one.
+    lists = rows.select("text").mapInPandas(_postings(shared, size, percent), "h long, salt int, sid long, np long").repartition("h", "salt")
+    lists = lists.groupBy("h", "salt", "sid").agg(F.first("np").alias("np"))
+    several = (F.count(F.lit(1)).over(Window.partitionBy("h", "salt")) > 1) | (F.col("salt") > 0)
+    lists = materialize(lists.withColumn("several", several).filter("several").select("h", "sid", "np"))
 
     # The pivot of a list lies in the most lists; a set's pivot is the one it meets most often and may link with.
     weight = materialize(lists.groupBy("sid").agg(F.count(F.lit(1)).alias("w")))
     signs = made.filter("n > 0").select("sid", "n", "sig").join(weight, "sid", "left_semi").groupBy("sid").agg(
         F.first("n").alias("n"), F.first("sig").alias("sig"))
     signs = materialize(signs)
-    few = weight.count() <= broadcast_rows  # else what follows is shuffled by set
+    sizes = signs.agg(F.sum(F.octet_length("sig") + 64)).first()[0] or 0
+    few = sizes <= broadcast_bytes  # else what follows is shuffled by set
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     heavy = lists.select("h", "sid").join(small(weight), "sid")
-    chief = F.max(F.struct("w", "sid")).over(Window.partitionBy("h"))
-    met = heavy.select("sid", chief.alias("p")).select("sid", F.col("p.sid").alias("pivot"), F.col("p.w").alias("pw"))
+    chiefs = materialize(heavy.groupBy("h").agg(F.max(F.struct("w", "sid")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    met = lists.select("h", "sid").join(chiefs, "h").select("sid", F.col("p.sid").alias("pivot"), F.col("p.w").alias("pw"))
     met = met.filter("pivot <> sid").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("pw").alias("pw"))
     met = met.join(small(signs), "sid").join(small(signs.toDF("pivot", "n_pivot", "sig_pivot")), "pivot")
     met = met.mapInPandas(_viable(percent), "sid long, pivot long, k long, pw long")
@@ -472,29 +541,19 @@ def jaccard_join(
     needed = best.select("sid").unionAll(best.select("pivot")).distinct()
     sets = materialize(_fetch(rows, profiles, needed, best, broadcast_rows))
 
-    other = sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("packed").alias("other"))
-    compared = sets.filter("pivot <> sid").select("sid", "n", "pivot", "packed").join(other, "pivot")
-    compared = materialize(compared.mapInPandas(
-        _compare_pivots(size, percent), "sid long, n long, pivot long, n_pivot long, linked boolean, less binary, more binary"
-    ))
-    links = compared.filter("linked").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
+    other = materialize(sets.filter("is_pivot").select(F.col("sid").alias("pivot"), F.col("packed").alias("other")))
+    compared = sets.filter("pivot <> sid").select("sid", "pivot", "packed").join(other, "pivot")
+    links = materialize(compared.mapInPandas(_compare_pivots(size, percent), "a long, b long"))
     known = components(links)
 
-    # Lists whose sets are not all connected yet. A long list is dealt out as all pairs of its
-    # parts: (x, y) with x <= y, each a group of its own.
-    members = lists.join(small(known.withColumnRenamed("node", "sid")), "sid", "left").select(
-        "h", "sid", F.expr(f"np % {PACK}").alias("pos"), F.coalesce("comp", "sid").alias("comp"),
-        F.expr(f"1 + (m - 1) div {PART}").cast("int").alias("parts"),
-    )
-    members = members.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    members = members.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.withColumns({"x": F.least("part", "z"), "y": F.greatest("part", "z")}).drop("z", "parts")
+    members = dealt(lists.join(small(known.withColumnRenamed("node", "sid")), "sid", "left"), PART, broadcast_rows)
     if few:  # signatures are looked up after the shuffle
         members = members.repartition("h", "x", "y").join(small(signs), "sid")
     else:
         members = members.join(signs, "sid").repartition("h", "x", "y")
-    dealt = members.sortWithinPartitions("h", "x", "y")
-    pairs = materialize(dealt.mapInPandas(_list_pairs(percent), "a long, b long").distinct())
+    members = members.sortWithinPartitions("h", "x", "y")
+    pairs = materialize(members.mapInPandas(_list_pairs(percent), "a long, b long").distinct())
+    discard(lists, chiefs, weight, signs)
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     lacking = materialize(paired.join(sets.select("sid"), "sid", "left_anti"))
     if not lacking.isEmpty():
@@ -505,8 +564,11 @@ def jaccard_join(
     sided = materialize(sided.withColumn("alike", F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))))
     asked = materialize(sided.select(F.explode(F.array("a", "b")).alias("sid"), "alike").distinct())
     brief = (lambda x: F.broadcast(x)) if asked.count() <= broadcast_rows else (lambda x: x)
-    delta = compared.select("sid", "n", "pivot", "n_pivot", "less", "more")
-    delta = delta.join(brief(asked.filter("alike").select("sid")), "sid", "left_semi")
+    delta = sets.select("sid", "n", "pivot", "packed").join(brief(asked.filter("alike").select("sid")), "sid", "left_semi")
+    delta = delta.join(other, "pivot").mapInPandas(
+        _differences(size), "sid long, n long, pivot long, n_pivot long, less binary, more binary"
+    )
+    delta = materialize(delta)
     one = delta.toDF("a", "n1", "pivot", "n_pivot", "l1", "m1")
     two = delta.select("sid", "n", "less", "more").toDF("b", "n2", "l2", "m2")
     alike = sided.filter("alike").select("a", "b").join(one, "a").join(two, "b")
@@ -515,6 +577,7 @@ def jaccard_join(
     far = sided.filter("not alike").select("a", "b").join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a")
     more = more.unionAll(far.mapInPandas(_compare_sets(size, percent), "a long, b long"))
     comp = components(links.unionAll(more))
+    discard(links, pairs, sided, asked, delta, other, sets, best)
 
     ids = profiles.filter("n > 0").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
     ids = ids.select("uid", "doc_id", "n", F.coalesce("comp", "sid").alias("comp"))

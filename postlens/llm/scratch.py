@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="postlens-")
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """A new folder below spark.checkpoint.dir.
+
+    Where that is unset, a session whose tasks all run on the driver's machine gets a folder
+    there, as its tasks share it; any other session gets an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="postlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/postlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -39,4 +53,14 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize gave; nothing that is still to run may read them."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            to = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(to, True)

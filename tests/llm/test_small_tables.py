@@ -131,9 +131,10 @@ def components(rows, percent=80):
     return sorted(out)
 
 
-@pytest.mark.parametrize("part,few", [(2_000, 500_000), (3, 0)])
-def test_jaccard(spark, monkeypatch, part, few):
+@pytest.mark.parametrize("part,few,salted", [(2_000, 500_000, 5_000), (3, 0, 2)])
+def test_jaccard(spark, monkeypatch, part, few, salted):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "SALTED", salted)
     r = random.Random(9)
     words = [f"w{i}" for i in range(300)]
     rows, doc = list(ODD) + [(6, "ONE", "c"), (7, "one two", "d")], 10
@@ -149,10 +150,27 @@ def test_jaccard(spark, monkeypatch, part, few):
             doc += 1
     common = " ".join(words[:12])
     rows += [(doc + i, common + " " + " ".join(r.choice(words) for _ in range(20)), "s") for i in range(40)]  # a shared passage
-    got = jaccard.jaccard_join(frame(spark, rows), broadcast_rows=few).collect()
+    rows.append((doc + 50, " ".join(f"v{i % 997} u{i % 1009}" for i in range(30_000)), "s"))  # a very long text
+    got = jaccard.jaccard_join(frame(spark, rows), broadcast_rows=few, broadcast_bytes=few << 7).collect()
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == components(rows)
 
 
+def test_linked_lists_are_not_dealt_out(spark):
+    """A list of one component adds no row; a large component meets only those outside it, once each."""
+    rows = [(1, i, 7, 0) for i in range(50)] + [(2, i, 7, 0) for i in range(50)] + [(2, 90, 7, None), (2, 91, 7, None)] + [(3, i, 7, i) for i in range(4)]
+    lists = spark.createDataFrame(rows, "h long, sid long, np long, comp long")
+    got = jaccard.dealt(lists, 10, 100).collect()
+    assert {r.h for r in got} == {2, 3}
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.h, r.x, r.y].add(r.sid)
+    met = Counter(frozenset((a, b)) for k, g in groups.items() if k[0] == 2 for a in g for b in g if a < b and (a >= 90) + (b >= 90) == 1)
+    assert len(met) == 100 and set(met.values()) == {1}
+    assert sum(r.h == 2 and r.sid < 50 for r in got) == 50
+    assert any({90, 91} <= g for g in groups.values())
+    assert groups[3, 0, 0] == {0, 1, 2, 3}
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_join(frame(spark, ODD).limit(0)).count() == 0
     kept = jaccard.one_of_each(frame(spark, ODD + [(9, "one", "z")])).collect()
