@@ -25,8 +25,8 @@ from sentencepiece import sentencepiece_model_pb2
 from postlens.llm.scratch import small_batches
 
 MARK = "▁"
-#: Encoded words and pair tests kept by a Python worker.
-MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
+#: Encoded words and pair tests kept by a Python worker: about 40 MB each.
+MOST_WORDS, MOST_PAIRS = 200_000, 250_000
 
 
 class Table(dict):
@@ -159,8 +159,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """doc_id, ids (binary, little-endian unsigned 32-bit integers, with begin and end), one row per input row.
 
     Null and empty texts give begin and end only; an empty table gives no rows; repeated rows
-    give repeated rows; other columns of docs are not looked at. The model file is read on
-    the driver and sent to the tasks.
+    give repeated rows; long texts are taken whole; other columns of docs are not looked at.
+    The model file is read on the driver and sent to the tasks.
     """
     shared, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[id_col].dataType.simpleString()
 
@@ -188,11 +188,25 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def digests(docs: DataFrame, model: bytes) -> DataFrame:
+def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode and then decode give, one row per input row.
+
+    Both are done in one Python step. Null and empty texts give begin and end only and decode
+    to an empty text; long texts are taken whole; repeated rows give repeated rows; an empty
+    table gives no rows; other columns of docs are not looked at.
+    """
     small_batches(docs.sparkSession)
-    both = decode(encode(docs, model), model)
-    return both.select(
-        "doc_id",
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = table(shared)
+        for batch in batches:
+            ids = [t.encode(x) for x in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [t.decode(x) for x in ids]})
+
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, ids binary, decoded string").select(
+        F.col("doc_id").cast(kind).alias("doc_id"),
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -37,7 +37,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NO_LEET = "(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+"
 NO_LEET_EDGE = re.compile(f"^{_NO_LEET}|{_NO_LEET}$")
 THRICE = re.compile(r"(.)\1\1")
-SHORTEST, LONGEST, MOST_CACHED = 3, 8, 400_000
+SHORTEST, LONGEST, MOST_CACHED = 3, 8, 150_000
 
 
 @cache
