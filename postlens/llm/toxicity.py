@@ -37,7 +37,9 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NO_LEET = "(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+"
 NO_LEET_EDGE = re.compile(f"^{_NO_LEET}|{_NO_LEET}$")
 THRICE = re.compile(r"(.)\1\1")
-SHORTEST, LONGEST, MOST_CACHED = 3, 8, 150_000
+#: Common punctuation that stands for no letter: words with nothing else around them need no search.
+PLAIN_EDGE = ".,;:?\"'-"
+SHORTEST, LONGEST, MOST_CACHED, MOST_COUNTED = 3, 8, 100_000, 400_000
 
 
 @cache
@@ -181,18 +183,25 @@ class Restorer:
         return self.readings(token)[0]
 
     def words(self, text: str | None) -> tuple[set[str], int]:
-        """The distinct restored words of a text, and how many distinct tokens were changed.
+        """The distinct restored words of a text, and how many distinct tokens, in lower case, were changed.
 
         Three or more single characters in a row are read as words too, at any of their
         boundaries, and four or more as one word; a sign may stand by the first and the last.
         """
-        tokens = text.split() if text else []
+        low = text.lower() if text else ""
+        tokens = low.split()
         single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        thrice = bool(((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & (code[2:] > 64)).any())
         found, changed = set(), 0
         for t in set(tokens):
+            core = t.strip(PLAIN_EDGE)
+            if core.isalpha() and not (thrice and THRICE.search(core)):
+                found.add(core)
+                continue
             got = self.readings(t)
             found.update(got)
-            changed += got[0] not in t.lower()
+            changed += got[0] not in t
         if single.sum() >= 2:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -222,51 +231,61 @@ class Restorer:
         return " ".join(out)
 
 
-def features(words: set[str]) -> Counter[str]:
-    """Words, marked by a closing $, and word beginnings, with the number of distinct words that have them."""
-    out: Counter[str] = Counter()
-    for w in words:
-        out[w + "$"] += 1
-        for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
-            out[w[:k]] += 1
+def features(words: set[str]) -> set[str]:
+    """Words, marked by a closing $, and word beginnings."""
+    out = {w + "$" for w in words}
+    for k in range(SHORTEST, LONGEST + 1):
+        words = [w for w in words if len(w) > k]
+        out.update([w[:k] for w in words])
     return out
 
 
+class Index(dict):
+    """Features by number; counts tells how many distinct words of a set have each."""
+
+    def __init__(self, names):
+        super().__init__((f, i) for i, f in enumerate(names))
+        self.heads = {f.removesuffix("$")[:SHORTEST] for f in self}
+
+    def counts(self, words: set[str]) -> Counter[int]:
+        out: Counter[int] = Counter()
+        heads, get = self.heads, self.get
+        for w in words:
+            if w[:SHORTEST] in heads:
+                for f in (w + "$", *(w[:k] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))):
+                    if (i := get(f)) is not None:
+                        out[i] += 1
+        return out
+
+
 def _count_features(shared):
     """Toxic (a) and clean (b) rows by feature, summed within a task as far as memory allows."""
 
-    def table(counts: dict[str, list[int]]) -> pd.DataFrame:
-        both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"f": pd.Series(list(counts), dtype=object), "a": both[:, 0], "b": both[:, 1]})
+    def table(toxic: Counter[str], clean: Counter[str]) -> pd.DataFrame:
+        names = [*toxic, *(f for f in clean if f not in toxic)]
+        both = [np.fromiter((c[f] for f in names), np.int64, len(names)) for c in (toxic, clean)]
+        return pd.DataFrame({"f": pd.Series(names, dtype=object), "a": both[0], "b": both[1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, counts = Restorer(shared.value), {}
+        restore, toxic, clean = Restorer(shared.value), Counter(), Counter()
         for batch in batches:
-            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-                for f in features(restore.words(text)[0]):
-                    if (n := counts.get(f)) is None:
-                        n = counts[f] = [0, 0]
-                    n[0 if toxic else 1] += 1
-            if len(counts) > 300_000:
-                yield table(counts)
-                counts.clear()
-        yield table(counts)
+            for kind, text in zip(batch["toxic"], batch["text"], strict=True):
+                (toxic if kind else clean).update(features(restore.words(text)[0]))
+                if len(toxic) + len(clean) > MOST_COUNTED:
+                    yield table(toxic, clean)
+                    toxic.clear()
+                    clean.clear()
+        yield table(toxic, clean)
 
     return run
 
 
-def _vectors(shared, index: dict[str, int]):
+def _vectors(shared, index: Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = Restorer(shared.value)
         for batch in batches:
-            at, counts = [], []
-            for text in batch["text"]:
-                f = features(restore.words(text)[0])
-                k = sorted(index[x] for x in f.keys() & index.keys())
-                at.append(k)
-                names = {index[x]: n for x, n in f.items() if x in index}
-                counts.append([names[x] for x in k])
-            yield batch.drop(columns="text").assign(at=at, counts=counts)
+            found = [sorted(index.counts(restore.words(text)[0]).items()) for text in batch["text"]]
+            yield batch.drop(columns="text").assign(at=[[i for i, _ in x] for x in found], counts=[[n for _, n in x] for x in found])
 
     return run
 
@@ -310,7 +329,7 @@ def learn(
     least: float = 8.0,
     sample: int = 20_000,
     broadcast_labels: int = 2_000_000,
-) -> tuple[dict[str, int], np.ndarray]:
+) -> tuple[Index, np.ndarray]:
     """The features and weights of the scorer.
 
     Words and beginnings are counted over all labelled rows outside the fold; Spark weighs
@@ -327,13 +346,13 @@ def learn(
     rows = docs.filter(~in_fold(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(y, "id")
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, m = size.get(1, 0), size.get(0, 0)
-    index: dict[str, int] = {}
+    index = Index(())
     if n and m:
         counts = rows.filter("toxic IN (0, 1)").select("toxic", "text").mapInPandas(_count_features(shared), "f string, a long, b long")
         counts = counts.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 4")
         weighed = counts.select("f", association(F.col("a"), F.col("b"), n, m).alias("score")).filter(F.col("score") >= least)
         best = [r.f for r in weighed.orderBy(F.desc("score"), "f").limit(most).collect()]
-        index = {f: i for i, f in enumerate(best)}
+        index = Index(best)
     order = rows.select("toxic", "text", F.xxhash64("id").alias("o"))
     if n + m > 2 * sample:  # no need to look at many more rows than are fitted
         order = order.filter(F.pmod("o", F.lit(1_000_000)) < int(1.5e6 * sample / (n + m)) + 1)
@@ -346,23 +365,12 @@ def _score(shared, learnt):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = Restorer(shared.value)
         index, weights = learnt.value
-        get, bias = dict(zip(index, weights[:-1].tolist(), strict=True)), float(weights[-1])
-        by_word: dict[str, tuple[str, ...]] = {}
-
-        def known(w: str) -> tuple[str, ...]:
-            f = by_word.get(w)
-            if f is None:
-                if len(by_word) >= MOST_CACHED:
-                    by_word.clear()
-                f = by_word[w] = tuple(x for x in features({w}) if x in get)
-            return f
-
+        weights, bias = weights[:-1].tolist(), float(weights[-1])
         for batch in batches:
             scores, changes = [], []
             for text in batch["text"]:
                 words, changed = restore.words(text)
-                counts = Counter(x for w in words for x in known(w))
-                z = bias + sum(get[x] * math.log2(1 + n) for x, n in sorted(counts.items()))
+                z = bias + sum(weights[i] * math.log2(1 + n) for i, n in sorted(index.counts(words).items()))
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
                 changes.append(changed)
             yield batch.drop(columns="text").assign(score=scores, n_restored=changes)
