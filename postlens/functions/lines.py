@@ -12,31 +12,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.functions.text import fold
+
 # The formats of the logs, a field for each group.
 SEND = {
-    "info": (r"^info msg (\d+): bytes (\d+) from <([^>]*)> qp (\d+) uid (\d+)", "msg_id:long bytes:long sender qp:long uid:long"),
-    "starting": (r"^starting delivery (\d+): msg (\d+) to (local|remote) (\S+)", "delivery_id:long msg_id:long route recipient"),
-    "outcome": (r"(?s)^delivery (\d+): (success|deferral|failure): ([^\n]*)$", "delivery_id:long result detail"),
-    "end": (r"^end msg (\d+)", "msg_id:long"),
-    "concurrency": (r"^status: local (\d+)/(\d+) remote (\d+)/(\d+)", "local_used:long local_max:long remote_used:long remote_max:long"),
+    "info": (r"^info msg ([0-9]+): bytes ([0-9]+) from <([^>]*)> qp ([0-9]+) uid ([0-9]+)", "msg_id:long bytes:long sender qp:long uid:long"),
+    "starting": (r"^starting delivery ([0-9]+): msg ([0-9]+) to (local|remote) (\S+)", "delivery_id:long msg_id:long route recipient"),
+    "outcome": (r"(?s)^delivery ([0-9]+): (success|deferral|failure): ([^\n]*)$", "delivery_id:long result detail"),
+    "end": (r"^end msg ([0-9]+)", "msg_id:long"),
+    "concurrency": (r"^status: local ([0-9]+)/([0-9]+) remote ([0-9]+)/([0-9]+)", "local_used:long local_max:long remote_used:long remote_max:long"),
 }
 SMTP = {
-    "connect": (r"^tcpserver: ok (\d+) \S+?:[0-9.]+:(\d+) :([0-9a-fA-F.:]+)::\d+\s*$", "pid:long local_port:int client_ip"),
-    "recv": (r"^mail recv: pid (\d+) from <([^>]*)> qp (\d+)", "pid:long sender qp:long"),
+    "connect": (r"^tcpserver: ok ([0-9]+) \S+?:[0-9.]+:([0-9]+) :([0-9a-fA-F.:]+)::[0-9]+\s*$", "pid:long local_port:int client_ip"),
+    "recv": (r"^mail recv: pid ([0-9]+) from <([^>]*)> qp ([0-9]+)", "pid:long sender qp:long"),
     "policy": (r"^policy_check: \w+ (\S+) -> \w+ (\S+)( \(AUTHENTICATED SENDER\))?", "auth_user recipient authenticated:mark"),
     "scan": (
-        r"(?s)^simscan:\[(\d+)\]:([A-Z]+) \((-?[0-9.]+)/[0-9.]+\):[0-9.]+s:(.*):([^:]*):([^:]*):([^:]*)$",
+        r"(?s)^simscan:\[([0-9]+)\]:([A-Z]+) \((-?[0-9.]+)/[0-9.]+\):[0-9.]+s:(.*):([^:]*):([^:]*):([^:]*)$",
         "pid:long verdict spam_score:double subject client_ip sender recipient",
     ),
-    "concurrency": (r"^tcpserver: status: (\d+)/(\d+)", "used:long max:long"),
-    "close": (r"^tcpserver: end (\d+) status \d+", "pid:long"),
-    "open": (r"^tcpserver: pid (\d+) from ([0-9a-fA-F.:]+)", "pid:long client_ip"),
+    "concurrency": (r"^tcpserver: status: ([0-9]+)/([0-9]+)", "used:long max:long"),
+    "close": (r"^tcpserver: end ([0-9]+) status [0-9]+", "pid:long"),
+    "open": (r"^tcpserver: pid ([0-9]+) from ([0-9a-fA-F.:]+)", "pid:long client_ip"),
 }
 #: A scan line whose tail has too few fields is no line of any kind.
-SCAN_HEAD = r"^simscan:\[\d+\]:[A-Z]+ \(-?[0-9.]+/[0-9.]+\):[0-9.]+s:"
-LOGIN = r"(?s)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(imap|pop3|submission)-login: \w+: ([^\n]*)$"
-ANY_LOGIN = r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+?[:(]"
-BAN = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})[,.]\d+\s+fail2ban\.actions\s*\[\d+\]:\s*\w+\s+\[([^\]]+)\]\s+(Ban|Unban|Restore Ban)\s+([0-9a-fA-F:.]+)\s*$"
+SCAN_HEAD = r"^simscan:\[[0-9]+\]:[A-Z]+ \(-?[0-9.]+/[0-9.]+\):[0-9.]+s:"
+LOGIN = r"(?s)^([A-Z][a-z]{2})\s+([0-9]{1,2})\s+([0-9]{2}):([0-9]{2}):([0-9]{2})\s+(imap|pop3|submission)-login: \w+: ([^\n]*)$"
+ANY_LOGIN = r"^[A-Z][a-z]{2}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\s+\S+?[:(]"
+BAN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})\s+([0-9]{2}:[0-9]{2}:[0-9]{2})[,.][0-9]+\s+fail2ban\.actions\s*\[[0-9]+\]:\s*\w+\s+\[([^\]]+)\]\s+(Ban|Unban|Restore Ban)\s+([0-9a-fA-F:.]+)\s*$"
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
@@ -93,7 +95,7 @@ def parse_login(rows: DataFrame, year: Column | int, now: Column, zone: str = "U
     return rows.withColumns({
         "ts": ts.cast("timestamp_ntz"), "service": F.nullif(part(6), F.lit("")),
         "result": F.when(line.rlike(LOGIN) & ts.isNotNull(), login_result(rest)),
-        "user": F.nullif(F.lower(F.trim(F.regexp_extract(rest, "user=<([^>]*)>", 1))), F.lit("")),
+        "user": F.nullif(fold(F.regexp_extract(rest, "user=<([^>]*)>", 1)), F.lit("")),
         "client_ip": found(r"\brip=([0-9a-fA-F.:]+)"), "method": found(r"\bmethod=([A-Za-z0-9-]+)"),
         "tls": rest.contains(", TLS") | F.endswith(rest, F.lit("TLS")), "readable": line.rlike(ANY_LOGIN),
     })

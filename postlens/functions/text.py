@@ -19,8 +19,13 @@ GIVING_UP = "Giving_up_on_[^/]*/?"
 DISLIKES = r"^[^/]*_does_not_like_recipient\./"
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def fold(address: Column) -> Column:
-    return F.lower(F.trim(address))
+    return F.lower(strip(address))
 
 
 def domain_of(address: Column) -> Column:

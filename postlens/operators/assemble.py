@@ -1,16 +1,22 @@
 """Records from log lines, in batch form: state machines written as windows over line numbers.
 
-Windows are kept to a message, a delivery or a connection; only the policy rule needs a
-whole log, and sees no lines but those it is about.
+Windows are kept to a message, a delivery or a connection. The policy rule looks one line back
+in a whole log; a log is cut into ranges of lines for it, and each range gets the last line of
+the ranges before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postlens.functions.text import fold
+
 SUBMISSION_PORTS = (587, 465)
+#: Lines of a log in one task, where a rule looks at a whole log.
+RANGE = 1_000_000
+DETAIL, SUBJECT = 1024, 512
 
 
 def _before(*by: str):
@@ -21,7 +27,7 @@ def queue_messages(send: DataFrame) -> DataFrame:
     """One outgoing record for each info line. send: parse_send's columns with logdir, seq, ts."""
     return send.filter("kind = 'info'").select(
         "logdir", "seq", F.lit(None).cast("long").alias("qp"), F.col("qp").alias("queue_qp"), "ts", F.col("ts").alias("queue_ts"),
-        F.lit("out").alias("direction"), F.lower(F.trim("sender")).alias("sender"), "msg_id", F.col("bytes").alias("size_bytes"),
+        F.lit("out").alias("direction"), fold(F.col("sender")).alias("sender"), "msg_id", F.col("bytes").alias("size_bytes"),
     )
 
 
@@ -33,7 +39,7 @@ def deliveries(send: DataFrame) -> DataFrame:
     w = Window.partitionBy("logdir", "delivery_id").orderBy("seq")
     pairs = send.filter("kind in ('starting', 'outcome')").withColumn("last", F.lag(F.struct("kind", "seq", "msg_id", "route", "recipient")).over(w))
     pairs = pairs.filter("kind = 'outcome' and last.kind = 'starting'").select(
-        "logdir", "seq", "ts", "result", "detail", F.col("last.seq").alias("began"), F.col("last.msg_id").alias("msg_id"), F.col("last.route").alias("route"),
+        "logdir", "seq", "ts", "result", F.substring("detail", 1, DETAIL).alias("detail"), F.col("last.seq").alias("began"), F.col("last.msg_id").alias("msg_id"), F.col("last.route").alias("route"),
         F.col("last.recipient").alias("recipient"),
     )
     opened = send.filter("kind in ('info', 'end')").select("logdir", "seq", "msg_id", F.struct("kind", "ts").alias("state"))
@@ -51,6 +57,23 @@ def unmatched(send: DataFrame) -> DataFrame:
     return rows.groupBy("logdir").agg(F.sum(lost.cast("long")).alias("unmatched"))
 
 
+def counters(rows: DataFrame) -> DataFrame:
+    """logdir, lines, malformed (no label), ignored (of no kind) of parsed lines."""
+    return rows.groupBy("logdir").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("ts").isNull()).alias("malformed"), F.count_if(F.col("ts").isNotNull() & F.col("kind").isNull()).alias("ignored")
+    )
+
+
+def line_before(rows: DataFrame, value: Column, size: int = RANGE) -> DataFrame:
+    """Adds before: value of the row before (by seq) in the same logdir."""
+    rows = rows.withColumns({"value": value, "range": F.expr(f"seq div {size}")})
+    last = rows.groupBy("logdir", "range").agg(F.max_by("value", "seq").alias("value"))  # one row a range
+    carried = last.select("logdir", "range", F.lag("value").over(Window.partitionBy("logdir").orderBy("range")).alias("carried"))
+    within = F.lag("value").over(Window.partitionBy("logdir", "range").orderBy("seq"))
+    rows = rows.withColumn("within", within).join(carried, ["logdir", "range"])
+    return rows.withColumn("before", F.coalesce("within", "carried")).drop("within", "carried", "value", "range")
+
+
 def smtp_messages(smtp: DataFrame, default_direction: str = "in", envelope_fallback: bool = False) -> DataFrame:
     """One record for each recv line, with what its connection told before it.
 
@@ -69,11 +92,10 @@ def smtp_messages(smtp: DataFrame, default_direction: str = "in", envelope_fallb
         "from_ip": F.coalesce(last("connect", "client_ip"), first_ip), "port": last("connect", "local_port"), "score": last("scan", "spam_score"),
         "label": last("scan", "verdict"), "title": last("scan", "subject"),
     }).filter("kind = 'recv'")
-    policy = smtp.filter("kind = 'recv' or (kind = 'policy' and authenticated)")
-    groups = F.coalesce(F.sum((F.col("kind") == "recv").cast("int")).over(_before("logdir")), F.lit(0))
-    policy = policy.withColumn("g", groups)
-    policy = policy.withColumn("by", F.last(F.when(F.col("kind") == "policy", F.col("auth_user")), ignorenulls=True).over(_before("logdir", "g")))
-    credited = policy.filter("kind = 'recv'").select("logdir", "seq", "by")
+    # The last authenticated policy line since the last recv is the line before, if only these two kinds are looked at.
+    policy = smtp.filter("kind = 'recv' or (kind = 'policy' and authenticated)").select("logdir", "seq", "kind", "auth_user")
+    policy = line_before(policy, F.struct("kind", "auth_user")).filter("kind = 'recv'")
+    credited = policy.select("logdir", "seq", F.when(F.col("before.kind") == "policy", F.col("before.auth_user")).alias("by"))
     rows = own.join(credited, ["logdir", "seq"])
     direction = F.when(F.col("port").isNull(), default_direction).when(F.col("port").isin(*SUBMISSION_PORTS), "out").otherwise("in")
     rows = rows.withColumn("direction", direction)
@@ -84,8 +106,8 @@ def smtp_messages(smtp: DataFrame, default_direction: str = "in", envelope_fallb
         source = F.when(source.isNotNull(), source).when(out & (F.col("sender") != ""), "envelope")
         user = F.when(out, F.coalesce("by", F.nullif("sender", F.lit(""))))
     return rows.select(
-        "logdir", "seq", "qp", "ts", "direction", F.lower(F.trim("sender")).alias("sender"), F.lower(F.trim(user)).alias("auth_user"), source.alias("auth_source"),
-        F.col("from_ip").alias("client_ip"), F.col("score").alias("spam_score"), F.col("label").alias("verdict"), F.substring("title", 1, 512).alias("subject"),
+        "logdir", "seq", "qp", "ts", "direction", fold(F.col("sender")).alias("sender"), fold(user).alias("auth_user"), source.alias("auth_source"),
+        F.col("from_ip").alias("client_ip"), F.col("score").alias("spam_score"), F.col("label").alias("verdict"), F.substring("title", 1, SUBJECT).alias("subject"),
     )
 
 

@@ -3,11 +3,16 @@
 The logs share no number. A queue record takes the nearest free SMTP record of its sender
 within a few seconds, in the order of arrival. Records of a sender more than that apart
 cannot compete, so a sender's records are cut into islands at larger gaps and every island
-is matched by itself; a busy sender is spread over many tasks.
+is matched by itself. Gaps are found in ranges of time, so a busy sender is spread over many
+tasks for that; an island without gaps is matched in order by one task, which keeps no more
+records than lie within the few seconds.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,28 +20,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SECONDS = 5
+SECONDS, SPAN = 5, 3_600
 
 
-def islands(smtp: DataFrame, queue: DataFrame, seconds: int = SECONDS) -> DataFrame:
-    """sender, island, side, id, us (microseconds) of the records of both sides that may be matched."""
+def islands(smtp: DataFrame, queue: DataFrame, seconds: int = SECONDS, span: int = SPAN) -> DataFrame:
+    """sender, island (when it begins), side, id, us (microseconds) of the records of both sides that may be matched."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("us")
     a = smtp.filter("qp is not null and queue_qp is null").select("sender", F.lit("smtp").alias("side"), F.col("qp").alias("id"), us("ts"))
     b = queue.select("sender", F.lit("queue").alias("side"), F.col("queue_qp").alias("id"), us("queue_ts"))
-    w = Window.partitionBy("sender").orderBy("us", "side", "id")
-    rows = a.unionByName(b).withColumn("new", (F.col("us") - F.lag("us").over(w) > seconds * 1_000_000).cast("int"))
-    return rows.withColumn("island", F.coalesce(F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("new")
+    rows = a.unionByName(b).withColumn("range", F.expr(f"floor(us / {span * 1_000_000})"))
+    w, gap = Window.partitionBy("sender", "range").orderBy("us", "side", "id"), seconds * 1_000_000
+    rows = rows.withColumn("last", F.lag("us").over(w))
+    new = F.col("last").isNull() | (F.col("us") - F.col("last") > gap)
+    rows = rows.withColumn("begins", F.last(F.when(new, F.col("us")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # A range's first run of records belongs to what comes before if that is near: one row a range.
+    ends = rows.groupBy("sender", "range").agg(F.min("us").alias("low"), F.max("us").alias("high"), F.max("begins").alias("latest"))
+    order = Window.partitionBy("sender").orderBy("range")
+    ends = ends.withColumn("joins", F.coalesce(F.col("low") - F.lag("high").over(order) <= gap, F.lit(False)))
+    own = F.when(~F.col("joins") | (F.col("latest") > F.col("low")), F.col("latest"))  # where the island at the range's end begins, if in it
+    ends = ends.withColumn("open", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select("sender", "range", "low", F.when(F.col("joins"), F.col("open")).alias("open"))
+    rows = rows.join(ends, ["sender", "range"])
+    island = F.when(F.col("begins") == F.col("low"), F.coalesce("open", "begins")).otherwise(F.col("begins"))
+    return rows.select("sender", island.alias("island"), "side", "id", "us")
 
 
 def _match(seconds: int):
+    limit = seconds * 1_000_000
+    columns = ["sender", "queue_qp", "queue_us", "qp", "us"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by sender, island, time, with all of an island in one task."""
-        key, free, waiting = None, [], []
+        key, free, waiting = None, [], deque()  # free: sorted (us, id) that may still be taken
 
-        def settled() -> list[tuple[str, int, int, int, int]]:
+        def settled(upto: int | None) -> list[tuple[str, int, int, int, int]]:
+            """Matches of the queue records whose SMTP records have all been seen."""
             out = []
-            for us, id_ in sorted(waiting):
-                near = min(((abs(us - t), t, q) for t, q in free if abs(us - t) <= seconds * 1_000_000), default=None)
+            while waiting and (upto is None or waiting[0][0] + limit < upto):
+                us, id_ = waiting.popleft()
+                del free[: bisect_left(free, (us - limit, -math.inf))]
+                near = min(((abs(us - t), t, q) for t, q in free[: bisect_left(free, (us + limit, math.inf))]), default=None)
                 if near:
                     free.remove(near[1:])
                     out.append((key[0], id_, us, near[2], near[1]))
@@ -46,11 +69,14 @@ def _match(seconds: int):
             rows = []
             for sender, island, side, id_, us in zip(batch["sender"], batch["island"], batch["side"], batch["id"], batch["us"], strict=True):
                 if (sender, island) != key:
-                    rows += settled() if key else []
-                    key, free, waiting = (sender, island), [], []
+                    rows += settled(None) if key else []
+                    key, free = (sender, island), []
+                rows += settled(us)
                 (free if side == "smtp" else waiting).append((us, id_))
-            yield pd.DataFrame(rows, columns=["sender", "queue_qp", "queue_us", "qp", "us"])
-        yield pd.DataFrame(settled() if key else [], columns=["sender", "queue_qp", "queue_us", "qp", "us"])
+                if side == "smtp" and not waiting:  # the next queue record is no earlier
+                    del free[: bisect_left(free, (us - limit, -math.inf))]
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(settled(None) if key else [], columns=columns)
 
     return run
 

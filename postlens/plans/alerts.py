@@ -154,6 +154,32 @@ def evaluate(tables: dict[str, DataFrame], now: str, s: Settings | None = None)
     return out.orderBy("rank", "id")
 
 
+def mail_text(raised: list[dict], host: str) -> tuple[str, str]:
+    """Subject and body of the mail on alerts, worst first; the all-clear without any."""
+    if not raised:
+        return f"{host}: mail is well again", "No alert holds any more.\n"
+    body = [f"{len(raised)} alerts hold on {host}.", ""]
+    for a in raised:
+        body += [f"[{a['severity']}] {a['title']}", f"    {a['detail']}"]
+    return f"{host}: {raised[0]['severity']}: {raised[0]['title']}", "\n".join(body) + "\n"
+
+
+#: Priorities of notifications.
+PRIORITY = {"critical": 5, "serious": 4, "warning": 3}
+
+
+def push_text(raised: list[dict], host: str = "") -> dict | None:
+    """title, message, priority of one notification: the worst alert in full, the others as "also: title"; None without any."""
+    if not raised:
+        return None
+    worst = raised[0]
+    also = [f"also: {a['title']}" for a in raised[1:]]
+    return {
+        "title": f"{host}: {worst['title']}" if host else worst["title"], "message": "\n".join([worst["detail"], *([""] + also if also else [])]),
+        "priority": PRIORITY.get(worst["severity"], 3),
+    }
+
+
 def changed(now: DataFrame, before: DataFrame) -> bool:
     """Whether the set of alert ids differs from the one stored before."""
     a, b = now.select("id").distinct(), before.select("id").distinct()

@@ -237,15 +237,16 @@ def fold_aliases(rows: DataFrame, aliases: dict[str, str], key: str, group: list
     """Rows of alias domains are added to those of the real domain: numbers are summed, other columns come from the first row."""
     if aliases:
         pairs = [F.lit(x) for kv in sorted(aliases.items()) for x in kv]
-        rows = rows.withColumn(key, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(key)), F.col(key)))
+        rows = rows.withColumn(key, F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(key)), F.col(key)))
     numeric = {c for c, t in rows.dtypes if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")}
     first = F.struct(*order)
     return rows.groupBy(*group).agg(*[(F.sum(c) if c in numeric else F.min_by(c, first)).alias(c) for c in rows.columns if c not in group])
 
 
-def aliases_from_config(section: dict[str, str]) -> dict[str, str]:
-    """alias -> domain of lines like `real = alias, alias`."""
-    return {a.strip().lower(): real_.strip().lower() for real_, names in section.items() for a in names.split(",") if a.strip()}
+def aliases_from_config(aliases: str) -> dict[str, str]:
+    """alias -> real domain of text like `alias:real, alias:real`, in lower case; what lacks either is left out."""
+    pairs = [[x.strip().lower() for x in item.split(":", 1)] for item in aliases.split(",") if ":" in item]
+    return {alias: name for alias, name in pairs if alias and name}
 
 
 def blocked_summary(ban_event: DataFrame, since: str, until: str) -> DataFrame:

@@ -127,7 +127,7 @@ report("recipient_fold", "SELECT event_id, recipient, recipient_domain FROM deli
 
 # Alerts, relative to a fixed now and with limits at which each rule speaks.
 _HOUR = f"ts > TIMESTAMP '{ALERT_NOW}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{ALERT_NOW}'"
-_alert = lambda id_, sev, title, detail, rest: f"SELECT '{id_}' AS id, '{sev}' AS severity, '{title}' AS title, {detail} AS detail, {alerts.RANK[sev]}::INT AS rank {rest}"
+_alert = lambda id_, sev, title, detail, rest: f"SELECT '{id_}' AS id, '{sev}' AS severity, '{title.replace("'", "''")}' AS title, {detail} AS detail, {alerts.RANK[sev]}::INT AS rank {rest}"
 report("alert_bounce_storm", _alert("bounce_storm", "critical", "Bounces that nobody can get", "format('{} bounces were discarded within an hour.', n)", f"FROM (SELECT count(*) AS n FROM delivery WHERE recipient = '#@[]' AND {_HOUR}) WHERE n >= 0"),
        lambda d: alerts.bounce_storm(d, ALERT_NOW, LIMITS), "delivery")
 report("alert_delivery_failing", _alert("delivery_failing", "critical", "Outgoing mail is refused", "format('{} of {} attempts failed within an hour.', b, n)",
@@ -300,9 +300,118 @@ def _dedupe_auth(spark, sf_dir):
     return merge.dedupe_auth(a.unionByName(a)).drop("id")
 
 
-@register("correlate_nearest", None)
+# The matches are made one after another, a step for each queue record of a sender; senders go side by side.
+@register("correlate_nearest", """WITH RECURSIVE e AS (SELECT concat('s', user_id % 20, '@a.test') AS sender, event_id, ts, epoch_us(ts) AS us, CAST(CAST(value AS DOUBLE) % 60 AS DECIMAL(8, 6)) AS late FROM events),
+  q AS (SELECT sender, event_id, ts - to_microseconds(CAST(late * 1000000 AS BIGINT)) - INTERVAL 4 MINUTE AS queue_ts FROM e WHERE event_id % 2 = 1),
+  near AS (SELECT q.sender, q.event_id AS queue_qp, q.queue_ts, row_number() OVER (PARTITION BY q.sender ORDER BY q.queue_ts, q.event_id) AS n,
+    list(s.event_id ORDER BY abs(s.us - epoch_us(q.queue_ts)), s.ts, s.event_id) FILTER (s.event_id IS NOT NULL) AS c
+    FROM q LEFT JOIN e s ON s.sender = q.sender AND s.event_id % 2 = 0 AND abs(s.us - epoch_us(q.queue_ts)) <= 120000000 GROUP BY 1, 2, 3),
+  r AS (SELECT DISTINCT sender, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS queue_qp, NULL::TIMESTAMP AS queue_ts, NULL::BIGINT AS qp FROM q
+    UNION ALL SELECT sender, n, CASE WHEN qp IS NULL THEN used ELSE list_append(used, qp) END, queue_qp, queue_ts, qp
+    FROM (SELECT r.sender, near.n, r.used, near.queue_qp, near.queue_ts, list_filter(near.c, lambda x: NOT list_contains(r.used, x))[1] AS qp FROM r JOIN near ON near.sender = r.sender AND near.n = r.n + 1))
+  SELECT r.sender, r.queue_qp, r.queue_ts, r.qp, e.ts FROM r JOIN e ON e.event_id = r.qp""", prefix=False)
 def _correlate(spark, sf_dir):
     e = D.events(spark, sf_dir).withColumn("sender", F.expr("concat('s', user_id % 20, '@a.test')"))
     smtp = e.filter("event_id % 2 = 0").selectExpr("sender", "event_id as qp", "cast(null as bigint) as queue_qp", "ts")
     queue = e.filter("event_id % 2 = 1").selectExpr("sender", "event_id as queue_qp", "ts - make_dt_interval(0, 0, 4, cast(value % 60 as decimal(8,6))) as queue_ts")
     return correlate.correlate(smtp, queue, 120)
+
+
+# The same reports over a part of the range, so that the range cuts.
+PART = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
+_IN = lambda c: f"{c} >= TIMESTAMP '{PART[0]}' AND {c} < TIMESTAMP '{PART[1]}'"
+report("summary_week", SQL["summary"].removeprefix(D.PREFIX).replace(RANGE, _IN("ts")), lambda m, d: R.summary(m, d, *PART), "message", "delivery")
+report("mailbox_outcomes_week", f"""SELECT *, round(100.0 * successes / nullif(attempts, 0), 2) AS success_rate FROM (SELECT count(*) AS sent FROM message WHERE auth_user = '{WHO}' AND {_IN("ts")}),
+  (SELECT count(*) AS received FROM delivery WHERE recipient = '{WHO}' AND route = 'local' AND result = 'success' AND {_IN("ts")}),
+  (SELECT count(*) AS attempts, {OUTCOMES} {_JOIN} WHERE auth_user = '{WHO}' AND {_IN("d.ts")})""",
+       lambda m, d: R.mailbox_outcomes(m, d, *PART, WHO), "message", "delivery")
+report("mailbox_sent_to_week", SQL["mailbox_sent_to"].removeprefix(D.PREFIX).replace("GROUP BY", f"AND {_IN('d.ts')} GROUP BY"), lambda m, d: R.mailbox_sent_to(m, d, *PART, WHO), "message", "delivery")
+report("mailbox_received_from_week", SQL["mailbox_received_from"].removeprefix(D.PREFIX).replace("GROUP BY", f"AND {_IN('d.ts')} GROUP BY"), lambda m, d: R.mailbox_received_from(m, d, *PART, LOCAL), "message", "delivery")
+report("domain_flow_week", SQL["domain_flow"].removeprefix(D.PREFIX).replace("GROUP BY", f"AND {_IN('d.ts')} GROUP BY"), lambda m, d: R.domain_flow(m, d, *PART), "message", "delivery")
+report("failure_reasons_week", SQL["failure_reasons"].removeprefix(D.PREFIX).replace("  GROUP BY", f"  AND {_IN('d.ts')} GROUP BY"), lambda m, d: R.failure_reasons(m, d, *PART), "message", "delivery")
+report("failure_detail_week", _DETAIL + f" AND {_IN('d.ts')} ORDER BY d.ts DESC, d.msg_id, recipient LIMIT 200", lambda m, d: R.failure_detail(m, d, *PART).drop("detail"), "message", "delivery")
+report("retry_summary_week", SQL["retry_summary"].removeprefix(D.PREFIX).replace("GROUP BY 1, 2, 3)", f"AND {_IN('ts')} GROUP BY 1, 2, 3)", 1), lambda d: R.retry_summary(d, *PART), "delivery")
+report("access_summary_week", SQL["access_summary"].removeprefix(D.PREFIX).replace("GROUP BY", f"WHERE {_IN('ts')} GROUP BY"), lambda a: R.access_summary(a, *PART), "auth_event")
+
+# Aliases from a configuration, and a heartbeat and a parser's state for the alerts on them.
+report("alias_config_fold", f"""SELECT CASE recipient_domain WHEN 'dst1.test' THEN 'dst0.test' ELSE recipient_domain END AS recipient_domain, sum(attempts)::BIGINT AS attempts FROM
+  (SELECT recipient_domain, count(*) AS attempts FROM delivery WHERE route = 'remote' AND recipient <> '#@[]' AND {RANGE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) GROUP BY 1""",
+       lambda d: R.fold_aliases(R.top_recipients(d, SINCE, UNTIL).select("recipient_domain", "attempts"), R.aliases_from_config(" DST1.test : Dst0.TEST, , x:, :y"), "recipient_domain", ["recipient_domain"], [F.negative("attempts"), F.col("recipient_domain")]), "delivery")
+report("alert_heartbeat_late", _alert("parser_stalled", "serious", "No news from the parser", "format('The last sign is {} minutes old.', a)", "FROM (SELECT date_sub('minute', max(ts) - INTERVAL 90 SECOND, TIMESTAMP '2024-02-02 00:00:00') AS a FROM ban_event) WHERE a >= 1"),
+       lambda m, b: alerts.parser_stalled(m, b.select((F.col("ts") - F.expr("INTERVAL 90 SECOND")).alias("ts")), "2024-02-02 00:00:00", LIMITS), "message", "ban_event")
+report("alert_parser_state", _alert("parser_state_large", "serious", "The parser's state has grown", "format('The state of {} takes {} KB.', g, b // 1024)",
+       "FROM (SELECT concat('log', user_id % 5) AS g, (count(*) * 1024 * 1024 + user_id % 5)::BIGINT AS b FROM events GROUP BY 1, user_id % 5 ORDER BY b DESC, g LIMIT 1) WHERE b > 1024 * 1024"),
+       lambda a: alerts.parser_state_large(a.groupBy(F.expr("cast(substring(client_ip, 9) as int) % 5").alias("g")).count().selectExpr("concat('log', g) as logdir", "count * 1024 * 1024 + g as bytes"), LIMITS), "auth_event")
+
+
+# Merges and rules that the queries above do not reach.
+@register("merge_queue_minute", "SELECT minute, local_max_used::BIGINT AS local_max_used, local_limit::BIGINT + 1 AS local_limit, remote_max_used::BIGINT AS remote_max_used, remote_limit::BIGINT - 1 AS remote_limit FROM queue_minute")
+def _merge_queue_minute(spark, sf_dir):
+    q = D.queue_minute(spark, sf_dir).select("minute", *[F.col(c).cast("long").alias(c) for c in ("local_max_used", "local_limit", "remote_max_used", "remote_limit")])
+    later = q.withColumns({"local_max_used": F.col("local_max_used") - 1, "remote_max_used": F.col("remote_max_used") - 1, "local_limit": F.col("local_limit") + 1, "remote_limit": F.col("remote_limit") - 1})
+    return merge.merge_queue_minutes(q.withColumn("seq", F.lit(1)).unionByName(later.withColumn("seq", F.lit(2))))
+
+
+@register("dedupe_ban", "SELECT DISTINCT ts, jail, ip, action FROM ban_event")
+def _dedupe_ban(spark, sf_dir):
+    b = D.ban_event(spark, sf_dir).drop("event_id")
+    return merge.dedupe_bans(b.unionByName(b))
+
+
+@register("not_applied", "SELECT msg_id AS queue_qp, ts AS queue_ts FROM message WHERE msg_id % 3 <> 0 OR msg_id % 2 = 1")
+def _not_applied(spark, sf_dir):
+    m = D.message(spark, sf_dir)
+    done = m.filter("msg_id % 3 = 0").selectExpr("msg_id as queue_qp", "if(msg_id % 2 = 1, ts + interval 2 milliseconds, ts) as queue_ts")
+    return merge.not_applied(m.selectExpr("msg_id as queue_qp", "ts as queue_ts"), done)
+
+
+@register("merge_sides", """SELECT concat('m', msg_id, '@a.test') AS sender, msg_id AS qp, CASE WHEN msg_id % 4 < 2 THEN msg_id + 1 END AS queue_qp, CASE WHEN msg_id % 4 < 2 THEN size_bytes END AS size_bytes FROM message
+  UNION ALL SELECT concat('m', msg_id, '@a.test'), NULL, msg_id + 1, size_bytes FROM message WHERE msg_id % 4 = 2""")
+def _merge_sides(spark, sf_dir):
+    m = D.message(spark, sf_dir).withColumn("sender", F.expr("concat('m', msg_id, '@a.test')"))
+    none = {"msg_id": "bigint", "size_bytes": "bigint", "queue_qp": "bigint", "queue_ts": "timestamp_ntz"}
+    smtp = m.selectExpr("sender", "msg_id as qp", "ts", "direction", *[f"cast(null as {k}) as {c}" for c, k in none.items()])
+    queue = m.filter("msg_id % 4 < 3").selectExpr("sender", "msg_id + 1 as queue_qp", "ts + make_interval(0, 0, 0, 0, 0, 0, if(msg_id % 4 = 2, 20, 2)) as queue_ts", "msg_id", "size_bytes", "direction")
+    return correlate.merge_sides(smtp, queue).select("sender", "qp", "queue_qp", "size_bytes")
+
+
+@register("role_default", f"""SELECT r.seq AS qp, 'out' AS direction, CASE WHEN y.u % 3 = 0 THEN concat('u', y.u, '@a.test') ELSE concat('s', r.u, '@a.test') END AS auth_user,
+  CASE WHEN y.u % 3 = 0 THEN 'policy_check' ELSE 'envelope' END AS auth_source, '192.0.2.9' AS client_ip FROM ({_SMTP}) r JOIN ({_SMTP}) y ON y.p = r.p AND y.k = 4 AND r.k = 5""", prefix=False)
+def _role_default(spark, sf_dir):
+    rows = lines.parse_smtp(_smtp_lines(spark, sf_dir).filter("seq % 8 <> 1"))
+    return assemble.smtp_messages(rows, "out", True).select("qp", "direction", "auth_user", "auth_source", "client_ip")
+
+
+@register("queue_minutes_held", f"SELECT minute, remote_max_used FROM (SELECT date_trunc('minute', ts) AS minute, max(u % 60) AS remote_max_used, max(date_trunc('minute', max(ts))) OVER () AS newest FROM ({_SEND}) WHERE k = 3 AND u % 2 = 1 GROUP BY 1) WHERE minute < newest", prefix=False)
+def _queue_minutes_held(spark, sf_dir):
+    return assemble.queue_minutes(lines.parse_send(_send_lines(spark, sf_dir)), hold_newest=True).select("minute", "remote_max_used")
+
+
+@register("service_minutes_held", f"SELECT minute, connects FROM (SELECT date_trunc('minute', ts) AS minute, count(*) FILTER (k = 0) AS connects, max(date_trunc('minute', max(ts))) OVER () AS newest FROM ({_SMTP}) WHERE k IN (0, 2, 5) GROUP BY 1) WHERE minute < newest", prefix=False)
+def _service_minutes_held(spark, sf_dir):
+    return assemble.service_minutes(lines.parse_smtp(_smtp_lines(spark, sf_dir)), hold_newest=True).select("minute", "connects")
+
+
+@register("login_minutes", """SELECT ['imap', 'pop3', 'submission'][user_id % 3 + 1] AS service, date_trunc('minute', ts) AS minute, count(*) AS connects, count(*) FILTER (event_id % 3 = 0) AS messages FROM events GROUP BY 1, 2""", prefix=False)
+def _login_minutes(spark, sf_dir):
+    return assemble.login_minutes(_parse_logins(spark, sf_dir)).select("service", "minute", "connects", "messages")
+
+
+@register("login_years", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN TIMESTAMP '2024-02-29 10:00:00' WHEN date_trunc('second', ts) > TIMESTAMP '2024-01-11 00:00:00' THEN date_trunc('second', ts) - INTERVAL 1 YEAR
+  ELSE date_trunc('second', ts) END AS ts, event_id % 5 <> 0 AS readable FROM events""", prefix=False)
+def _login_years(spark, sf_dir):
+    """Dates without a year: a leap day in a year that lacks it, days ahead of now, and lines that are none."""
+    rows = D.events(spark, sf_dir).select("event_id", F.expr("""case event_id % 5 when 0 then 'no date at all' when 1 then 'Feb 29 10:00:00 imap-login: Info: Login: user=<a@b.test>, rip=192.0.2.1'
+      else concat(date_format(ts, 'MMM dd HH:mm:ss'), ' pop3-login: Info: Login: user=<a@b.test>, rip=192.0.2.1') end""").alias("line"), F.expr("if(event_id % 5 = 1, 2025, 2024)").alias("year"))
+    return lines.parse_login(rows, F.col("year"), F.lit("2024-01-10 00:00:00")).select("event_id", "ts", "readable")
+
+
+@register("line_counters", f"SELECT 'log' AS logdir, count(*) AS lines, 0::BIGINT AS malformed, count(*) FILTER (k = 7) AS ignored FROM ({_SMTP})", prefix=False)
+def _line_counters(spark, sf_dir):
+    return assemble.counters(lines.parse_smtp(_smtp_lines(spark, sf_dir)))
+
+
+@register("unmatched_outcomes", f"SELECT 'log' AS logdir, count(*) AS unmatched FROM ({_SEND}) WHERE k = 2 AND m % 3 = 0", prefix=False)
+def _unmatched_outcomes(spark, sf_dir):
+    rows = _send_lines(spark, sf_dir).filter("m % 3 <> 0 or event_id % 4 <> 1")  # the starts of every third are missing
+    return assemble.unmatched(lines.parse_send(rows))

@@ -1,8 +1,12 @@
 """Streams of log files, read to their end twice with files added between."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postlens.functions import lines as L
+from postlens.operators import assemble
 from postlens.sources.logs import stream_lines
 from postlens.streaming import ingest
 
@@ -44,3 +48,57 @@ def test_deliveries_over_batches(spark, tmp_path):
     got = sorted(spark.read.parquet(table).collect(), key=lambda r: r.seq)
     assert [(r.seq, r.msg_id, r.route, r.result) for r in got] == [(200, 7, "remote", "deferral"), (203, 7, "local", "success")]
     assert got[0].msg_ts is not None and got[1].msg_ts is None  # the message had ended before the second start
+
+
+def test_sessions_over_batches_equal_those_of_one_batch(spark, tmp_path):
+    r, text = random.Random(6), []
+    for _ in range(400):
+        pid = r.randrange(12)
+        text.append(r.choice([
+            f"tcpserver: ok {pid} mx:192.0.2.2:{r.choice([25, 587, 465])} :192.0.2.{pid}::99", f"mail recv: pid {pid} from <S{pid}@a.test> qp {r.randrange(10**6)}", f"tcpserver: end {pid} status 0",
+            f"simscan:[{pid}]:SPAM ({pid}.5/12.0):0.1s:a: b:198.51.100.{pid}:s@a.test:r@b.test", f"policy_check: local U{pid}@a.test -> remote r@b.test{r.choice(['', ' (AUTHENTICATED SENDER)'])}",
+        ]))
+    src, table, mark, beats = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark"), str(tmp_path / "beats")
+    src.mkdir()
+    read = lambda lines: lines.select(
+        F.lit("smtp").alias("logdir"), F.split("line", "[|]")[0].cast("long").alias("seq"), F.timestamp_seconds(F.split("line", "[|]")[0].cast("long")).alias("ts"), F.split("line", "[|]")[1].alias("text")
+    )
+    assert ingest.beats(spark, beats) is None
+    for k, cut in enumerate((0, 130, 131, 300)):
+        end = (130, 131, 300, 400)[k]
+        put(src, f"f{k}", [f"{i}|{text[i]}" for i in range(cut, end)])
+        rows = L.parse_smtp(read(stream_lines(spark, str(src))))
+        ingest.store(ingest.smtp_messages(rows, "out", True), table, mark, ["logdir", "seq", "ts"], heartbeat=beats).awaitTermination(120)
+    columns = ["seq", "qp", "direction", "sender", "auth_user", "auth_source", "client_ip", "spam_score", "verdict", "subject"]
+    batch = assemble.smtp_messages(L.parse_smtp(read(spark.createDataFrame([(f"{i}|{x}",) for i, x in enumerate(text)], "line string"))), "out", True)
+    want = sorted(tuple(map(str, x)) for x in batch.select(columns).collect())
+    assert sorted(tuple(map(str, x)) for x in spark.read.parquet(table).select(columns).collect()) == want
+    assert ingest.beats(spark, beats).count() == 4
+
+
+def test_open_sessions_are_bounded(monkeypatch):
+    monkeypatch.setattr(ingest, "MOST_SESSIONS", 2)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, x):
+            self.get = x
+
+    state, t = State(), pd.Timestamp("2026-09-15 10:00:00")
+    line = lambda i, kind, pid: {"seq": i, "ts": t, "kind": kind, "pid": pid, "local_port": 25, "client_ip": f"192.0.2.{pid}", "auth_user": None, "authenticated": False, "sender": "s", "qp": i}
+    rows = pd.DataFrame([line(1, "connect", 1), line(2, "connect", 2), line(3, "connect", 3), line(4, "recv", 1), line(5, "recv", 3)])
+    out = pd.concat(ingest._sessions("out", False)(("log",), iter([rows]), state))
+    assert list(out["client_ip"]) == [None, "192.0.2.3"] and list(out["direction"]) == ["out", "in"]
+
+
+def test_service_minutes_keep_the_last_limit(spark, tmp_path):
+    src, table, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    src.mkdir()
+    put(src, "a", ["1|tcpserver: status: 3/100", "2|tcpserver: status: 2/40", "500|tcpserver: status: 1/40"])
+    rows = stream_lines(spark, str(src)).select(
+        F.lit("smtp").alias("logdir"), F.split("line", "[|]")[0].cast("long").alias("seq"), F.timestamp_seconds(F.split("line", "[|]")[0].cast("long")).alias("ts"), F.split("line", "[|]")[1].alias("text")
+    )
+    ingest.store(ingest.service_minutes(L.parse_smtp(rows)), table, mark).awaitTermination(120)
+    got = spark.read.parquet(table).collect()
+    assert [(x.max_concurrency, x.limit_value) for x in got] == [(3, 40)]
