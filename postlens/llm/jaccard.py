@@ -92,9 +92,9 @@ def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def _long_words(data: bytes) -> np.ndarray:
+def long_words(data: bytes) -> np.ndarray:
     """Hashes of the words of a text of any length, taken in slices that end at a space."""
-    out, at = [], 0
+    out, at = [np.zeros(0, np.uint64)], 0
     while at < len(data):
         cut = re.compile(rb"[ \t-\r]").search(data, min(at + SLICE, len(data)))
         end = cut.start() if cut else len(data)
@@ -115,7 +115,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for part in _pieces(texts):
         if len(part) == 1 and len(part[0]) > SLICE:
-            words, bounds = _long_words(part[0]), [0, None]
+            words, bounds = long_words(part[0]), [0, None]
         else:
             at, words = word_hashes(b" ".join(part))
             bounds = np.searchsorted(at, np.cumsum([0] + [len(x) + 1 for x in part])).tolist()

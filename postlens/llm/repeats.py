@@ -1,27 +1,30 @@
-"""Removal of repeated text by sorted suffixes.
+"""Removal of repeated text by sorted suffixes, and passages of words that occur elsewhere.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it starts at two places or more.
-Sorting the suffixes at every byte of a corpus is out of reach, so suffixes are sorted at
-anchors only, and what is known of an anchor settles the places before it:
+A text is a sequence of units: bytes, or words. A unit is repeated if a string of
+``length`` units that covers it starts at two places or more. Sorting the suffixes at every
+unit of a corpus is out of reach, so suffixes are sorted at anchors only, and what is known
+of an anchor settles the places before it:
 
-1. The anchor of a place is the place of the smallest hash among the next WINDOW places.
-   It depends on the LENGTH bytes from the place on alone, so equal strings have equal
-   anchors, and the SHARED bytes after the anchor are part of both.
-2. Anchors whose SHARED bytes occur once are dropped by a count. Anchors with equal
+1. The anchor of a place is the place of the smallest hash among the next ``window`` places.
+   It depends on the ``length`` units from the place on alone, so equal strings have equal
+   anchors, and the ``shared`` units after the anchor are part of both.
+2. Anchors whose shared units occur once are dropped by a count. Anchors with equal
    surroundings settle each other; one of them stands for all of them.
-3. What is left, anchors with equal SHARED bytes but different surroundings, is sorted
+3. What is left, anchors with equal shared units but different surroundings, is sorted
    group by group: multikey quicksort on words down to SHALLOW bytes, then a blind trie
    for each set of suffixes that still agree. Each interval of the sorted suffixes with a
    common prefix is then matched with the common lengths to the left of the anchor: a
-   place is repeated if what both sides share adds up to LENGTH.
+   place is repeated if what both sides share adds up to ``length``.
 
-Groups of more than MOST surroundings are not gathered: their places are settled by two
-64-bit hashes of each string, counted by Spark.
+A group of more than MOST surroundings is dealt out first. Two places that match share l units
+to the left and r to the right of their anchors, and l + r is known; so they share one of a
+few pairs of shorter strings, and a group for each of these pairs of strings is sorted alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -30,15 +33,40 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import materialize, small_batches
+from postlens.llm import jaccard
+from postlens.llm.scratch import discard, materialize, small_batches
 
-LENGTH, WINDOW, GRAM, SHALLOW = 400, 200, 16, 16
-SHARED = LENGTH - WINDOW + 1
-SLICE = 1 << 20
-MOST = 20_000
+SLICE = 1 << 19
+SHALLOW = 16
+#: Groups of more surroundings are dealt out by steps of the first, then of the second share of what is not shared.
+MOST, STEPS = 20_000, (0.2, 0.04)
 BASE = 0x9E3779B97F4A7C15
 
 
+@dataclass(frozen=True)
+class Rule:
+    """length, window, gram: in units; width: bytes of a unit as it is compared (1: bytes, 8: hashes of words)."""
+
+    length: int
+    window: int
+    gram: int
+    width: int
+
+    @property
+    def shared(self) -> int:
+        return self.length - self.window + 1
+
+    def units(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.uint8) if self.width == 1 else jaccard.long_words(data)
+
+    def raw(self, units: np.ndarray) -> bytes:
+        return units.tobytes() if self.width == 1 else units.astype(">u8").tobytes()
+
+
+BYTES, WORDS = Rule(400, 200, 16, 1), Rule(50, 25, 2, 8)
+LENGTH = BYTES.length
+
+
 def u64(x: int) -> np.uint64:
     return np.uint64(x % (1 << 64))
 
@@ -59,50 +87,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> u64(29))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For texts that lie one after another in data (at most 2^24 bytes): runs of places with one anchor.
+def anchors(rule: Rule, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts that lie one after another in data (at most 2^24 units): runs of places with one anchor.
 
-    Returns first place, last place, anchor, hash of the SHARED bytes, hash of the surroundings.
+    Returns first place, last place, anchor, hash of the shared units, hash of the surroundings.
     """
-    none = np.zeros(0, np.int64)
+    none, length, window, gram = np.zeros(0, np.int64), rule.length, rule.window, rule.gram
     up, down = powers(SLICE * 2)
     valid = np.zeros(len(data) + 1, bool)
     for s, e in zip(starts, ends, strict=True):
-        if e - s >= LENGTH:
-            valid[s : e - LENGTH + 1] = True
+        if e - s >= length:
+            valid[s : e - length + 1] = True
     if not valid.any():
         return none, none, none, none, none
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + u64(1)) * up[: len(data)], out=sums[1:])
 
-    def hashed(at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (sums[at + length] - sums[at]) * down[at]
+    def hashed(at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (sums[at + size] - sums[at]) * down[at]
 
-    key = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
+    key = mix((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
     key = (key >> u64(24) << u64(24)) | np.arange(len(key), dtype=np.uint64)
-    blocks = np.full(-(-len(key) // WINDOW) * WINDOW, u64(-1), np.uint64)
+    blocks = np.full(-(-len(key) // window) * window, u64(-1), np.uint64)
     blocks[: len(key)] = key
-    blocks = blocks.reshape(-1, WINDOW)
+    blocks = blocks.reshape(-1, window)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: len(key) - WINDOW + 1], left[WINDOW - 1 : len(key)])
+    least = np.minimum(right[: len(key) - window + 1], left[window - 1 : len(key)])
     places = np.flatnonzero(valid[: len(least)])
     anchor = (least[places] & u64(0xFFFFFF)).astype(np.int64)
     new = np.ones(len(places), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (places[1:] != places[:-1] + 1)
     at = np.flatnonzero(new)
     first, last, anchor = places[at], places[np.append(at[1:], len(places)) - 1], anchor[at]
-    length = last - first + LENGTH
-    around = hashed(first, length) + (anchor - first).astype(np.uint64) * u64(0xD6E8FEB86659FD93)
-    around = mix(around + length.astype(np.uint64) * u64(0xA0761D6478BD642F))
-    return first, last, anchor, mix(hashed(anchor, SHARED)).view(np.int64), around.view(np.int64)
+    size = last - first + length
+    around = hashed(first, size) + (anchor - first).astype(np.uint64) * u64(0xD6E8FEB86659FD93)
+    around = mix(around + size.astype(np.uint64) * u64(0xA0761D6478BD642F))
+    return first, last, anchor, mix(hashed(anchor, rule.shared)).view(np.int64), around.view(np.int64)
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows(parts: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+def _anchor_rows(rule: Rule):
+    def rows(parts: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
         ends = np.cumsum([len(x) for _, _, x in parts])
         starts = np.concatenate([[0], ends[:-1]])
-        first, last, anchor, shared, around = anchors(np.frombuffer(b"".join(x for *_, x in parts), np.uint8), starts, ends)
+        first, last, anchor, shared, around = anchors(rule, np.concatenate([x for *_, x in parts]), starts, ends)
         of = np.searchsorted(starts, first, "right") - 1 if len(first) else first
         uid, base = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
         return pd.DataFrame({
@@ -110,19 +138,22 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "left": (anchor - first).astype(np.int32), "places": (last - first + 1).astype(np.int32),
         })
 
-    for batch in batches:
-        parts, size = [], 0
-        for uid, text in zip(batch["uid"], batch["text"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for base in range(0, max(1, len(data) - LENGTH + 1), SLICE):
-                piece = data[base : base + SLICE + LENGTH - 1]
-                if size + len(piece) > SLICE * 3 // 2 and parts:
-                    yield rows(parts)
-                    parts, size = [], 0
-                parts.append((uid, base, piece))
-                size += len(piece)
-        if parts:
-            yield rows(parts)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts, size = [], 0
+            for uid, text in zip(batch["uid"], batch["text"], strict=True):
+                data = rule.units(text.encode("utf-8", "surrogatepass"))
+                for base in range(0, max(1, len(data) - rule.length + 1), SLICE):
+                    piece = data[base : base + SLICE + rule.length - 1]
+                    if size + len(piece) > SLICE * 3 // 2 and parts:
+                        yield rows(parts)
+                        parts, size = [], 0
+                    parts.append((uid, base, piece))
+                    size += len(piece)
+            if parts:
+                yield rows(parts)
+
+    return run
 
 
 def lcp(a: int, b: int, bytes_: int) -> int:
@@ -205,30 +236,31 @@ def sort_suffixes(texts: list[bytes], common) -> list[int]:
     return out
 
 
-def settle(lefts: list[bytes], rights: list[bytes], places: list[int], known: list[bool]) -> list[list[tuple[int, int]]]:
+def settle(rule: Rule, lefts: list[bytes], rights: list[bytes], places: list[int], known: list[bool]) -> list[list[tuple[int, int]]]:
     """For each anchor of a group, the intervals of distances (from the anchor back to a place) that are repeated.
 
-    lefts: the bytes from the first place to the anchor; rights: the bytes after the SHARED
-    ones to LENGTH bytes after the last place. known anchors need no answer.
+    lefts: the units from the first place to the anchor; rights: the units after the shared
+    ones to ``length`` units after the last place. known anchors need no answer.
     """
-    n, width = len(lefts), WINDOW - 1
+    n, unit = len(lefts), rule.width
+    width = (rule.window - 1) * unit
     back = [x[::-1] for x in lefts]
     left_no = [int.from_bytes(x.ljust(width, b"\0"), "big") for x in back]
     right_no = [int.from_bytes(x.ljust(width, b"\0"), "big") for x in rights]
     common_right = lambda i, j: min(lcp(right_no[i], right_no[j], width), len(rights[i]), len(rights[j]))
     order = sort_suffixes(rights, common_right)
-    height = [common_right(i, j) for i, j in zip(order, order[1:], strict=False)]
+    height = [common_right(i, j) // unit for i, j in zip(order, order[1:], strict=False)]
     rank = {i: k for k, i in enumerate(sorted(range(n), key=back.__getitem__))}
-    farthest = [len(x) for x in lefts]
+    farthest = [len(x) // unit for x in lefts]
     nearest = [far - p + 1 for far, p in zip(farthest, places, strict=True)]
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
 
     def visit(a: int, b: int, depth: int) -> None:
-        need = LENGTH - SHARED - depth
+        need = rule.window - 1 - depth
         if not any(not known[i] and farthest[i] >= need for i in order[a:b]):
             return
         members = sorted(order[a:b], key=rank.__getitem__)
-        side = [min(lcp(left_no[i], left_no[j], width), farthest[i], farthest[j]) for i, j in zip(members, members[1:], strict=False)]
+        side = [min(lcp(left_no[i], left_no[j], width) // unit, farthest[i], farthest[j]) for i, j in zip(members, members[1:], strict=False)]
         for k, i in enumerate(members):
             if not known[i]:
                 best = max(side[k - 1] if k else -1, side[k] if k < len(side) else -1)
@@ -248,28 +280,32 @@ def settle(lefts: list[bytes], rights: list[bytes], places: list[int], known: li
     return out
 
 
-def _settle_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shared; a group may go over several batches."""
+def _settle_groups(rule: Rule):
+    """Rows come sorted by key; a group may go over several batches."""
 
     def group(g: pd.DataFrame) -> list[tuple[int, int, int]]:
-        found = settle(list(g["before"]), list(g["after"]), list(g["places"]), list(g["known"]))
+        found = settle(rule, list(g["before"]), list(g["after"]), list(g["places"]), list(g["known"]))
+        # All places of an anchor lie within a window, so their strings overlap: one span holds them.
         return [
-            (uid, first + left - hi, first + left - lo + LENGTH)
+            (uid, first + left - max(hi for _, hi in spans), first + left - min(lo for lo, _ in spans) + rule.length)
             for uid, first, left, spans in zip(g["uid"], g["first"], g["left"], found, strict=True)
-            for lo, hi in spans
+            if spans
         ]
 
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        at = np.flatnonzero(np.diff(batch["shared"].to_numpy())) + 1
-        cuts = [0, *at.tolist()]
-        rows = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in group(batch.iloc[a:b])]
-        rest = batch.iloc[cuts[-1] :]
-        yield pd.DataFrame(rows, columns=["uid", "start", "end"])
-    if rest is not None and len(rest):
-        yield pd.DataFrame(group(rest), columns=["uid", "start", "end"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            at = np.flatnonzero(np.diff(batch["key"].to_numpy())) + 1
+            cuts = [0, *at.tolist()]
+            rows = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in group(batch.iloc[a:b])]
+            rest = batch.iloc[cuts[-1] :]
+            yield pd.DataFrame(rows, columns=["uid", "start", "end"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(group(rest), columns=["uid", "start", "end"])
+
+    return run
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,112 +315,171 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(packed=[squeeze(x.encode("utf-8", "surrogatepass")) for x in batch["text"]]).drop(columns="text")
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes around each anchor, without those that its group shares."""
-    expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        rows = []
-        for packed, wanted in zip(batch["packed"], batch["wanted"], strict=True):
-            data = expand(packed)
-            for w in wanted:
-                a = w["first"] + w["left"]
-                after = data[a + SHARED : w["first"] + w["places"] - 1 + LENGTH]
-                rows.append((w["shared"], w["uid"], w["first"], w["left"], w["places"], w["known"], data[w["first"] : a], after))
-        yield pd.DataFrame(rows, columns=["shared", "uid", "first", "left", "places", "known", "before", "after"])
+def _cut(rule: Rule):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The units around each anchor, without those that its group shares."""
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows = []
+            for packed, wanted in zip(batch["packed"], batch["wanted"], strict=True):
+                data = rule.units(expand(packed))
+                for w in wanted:
+                    a = w["first"] + w["left"]
+                    after = data[a + rule.shared : w["first"] + w["places"] - 1 + rule.length]
+                    rows.append((w["shared"], w["uid"], w["first"], w["left"], w["places"], w["known"], rule.raw(data[w["first"] : a]), rule.raw(after)))
+            yield pd.DataFrame(rows, columns=["shared", "uid", "first", "left", "places", "known", "before", "after"])
+
+    return run
+
+
+def _runs(found, rule: str) -> list[list[int]]:
+    """The union of the spans of a rule, as sorted disjoint spans."""
+    runs: list[list[int]] = []
+    for s, e in sorted((x["start"], x["end"]) for x in found if x["rule"] == rule) if found is not None else ():
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        kept, spans = [], []
+        kept, spans, passages = [], [], []
         for packed, found in zip(batch["packed"], batch["found"], strict=True):
-            data, runs = expand(packed), []
-            for s, e in sorted((x["start"], x["end"]) for x in found) if found is not None else ():
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
+            data, runs = expand(packed), _runs(found, "bytes")
             at = [0, *[x for r in runs for x in r], len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
             spans.append([x for r in runs for x in r])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "kept": kept, "spans": spans})
+            passages.append([x for r in _runs(found, "words") for x in r])
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "kept": kept, "spans": spans, "passages": passages})
 
 
 PLACE = "shared long, around long, uid long, first long, left int, places int"
 
 
-def _big(contexts: DataFrame) -> DataFrame:
-    """Spans of groups too large to gather: strings are compared by two hashes, a row for each."""
+def _dealt(groups: DataFrame, rule: Rule, most: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts with a key by which they are sorted, in groups of at most ``most``, and those of groups that stay larger.
+
+    Places match if l + r is at least window - 1. For a step k some multiple i k of it is at
+    most l and above l - k, so both share i k units to the left and window - k - i k to the
+    right: a group for each i, of contexts that share these.
+    """
+    out, large = [], groups.withColumn("key", F.col("shared"))
+    for share in (0.0, *STEPS):
+        if share:
+            step = max(1, round(rule.window * share))
+            far, near = F.expr(f"i * {step * rule.width}"), F.expr(f"{(rule.window - step) * rule.width} - i * {step * rule.width}")
+            each = large.drop("key", "kinds").dropDuplicates(["shared", "uid", "first"])  # it may be in several groups
+            each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit((rule.window - 1) // step))))
+            each = each.withColumn("near", F.greatest(near, F.lit(0))).filter((F.octet_length("before") >= far) & (F.octet_length("after") >= F.col("near")))
+            last, next_ = F.substring("before", F.octet_length("before") - far + 1, far), F.substring("after", F.lit(1), F.col("near"))
+            large = each.withColumn("key", F.xxhash64("shared", "i", last, next_)).drop("i", "near")
+            large = materialize(large)
+        kinds = materialize(large.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+        out.append(large.join(kinds.filter(F.col("kinds") <= most).select("key"), "key"))
+        large = large.join(kinds.filter(F.col("kinds") > most), "key")
+        if kinds.filter(F.col("kinds") > most).isEmpty():
+            break
+    small = out[0].drop("kinds")
+    for x in out[1:]:
+        small = small.unionByName(x.drop("kinds"))
+    return small, large.drop("key", "kinds").dropDuplicates(["shared", "uid", "first"])
+
+
+def _whole(contexts: DataFrame, rule: Rule) -> DataFrame:
+    """Spans of contexts whose strings are compared whole, a row for each, by two hashes: nothing is left to sort."""
     each = F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("k")
     rows = contexts.select("uid", "first", "known", "left", "shared", "before", "after", each)
     rows = rows.select(
         "uid", "first", "known", "k", (F.col("left") - F.col("k")).alias("back"), "shared",
-        F.expr("substring(before, k + 1)").alias("b"), F.expr(f"substring(after, 1, {LENGTH - SHARED} - (left - k))").alias("a"),
+        F.expr(f"substring(before, k * {rule.width} + 1)").alias("b"), F.expr(f"substring(after, 1, ({rule.window - 1} - (left - k)) * {rule.width})").alias("a"),
     )
     rows = rows.select(
         "uid", "first", "known", "k", F.xxhash64("shared", "back", "b", "a").alias("h"), F.xxhash64("a", "b", "back", "shared").alias("i")
     )
-    often = rows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    often = materialize(rows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     return rows.filter("not known").join(often, ["h", "i"]).select(
-        "uid", (F.col("first") + F.col("k")).alias("start"), (F.col("first") + F.col("k") + LENGTH).alias("end")
+        "uid", (F.col("first") + F.col("k")).alias("start"), (F.col("first") + F.col("k") + rule.length).alias("end")
     )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, kept (binary), spans (removed bytes: start, end, start, end ...).
+def repeated_spans(rows: DataFrame, rule: Rule) -> DataFrame:
+    """uid, start, end (in units, overlapping) of strings of rule.length units that start at two places or more.
 
-    Strings are compared within and between rows and never cross rows; rows that repeat a
-    text repeat its strings. Null texts are empty; texts under LENGTH bytes stay whole; an
-    empty table gives no rows; other columns of docs are not looked at.
+    rows: uid, text (not null). Tables that joins by a frequent key read are written first, so
+    that Spark can split the key's rows.
     """
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"))
-    # Rows alike in id and text share a uid, and so their spans.
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
-    long = rows.filter(F.octet_length("text") >= LENGTH)
-    places = materialize(long.select("uid", "text").mapInPandas(_anchor_rows, PLACE))
-
-    often = places.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    places = materialize(places.join(often, "shared"))
-    kinds = places.groupBy("shared", "around").agg(
+    long = rows.filter(F.octet_length("text") >= (rule.length if rule.width == 1 else 2 * rule.length - 1))
+    every = materialize(long.select("uid", "text").mapInPandas(_anchor_rows(rule), PLACE))
+    often = materialize(every.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    places = materialize(every.join(often, "shared"))
+    discard(every, often)
+    kinds = materialize(places.groupBy("shared", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "left", "places")).alias("one")
-    )
-    kinds = materialize(kinds)
-    twice = kinds.filter("n > 1").select("shared", "around")
+    ))
+    twice = materialize(kinds.filter("n > 1").select("shared", "around"))
     whole = places.join(twice, ["shared", "around"]).select(
-        "uid", F.col("first").alias("start"), (F.col("first") + F.col("places") - 1 + LENGTH).alias("end")
+        "uid", F.col("first").alias("start"), (F.col("first") + F.col("places") - 1 + rule.length).alias("end")
     )
-
+    whole = materialize(whole)
     mixed = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    mixed = mixed.filter("kinds > 1 and least = 1").select("shared", "kinds")
-    asked = kinds.join(mixed, "shared").select("shared", "kinds", (F.col("n") > 1).alias("known"), "one.*")
+    mixed = materialize(mixed.filter("kinds > 1 and least = 1").select("shared"))
+    asked = materialize(kinds.join(mixed, "shared").select("shared", (F.col("n") > 1).alias("known"), "one.*"))
+    discard(places, twice, mixed, kinds)
     wanted = asked.groupBy("uid").agg(
         F.collect_list(F.struct("shared", "uid", "first", "left", "places", "known")).alias("wanted")
     )  # a text's own anchors
-    kind = docs.schema[id_col].dataType.simpleString()
-    packed = rows.mapInPandas(_pack, "doc_id string, uid long, packed binary")
-    cut = packed.drop("doc_id").join(wanted, "uid")
+    cut = rows.select("uid", "text").mapInPandas(_pack, "uid long, packed binary").join(wanted, "uid")
     contexts = cut.mapInPandas(
-        _cut, "shared long, uid long, first long, left int, places int, known boolean, before binary, after binary"
+        _cut(rule), "shared long, uid long, first long, left int, places int, known boolean, before binary, after binary"
     )
     contexts = materialize(contexts.dropDuplicates(["shared", "uid", "first"]))
-    large = mixed.filter(F.col("kinds") > MOST).select("shared")
-    small = contexts.join(large, "shared", "left_anti")
-    sorted_ = small.repartition("shared").sortWithinPartitions("shared")
-    part = sorted_.mapInPandas(_settle_groups, "uid long, start long, end long")
-    spans = whole.unionByName(part).unionByName(_big(contexts.join(large, "shared", "left_semi")))
-    found = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("found"))  # a text's own spans
-    out = packed.join(found, "uid", "left").mapInPandas(_remove, "doc_id string, kept binary, spans array<long>")
+    discard(asked)
+    small, large = _dealt(contexts, rule, MOST)
+    sorted_ = small.repartition("key").sortWithinPartitions("key")
+    part = sorted_.mapInPandas(_settle_groups(rule), "uid long, start long, end long")
+    spans = materialize(whole.unionByName(part).unionByName(_whole(large, rule)))
+    discard(contexts, whole)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: Rule | None = None) -> DataFrame:
+    """One row per input row: doc_id, kept (binary), spans (removed bytes: start, end, start, end ...), passages.
+
+    Strings are compared within and between rows and never cross rows; rows that repeat a
+    text repeat its strings. Null texts are empty; texts under LENGTH bytes stay whole; long
+    texts are taken whole, in slices; an empty table gives no rows; other columns of docs are
+    not looked at. With a rule of words, such as WORDS, passages holds the words, in the same
+    form, that lie in a passage of that many words which occurs at another place too, whatever
+    its case and spacing; they are not removed for it.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Ids go through pandas as text, which keeps nulls and large numbers as they are.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"))
+    # Rows alike in id and text share a uid, and so their spans.
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(rows, BYTES).withColumn("rule", F.lit("bytes"))
+    if passages:
+        spans = spans.unionByName(repeated_spans(rows, passages).withColumn("rule", F.lit("words")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    packed = rows.mapInPandas(_pack, "doc_id string, uid long, packed binary")
+    found = spans.groupBy("uid").agg(F.collect_set(F.struct("rule", "start", "end")).alias("found"))  # a text's own spans
+    out = packed.join(found, "uid", "left").mapInPandas(_remove, "doc_id string, kept binary, spans array<long>, passages array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def covered(spans: str):
+    signed = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def query(spark, sf_dir):
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    removed = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=WORDS)
     return out.select(
-        "doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        "doc_id", (F.octet_length("kept") + covered("spans")).cast("long").alias("n_bytes"), covered("spans").alias("n_removed"),
         F.expr("cast(size(spans) div 2 as long)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.expr("cast(size(passages) div 2 as long)").alias("n_passages"), covered("passages").alias("n_passage_words"),
     )

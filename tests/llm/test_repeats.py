@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -44,15 +45,27 @@ def make(seed):
     return out
 
 
+def passages(texts, n=repeats.WORDS.length):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in texts]
+    seen = Counter(tuple(w[p : p + n]) for w in words for p in range(len(w) - n + 1))
+    return [len({q for p in range(len(w) - n + 1) if seen[tuple(w[p : p + n])] > 1 for q in range(p, p + n)}) for w in words]
+
+
 @pytest.mark.parametrize("seed,most", [(1, 20_000), (2, 20_000), (3, 2)])
 def test_against_brute_force(spark, monkeypatch, seed, most):
     monkeypatch.setattr(repeats, "MOST", most)
     texts = make(seed)
+    t = texts[8].split()
+    for k, n in enumerate((48, 49, 50, 51)):  # short passages, of another case and spacing
+        texts.append(f"other words stand {k} " + "\n ".join(t[k * 60 : k * 60 + n]).upper().replace("É", "é") + f" and {k}")
     docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
-    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs, passages=repeats.WORDS).collect()}
+    words = passages(texts)
+    assert words[-4:] == [0, 0, 50, 51]
     for i, (n, removed, runs, kept) in enumerate(brute(texts)):
         assert bytes(got[i].kept) == kept, i
         assert len(got[i].spans) == 2 * runs
+        assert sum(b - a for a, b in zip(got[i].passages[::2], got[i].passages[1::2], strict=True)) == words[i], i
 
 
 def test_repeated_and_null_rows(spark):
@@ -69,7 +82,7 @@ def test_long_text(spark, monkeypatch):
     r = random.Random(7)
     a = "".join(r.choice("abcdefgh") for _ in range(5000))
     texts = [a, a[700:3900] + "z" * 30, a[::-1]]
-    parts = list(repeats._anchor_rows(iter([__import__("pandas").DataFrame({"uid": [1, 2, 3], "text": texts})])))
+    parts = list(repeats._anchor_rows(repeats.BYTES)(iter([__import__("pandas").DataFrame({"uid": [1, 2, 3], "text": texts})])))
     assert sum(p["places"].sum() for p in parts) == sum(len(t) - repeats.LENGTH + 1 for t in texts)
     repeats.powers.cache_clear()
 
