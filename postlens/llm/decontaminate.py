@@ -1,14 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is the indexed side: every task indexes the documents it holds, term by term, as
-sorted positions. Each window of a test item is looked up from its rarest term: that term's
-list, shifted by the term's offset, gives the places where the window can start, and the
-other terms' lists, shifted alike, are intersected with it from rare to frequent. A place
-where all terms meet is an exact phrase match; one where all but a few meet is a proximity
-match. Only terms of the test items are indexed, and nothing is shuffled.
-
-The test items go to the tasks in blocks of at most ``block_bytes`` of text, one pass of the
-same stage for each block, so the memory needed does not grow with their number.
+The corpus is indexed once, in segments of about SEGMENT bytes of text: a row for each term of
+a segment, with its sorted places, and a row for each document. The index is a table in the
+shared folder. Windows of the test items are a table too, and never meet on the driver:
+
+1. The terms' frequencies in the whole corpus order each window's terms, rarest first.
+2. A window is sent to the segments that the index gives for its rarest term (for proximity,
+   for its few rarest terms).
+3. Segment by segment, the list of the rarest term, shifted by the term's offset, gives the
+   places where the window can start, and the other terms' lists, shifted alike, are
+   intersected with it from rare to frequent. A place where all terms meet is an exact phrase
+   match; one where all but a few meet is a proximity match.
+
+Only terms of the test items are indexed, as long as there are few enough to tell the tasks.
+Terms are compared by 64-bit hashes. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -17,166 +22,231 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import small_batches
+from postlens.llm import jaccard
+from postlens.llm.scratch import discard, materialize, small_batches
 
 WINDOW = 10
 #: Bytes of words: digits, lower-case letters and all of non-ASCII text; A-Z are lower-cased, the rest are spaces.
 WORD_BYTES = bytes(
     c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-STATE = "doc_id string, text string, n_words long, spans array<int>, items array<string>, near array<string>"
-SLICE_BYTES = 8 << 20
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
-
-
-class Windows:
-    """The windows of a block of test items: terms (padded with -2), lengths and items."""
-
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        rows, of, lengths = [], [], []
-        self.items = [x for x, _ in items]
-        for k, (_, text) in enumerate(items):
-            terms = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
-            for i in range(max(1, len(terms) - size + 1) if terms else 0):
-                window = terms[i : i + size]
-                rows.append(window + [-2] * (size - len(window)))
-                of.append(k)
-                lengths.append(len(window))
-        self.terms = np.array(rows, np.int32).reshape(-1, size)
-        self.of, self.lengths, self.size = np.array(of, np.int32), np.array(lengths, np.int32), size
-
-
-class Index:
-    """Positions by term for some documents; documents lie ``gap`` places apart, so no window spans two."""
-
-    def __init__(self, ids: list[np.ndarray], n_terms: int, gap: int):
-        self.lengths = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate([[gap], gap + np.cumsum(self.lengths + gap)])[: len(ids)].astype(np.int64)
-        self.tokens = np.full(int(self.lengths.sum()) + gap * (len(ids) + 1), -1, np.int32)
-        for at, x in zip(self.starts, ids, strict=True):
-            self.tokens[at : at + len(x)] = x
-        known = np.flatnonzero(self.tokens >= 0)
-        self.positions = known[np.argsort(self.tokens[known], kind="stable")]
-        self.counts = np.bincount(self.tokens[known], minlength=n_terms)
-        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+SEGMENT = 8 << 20
+INDEX = "segment long, doc_no int, doc_id string, uid long, n_words long, begin long, term long, n long, places binary"
+FOUND = "segment long, doc_no int, spans array<int>, exact array<long>, near array<long>"
 
-    def doc_of(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, positions, "right") - 1
 
-    def candidates(self, terms: np.ndarray, at: np.ndarray, windows: np.ndarray, most: int = 2_000_000):
-        """(window, start) for each occurrence of terms, shifted by at; in blocks of about ``most`` rows."""
-        n = self.counts[terms]
-        keep = n > 0
-        terms, at, windows, n = terms[keep], at[keep], windows[keep], n[keep]
-        block = np.cumsum(n) // most
-        for b in np.unique(block):
-            k = block == b
-            each = np.repeat(np.arange(k.sum()), n[k])
-            within = np.arange(len(each)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-            start = self.positions[self.offsets[terms[k]][each] + within] - at[k][each]
-            good = (start >= 0) & (start + WINDOW <= len(self.tokens))
-            yield windows[k][each][good], start[good]
-
-    def search(self, w: Windows, misses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Exact matches (window, start), and proximity matches (window, start) of full windows."""
-        exact, near = [], []
-        counts = np.where(w.terms >= 0, np.append(self.counts, 0)[w.terms], np.iinfo(np.int64).max)
-        order = np.argsort(counts, axis=1, kind="stable")
-        row = np.arange(len(w.terms))
-        seeds = row[counts[row, order[:, 0]] > 0] if len(row) else row
-        at = order[seeds, 0]
-        for win, start in self.candidates(w.terms[seeds, at], at, seeds):
-            for k in range(1, w.size):  # from rare to frequent
-                o = order[win, k]
-                same = (self.tokens[start + o] == w.terms[win, o]) | (w.terms[win, o] < 0)
-                win, start = win[same], start[same]
-            exact.append((win, start))
-        full = row[w.lengths == w.size] if misses else row[:0]
-        # With at most `misses` wrong terms, one of the misses + 1 rarest is right.
-        for j in range(misses + 1 if len(full) else 0):
-            at = order[full, j]
-            for win, start in self.candidates(w.terms[full, at], at, full):
-                wrong = np.zeros(len(win), np.int32)
-                for k in range(w.size):
-                    o = order[win, k]
-                    wrong += self.tokens[start + o] != w.terms[win, o]
-                    keep = wrong <= misses
-                    win, start, wrong = win[keep], start[keep], wrong[keep]
-                near.append((win, start))
-        two = lambda found: tuple(np.concatenate([x[i] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return (*two(exact), *two(near))
-
-
-def _runs(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """The union of intervals, as sorted disjoint intervals."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def _bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES) if text else b""
+
+
+def term_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words in order; long texts are read in slices."""
+    out: list[np.ndarray] = []
+    for part in jaccard.pieces(texts):
+        if len(part) == 1:
+            out.append(jaccard.long_words(part[0]))
         else:
-            out.append((a, b))
+            at, words = jaccard.word_hashes(b" ".join(part))
+            bounds = np.searchsorted(at, np.cumsum([0] + [len(x) + 1 for x in part]))
+            out += [words[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
     return out
 
 
-def _match(texts: list[str | None], w: Windows, misses: int) -> tuple[list[int], list, list, list]:
-    get = w.ids.get
-    ids = [np.fromiter((get(x, -1) for x in words), np.int32, len(words)) for words in map(words_of, texts)]
-    index = Index(ids, len(w.ids), w.size)
-    win, start, near_win, near_start = index.search(w, misses)
-    spans: list[list[int]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    near: list[set[str]] = [set() for _ in texts]
-    doc = index.doc_of(start)
-    for d in np.unique(doc):
-        k = doc == d
-        a = start[k] - index.starts[d]
-        spans[d] = [x for run in _runs(a, a + w.lengths[win[k]]) for x in run]
-        items[d] = {w.items[i] for i in np.unique(w.of[win[k]])}
-    doc = index.doc_of(near_start)
-    inside = (doc >= 0) & (near_start + w.size <= index.starts[doc] + index.lengths[doc])  # gaps count as misses only
-    doc, near_win = doc[inside], near_win[inside]
-    for d, i in np.unique(np.stack([doc, w.of[near_win].astype(np.int64)]), axis=1).T:
-        near[d].add(w.items[i])
-    return [len(x) for x in ids], spans, items, near
-
-
-def _step(shared, misses: int, last: bool):
+def _segments(shared, gap: int):
+    """Index rows of documents. Postings have doc_no -1; documents lie ``gap`` places apart, so no window spans two."""
+
+    def rows(segment: int, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        hashes = term_hashes([_bytes(t) for t in part["text"]])
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        begins = gap + np.cumsum(lengths + gap) - lengths - gap
+        yield pd.DataFrame({
+            "segment": segment, "doc_no": np.arange(len(part), dtype=np.int32), "doc_id": list(part["doc_id"]), "uid": list(part["uid"]),
+            "n_words": lengths, "begin": begins, "term": 0, "n": 0, "places": b"",
+        })
+        h = np.concatenate(hashes).view(np.int64)
+        at = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(len(h))
+        if shared is not None and len(h):
+            known = shared.value
+            here = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+            h, at = h[here], at[here]
+        order = np.argsort(h, kind="stable")
+        terms, first = np.unique(h[order], return_index=True)
+        lists = np.split(at[order].astype(np.int32), first[1:]) if len(terms) else []
+        yield pd.DataFrame({
+            "segment": segment, "doc_no": np.int32(-1), "doc_id": None, "uid": 0, "n_words": 0, "begin": 0, "term": terms,
+            "n": [len(x) for x in lists], "places": [x.tobytes() for x in lists],
+        })
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            sizes = np.cumsum([len(t) if t is not None else 0 for t in batch["text"]])
+            for _, part in batch.groupby(sizes // SEGMENT, sort=False):
+                held.append(part)
+                size += sum(len(t) if t is not None else 0 for t in part["text"])
+                if size >= SEGMENT:
+                    yield from rows(segment, pd.concat(held))
+                    segment, held, size = segment + 1, [], 0
+        if held:
+            yield from rows(segment, pd.concat(held))
+
+    return run
+
+
+def _item_windows(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        """The distinct windows of each item."""
         for batch in batches:
-            size = np.array([len(x) if x is not None else 0 for x in batch["text"]])
-            for _, part in batch.groupby(np.cumsum(size) // SLICE_BYTES, sort=False):
-                n, spans, items, near = _match(list(part["text"]), w, misses)
-                for i, (s, t, u) in enumerate(zip(part["spans"], part["items"], part["near"], strict=True)):
-                    old = np.array(s, np.int64).reshape(-1, 2)
-                    if len(old):
-                        new = np.array(spans[i], np.int64).reshape(-1, 2)
-                        both = np.concatenate([old, new])
-                        spans[i] = [x for r in _runs(both[:, 0], both[:, 1]) for x in r]
-                    items[i] |= set(t)
-                    near[i] |= set(u)
-                out = part.assign(n_words=n, spans=spans, items=[sorted(x) for x in items], near=[sorted(x) for x in near])
-                yield out.assign(text=None) if last else out
+            out = set()
+            for item, h in zip(batch["item"], term_hashes([_bytes(t) for t in batch["text"]]), strict=True):
+                terms = h.view(np.int64).tolist()
+                out |= {(item, tuple(terms[i : i + size])) for i in range(max(1, len(terms) - size + 1) if terms else 0)}
+            yield pd.DataFrame({"item": [i for i, _ in out], "terms": [list(t) for _, t in out]})
+
+    return run
+
+
+def runs(spans: Iterator[tuple[int, int]]) -> list[int]:
+    """The union of intervals, as start, end, start, end ... of sorted disjoint intervals."""
+    out: list[int] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]:
+            out[-1] = max(b, out[-1])
+        else:
+            out += [a, b]
+    return out
+
+
+class Segment:
+    """The postings of one segment: places by term, and the term at each place."""
+
+    def __init__(self, docs: pd.DataFrame, postings: pd.DataFrame, gap: int):
+        docs, postings = docs.sort_values("doc_no"), postings.sort_values("term")
+        self.doc_no, self.begin, self.n_words = (docs[c].to_numpy() for c in ("doc_no", "begin", "n_words"))
+        self.terms = postings["term"].to_numpy()
+        lists = [np.frombuffer(x, np.int32) for x in postings["places"]]
+        self.counts = np.array([len(x) for x in lists], np.int64)
+        self.places = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+        self.at = np.full(int(self.begin[-1] + self.n_words[-1]) + 2 * gap, -1, np.int32)
+        self.at[self.places] = np.repeat(np.arange(len(lists), dtype=np.int32), self.counts)
+
+    def local(self, terms: np.ndarray) -> np.ndarray:
+        """Numbers of terms in this segment; -3 for those it lacks."""
+        k = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        return np.where(self.terms[k] == terms, k, -3) if len(self.terms) else np.full(terms.shape, -3)
+
+    def candidates(self, seed: np.ndarray, offset: np.ndarray, window: np.ndarray, size: int, most: int = 1_000_000):
+        """(window, start) for each place of the seed terms, shifted by their offsets; in blocks of about ``most`` rows."""
+        block = np.cumsum(self.counts[seed]) // most
+        for b in np.unique(block):
+            k = block == b
+            n = self.counts[seed[k]]
+            each = np.repeat(np.arange(k.sum()), n)
+            within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            start = self.places[self.offsets[seed[k]][each] + within].astype(np.int64) - offset[k][each]
+            good = (start >= 0) & (start + size <= len(self.at))
+            yield window[k][each][good], start[good]
+
+
+def _search(size: int, misses: int):
+    def run(postings: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        """Matches of the windows that are sent to one segment."""
+        none = pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype({"segment": "int64", "doc_no": "int32", "spans": object, "exact": object, "near": object})
+        if not len(postings) or not len(wanted):
+            return none
+        is_doc = postings["doc_no"] >= 0
+        s = Segment(postings[is_doc], postings[~is_doc], size)
+        lengths = np.array([len(x) for x in wanted["terms"]])
+        terms, offsets = np.full((len(wanted), size), -2, np.int64), np.zeros((len(wanted), size), np.int64)
+        for i, (t, o) in enumerate(zip(wanted["terms"], wanted["offsets"], strict=True)):
+            terms[i, : len(t)], offsets[i, : len(o)] = t, o
+        local = np.where(np.arange(size) < lengths[:, None], s.local(terms), -2)
+        seeds, found = wanted["seeds"].to_numpy(), []
+        for j in range(misses + 1):
+            mine = np.flatnonzero((seeds >> j & 1 > 0) & (local[:, j] >= 0) & ((lengths == size) | (j == 0)))
+            for window, start in s.candidates(local[mine, j], offsets[mine, j], mine, size):
+                limit = np.where(lengths[window] == size, misses, 0)
+                wrong = np.zeros(len(window), np.int64)
+                for k in range(size):  # from rare to frequent
+                    t = local[window, k]
+                    wrong += (s.at[start + offsets[window, k]] != t) & (t != -2)
+                    keep = wrong <= limit
+                    window, start, wrong, limit = window[keep], start[keep], wrong[keep], limit[keep]
+                found.append((window, start, wrong == 0))
+        if not found:
+            return none
+        window, start, exact = (np.concatenate([f[i] for f in found]) for i in range(3))
+        doc = np.searchsorted(s.begin, start, "right") - 1
+        inside = (doc >= 0) & (start + lengths[window] <= s.begin[doc] + s.n_words[doc])  # gaps count as misses only
+        window, start, exact, doc = window[inside], start[inside], exact[inside], doc[inside]
+        wid, out = wanted["wid"].to_numpy(), []
+        order = np.argsort(doc, kind="stable")
+        for k in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else []:
+            d, e = doc[k[0]], k[exact[k]]
+            a = start[e] - s.begin[d]
+            spans = runs(zip(a.tolist(), (a + lengths[window[e]]).tolist(), strict=True))
+            near = np.unique(wid[window[k[lengths[window[k]] == size]]]) if misses else wid[:0]
+            out.append((postings["segment"].iloc[0], s.doc_no[d], spans, np.unique(wid[window[e]]).tolist(), near.tolist()))
+        return pd.DataFrame(out, columns=list(none.columns)) if out else none
 
     return run
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items in blocks of about block_bytes of text, one at a time on the driver."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        spans = [runs((a, b) for x in lists for a, b in zip(x[::2].tolist(), x[1::2].tolist(), strict=True)) for lists in batch["spans"]]
+        yield batch.assign(spans=spans)
+
+
+def _index(docs: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, item_col: str, item_text_col: str, misses: int,
+           broadcast_terms: int, broadcast_rows: int, block_windows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of the index, the matches (FOUND, one row a document), and the items of each window (wid, item)."""
+    small_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    owners = items.mapInPandas(_item_windows(WINDOW), "item string, terms array<long>").withColumn("wid", F.xxhash64("terms"))
+    owners = materialize(owners)
+    windows = materialize(owners.groupBy("wid").agg(F.first("terms").alias("terms")))
+    terms = materialize(windows.select(F.explode("terms").alias("term")).distinct())
+    shared = None
+    if terms.count() <= broadcast_terms:
+        shared = sc.broadcast(np.sort(np.array([r.term for r in terms.collect()], np.int64)))  # at most broadcast_terms numbers
+
+    doc_id = F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
+    index = materialize(rows.mapInPandas(_segments(shared, WINDOW), INDEX))
+    postings = index.filter("doc_no < 0")
+
+    # The terms of each window, rarest in the corpus first.
+    counts = materialize(postings.groupBy("term").agg(F.sum("n").alias("f")))
+    each = windows.select("wid", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    ranked = each.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "offset", "term"))).alias("t"))  # WINDOW terms
+    ranked = materialize(ranked.select("wid", F.expr("transform(t, x -> x.f)").alias("f"), F.expr("transform(t, x -> x.offset)").alias("offsets"), F.expr("transform(t, x -> x.term)").alias("terms")))
+    n_windows = ranked.count()
+    small = (lambda x: F.broadcast(x)) if n_windows * (misses + 1) <= broadcast_rows else (lambda x: x)
+    # With at most `misses` wrong terms, one of the misses + 1 rarest is right.
+    tried = F.when(F.size("terms") == WINDOW, F.slice("terms", 1, misses + 1)).otherwise(F.slice("terms", 1, 1))
+    seeds = ranked.select("wid", F.posexplode(tried).alias("j", "term"))
+    sent = postings.select("segment", "term").join(small(seeds), "term").groupBy("segment", "wid").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("seeds"))
+    blocks = 1 + n_windows // block_windows
+    sent = materialize(sent.join(small(ranked.drop("f")), "wid").withColumn("block", F.pmod("wid", F.lit(blocks)).cast("int")))
+    asked = materialize(sent.select("segment", "block").distinct())
+    parts = index.select("segment", "doc_no", "n_words", "begin", "term", "places").join(asked, "segment")
+    found = parts.groupBy("segment", "block").cogroup(sent.groupBy("segment", "block")).applyInPandas(_search(WINDOW, misses), FOUND)
+    found = found.groupBy("segment", "doc_no").agg(
+        F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("exact")).alias("exact"), F.flatten(F.collect_list("near")).alias("near")
+    )  # a document's matches from each block
+    kinds = "segment long, doc_no int, spans array<int>, exact array<long>, near array<long>"
+    found = materialize(found.mapInPandas(_merged, kinds))
+    owners_ = materialize(owners.select("wid", "item").distinct())
+    docs_ = materialize(index.filter("doc_no >= 0").select("segment", "doc_no", "doc_id", "uid", "n_words"))
+    discard(index, owners, windows, terms, counts, ranked, sent, asked)
+    return docs_, found, owners_
 
 
 def decontaminate(
@@ -187,27 +257,31 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     misses: int = 2,
-    block_bytes: int = 16 << 20,
+    broadcast_terms: int = 4_000_000,
+    broadcast_rows: int = 200_000,
+    block_windows: int = 100_000,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, spans, items, near.
 
     spans are the hit words as start, end, start, end ... (ends exclusive) in word numbers;
     items the ids of the test items of which a window occurs; near those of which a window of
     ten words occurs with at most ``misses`` other words in their places. Null and empty
-    texts have no words; null item ids count as empty strings; repeated items and rows count
-    each for itself; without documents there are no rows, without items nothing is hit.
-    Other columns are not looked at.
+    texts have no words; texts of any length are read whole; null item ids count as empty
+    strings; repeated items and rows count each for itself; without documents there are no
+    rows, without items nothing is hit. Other columns are not looked at. The other parameters
+    bound what is broadcast and how many windows meet a segment at once, not the result.
     """
-    small_batches(docs.sparkSession)
-    sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.lit([]).cast("array<int>").alias("spans"), F.lit([]).cast("array<string>").alias("items"), F.lit([]).cast("array<string>").alias("near"),
-    )
-    parts = [sc.broadcast(Windows(x)) for x in blocks(benchmark, item_col, item_text_col, block_bytes)]
-    for k, shared in enumerate(parts):
-        rows = rows.mapInPandas(_step(shared, misses, k == len(parts) - 1), STATE)
-    return rows.drop("text").withColumn("doc_id", F.col("doc_id").cast(kind))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows, found, owners = _index(docs, benchmark, id_col, text_col, item_col, item_text_col, misses, broadcast_terms, broadcast_rows, block_windows)
+    key = ["segment", "doc_no"]
+
+    def items(wids: str, name: str) -> DataFrame:
+        each = found.select(*key, F.explode(wids).alias("wid")).join(owners, "wid")
+        return each.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias(name))
+
+    out = rows.join(found.select(*key, "spans"), key, "left").join(items("exact", "items"), key, "left").join(items("near", "near"), key, "left")
+    empty = lambda c, t: F.coalesce(c, F.lit([]).cast(f"array<{t}>")).alias(c)
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", empty("spans", "int"), empty("items", "string"), empty("near", "string"))
 
 
 def drop_contaminated(
@@ -216,29 +290,23 @@ def drop_contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 16 << 20,
+    broadcast_terms: int = 4_000_000,
+    broadcast_rows: int = 200_000,
+    block_windows: int = 100_000,
 ) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no window of a test item occurs."""
-    small_batches(docs.sparkSession)
-    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
-
-    def step(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, clean, part, size = batch.column(at).to_pylist(), [], [], 0
-                for text in [*texts, None]:
-                    part.append(text)
-                    size += len(text or "")
-                    if size > SLICE_BYTES or len(clean) + len(part) == len(texts) + 1:
-                        clean += [not s for s in _match(part, shared.value, 0)[1]]
-                        part, size = [], 0
-                yield batch.filter(pa.array(clean[: len(texts)], pa.bool_()))
-
-        return run
-
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = docs.mapInArrow(step(sc.broadcast(Windows(items))), docs.schema)
-    return docs
+    """The rows of docs, all columns as they are, in which no window of a test item occurs.
+
+    Rows with null and empty texts stay; repeated rows stay or go alike; without items all
+    rows stay; an empty table gives no rows.
+    """
+    rows, found, _ = _index(docs, benchmark, None, text_col, item_col, item_text_col, 0, broadcast_terms, broadcast_rows, block_windows)
+    hit = found.filter(F.size("exact") > 0).select("segment", "doc_no")
+    gone = materialize(rows.join(hit, ["segment", "doc_no"]).select("uid").distinct())
+    if gone.count() <= broadcast_rows:  # else the texts are shuffled by uid
+        gone = F.broadcast(gone)
+    # The key is made beside the columns of docs, whatever their names.
+    kept = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("uid")).join(gone, "uid", "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):

@@ -79,7 +79,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start - 1, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
     """Texts in groups of about SLICE bytes."""
     part, size = [], 0
     for x in texts:
@@ -113,7 +113,7 @@ def _shingled(h: np.ndarray, n: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted hashes; fewer words than size make one shingle."""
     out: list[np.ndarray] = []
-    for part in _pieces(texts):
+    for part in pieces(texts):
         if len(part) == 1 and len(part[0]) > SLICE:
             words, bounds = long_words(part[0]), [0, None]
         else:

@@ -187,11 +187,15 @@ def test_pieces_of_long_texts(monkeypatch):
     assert [x.tolist() for x in jaccard.shingle_sets([text, b"", b"a b", b"  "], 5)] == whole
 
 
+def words_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
 def found(text, items, misses=0):
-    w = decontaminate.words_of(text)
+    w = words_of(text)
     hit, ids, near = set(), set(), set()
     for i, t in items:
-        q = decontaminate.words_of(t)
+        q = words_of(t)
         for k in range(max(1, len(q) - 9) if q else 0):
             x = q[k : k + 10]
             for s in range(len(w) - len(x) + 1):
@@ -204,12 +208,15 @@ def found(text, items, misses=0):
     return len(w), sorted(hit), sorted(ids), sorted(near)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
-def test_decontaminate(spark, block):
+@pytest.mark.parametrize("few,segment,options", [(False, 8 << 20, {}), (True, 60, {"broadcast_terms": 0, "broadcast_rows": 0, "block_windows": 9})])
+def test_decontaminate(spark, monkeypatch, few, segment, options):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)  # tasks get the value that their function was made with
+    monkeypatch.setattr(jaccard, "SLICE", 64 if few else 1 << 18)
     r = random.Random(5)
     words = ["a", "b", "c", "dd", "Eé", "9"]
     items = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate((3, 9, 10, 11, 25, 40, 12))] + [(None, "zz"), (50, None), (51, ""), (3, "dd dd dd")]
-    rows = list(ODD) + [(20, "zz! ZZ", "a")]
+    long = " ".join(f"n{i % 8999}" for i in range(30_000))
+    rows = list(ODD) + [(20, "zz! ZZ", "a"), (21, f"{long} {items[4][1]} {long}", "very long")]
     for i in range(40):
         t = [r.choice(words) for _ in range(r.randint(0, 40))]
         q = (r.choice(items)[1] or "").split()
@@ -218,11 +225,11 @@ def test_decontaminate(spark, block):
         t[r.randint(0, len(t)) :] = q
         rows.append((30 + i, "-".join(t), "s"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(frame(spark, rows), bench, block_bytes=block).collect()
+    got = decontaminate.decontaminate(frame(spark, rows), bench, **options).collect()
     shape = lambda x: (str(x[0]), *x[1:])
     mine = sorted(shape((g.doc_id, g.n_words, [k for a, b in zip(g.spans[::2], g.spans[1::2], strict=True) for k in range(a, b)], sorted(g.items), sorted(g.near))) for g in got)
     assert mine == sorted(shape((i, *found(t, items, 2))) for i, t, _ in rows)
-    clean = decontaminate.drop_contaminated(frame(spark, rows), bench, block_bytes=block).collect()
+    clean = decontaminate.drop_contaminated(frame(spark, rows), bench, **options).collect()
     assert Counter((x.doc_id, x.text) for x in clean) == Counter((i, t) for i, t, _ in rows if not found(t, items)[1])
     assert decontaminate.decontaminate(frame(spark, rows).limit(0), bench).count() == 0
     assert all(not g.items for g in decontaminate.decontaminate(frame(spark, rows), bench.limit(0)).collect())
@@ -249,9 +256,10 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, path).count() == 0
 
 
-def test_near_matches_lie_inside_one_document():
+def test_near_matches_lie_inside_one_document(spark):
     item = [f"q{i}" for i in range(10)]
-    w = decontaminate.Windows([("7", " ".join(item))])
     texts = ["other words", " ".join(item[1:] + ["end"]), "more words", " ".join(["begin", *item[:8]]), " ".join(item[:9] + ["x"])]
-    assert decontaminate._match(texts, w, 2)[3] == [set(), set(), set(), set(), {"7"}]
-    assert decontaminate._match(texts[1:2], w, 2)[3] == [set()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for few in (docs, docs.filter("doc_id = 1"), docs.filter("doc_id = 4")):
+        got = decontaminate.decontaminate(few, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+        assert {r.doc_id: r.near for r in got} == {r.doc_id: ["7"] if r.doc_id == 4 else [] for r in few.collect()}
