@@ -114,19 +114,29 @@ def host_verdicts(rows: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 
 def quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_rate: float = 0.5,
+    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """One row per input row: counts, rule failures, the host's verdict and ``kept``.
 
     A document is dropped if it fails a base rule, or if its host is rejected and it fails
     any other rule itself; clean documents of a rejected host stay. Null and empty texts
     have no words and fail; rows of a null host form a host of their own; repeated rows
-    count as often as they occur; an empty table gives an empty result; other columns of
-    docs are not looked at.
+    count as often as they occur; long texts are read whole; an empty table gives an empty
+    result; other columns of docs are not looked at. Verdicts of at most ``broadcast_rows``
+    hosts go to the documents; of more, both sides are shuffled by host, as plain tables, so
+    that Spark can split the rows of a large host.
     """
     rows = materialize(failures(measures(docs, id_col, text_col, host_col)))
     rows = rows.withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")))
-    joined = rows.join(host_verdicts(rows, max_rate), "host")
+    verdicts = materialize(host_verdicts(rows, max_rate))
+    if verdicts.count() <= broadcast_rows:
+        verdicts = F.broadcast(verdicts)
+    joined = rows.join(verdicts, "host")
     base = F.col("fails_few_words") | F.col("fails_repeats")
     soft = F.col("fails_symbols") | F.col("fails_same_lines") | F.col("fails_word_length")
     return joined.withColumns(
