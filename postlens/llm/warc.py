@@ -2,22 +2,23 @@
 
 Payload digests are grouped, the record with the smallest id of equal payloads is written
 in full and the others as revisits that refer to it; reading joins revisits back to their
-responses. Archives are gzip files written and committed by Spark's own text writer, whose
-line end is the end of a WARC record.
+responses. Each record is a gzip member of its own, so a reader can start at any. Archives are
+written and committed by Spark's own text writer, which keeps the bytes as they are, and
+rolled by bytes. Reading splits them at the members, whatever the size of a file.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import materialize, shared_folder
+from postlens.llm.scratch import materialize, shared_folder, small_batches
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,6 +29,35 @@ def _lines(*lines: Column | str) -> Column:
     return F.concat(*[x for line in lines for x in (F.lit(line) if isinstance(line, str) else line, F.lit(END))])
 
 
+#: The head of every gzip member here; no compressed data holds these ten bytes but by a chance of 2^-80 a place.
+MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
+
+
+def member(data: bytes) -> bytes:
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return MEMBER + squeeze.compress(data) + squeeze.flush() + struct.pack("<II", zlib.crc32(data), len(data) % (1 << 32))
+
+
+def _members(file_bytes: int):
+    """Records as gzip members without their last byte, a zero; and which file of the task each goes to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll, size = 0, 0
+        for batch in batches:
+            members, rolls = [], []
+            for record in batch["record"]:
+                m = member(record.encode("utf-8", "surrogatepass"))
+                m = m if m[-1] == 0 else m + member(b"")  # a record of 16 MiB or more
+                if size and size + len(m) > file_bytes:
+                    roll, size = roll + 1, 0
+                size += len(m)
+                members.append(m[:-1])
+                rolls.append(roll)
+            yield pd.DataFrame({"value": members, "roll": rolls})
+
+    return run
+
+
 def firsts(heads: DataFrame, min_bytes: int) -> DataFrame:
     """digest, first_id for the payloads that occur more than once; heads: digest, size, id."""
     shared = heads.filter(F.col("size") >= min_bytes).groupBy("digest")
@@ -42,15 +72,19 @@ def write_archives(
     payload_col: str = "html",
     min_bytes: int = 100,
     date: str = "2024-01-01T00:00:00Z",
-    records_per_file: int = 5_000,
+    file_bytes: int = 256 << 20,
     broadcast_rows: int = 200_000,
 ) -> None:
     """Writes one record per row below path, deduplicated by payload.
 
     Payloads under min_bytes are never shared. A null payload is empty, a null url empty;
     a row with a null id is written in full with an empty id. Rows that repeat an id and
-    its payload are all responses.
+    its payload are all responses; of equal payloads the one with the smallest id is the
+    response, whatever the rows' order. Long payloads are written whole. An empty table gives
+    archives without records; other columns are not looked at. Files hold at most file_bytes,
+    or one record.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
@@ -77,37 +111,37 @@ def write_archives(
         _lines("Content-Type: application/http; msgtype=response", F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")), ""),
         F.col("block"),
     )
-    out = rows.withColumn("block", block).select(record.alias("value"))
-    out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    out = rows.withColumn("block", block).select(F.concat(record, F.lit(END + END)).alias("record"))
+    members = out.mapInPandas(_members(file_bytes), "value binary, roll int").select(F.col("value").cast("string").alias("value"), "roll")
+    members.write.option("lineSep", "\0").option("compression", "none").partitionBy("roll").text(path)
 
 
-def records(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and the block of each record of an archive."""
-    while line := data.readline():
-        if not line.strip():
-            continue
-        head: dict[str, str] = {}
-        while (line := data.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode().partition(":")
-            head[name.lower()] = value.strip()
-        yield head, data.read(int(head["content-length"]))
+def _head(record: bytes) -> tuple[dict[str, str], bytes]:
+    lines, _, block = record.partition(b"\r\n\r\n")
+    named = [x.partition(":") for x in lines.decode("utf-8", "replace").split(END)]
+    return {name.strip().lower(): value.strip() for name, _, value in named}, block
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     inner = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
     for batch in batches:
-        for content in batch["content"]:
-            rows = []
-            for head, block in records(gzip.GzipFile(fileobj=io.BytesIO(content))):
-                kind, refers = head["warc-type"], head.get("warc-refers-to")
-                body = block.partition(b"\r\n\r\n")[2]
-                full = kind == "response"
-                rows.append((
-                    inner(head["warc-record-id"]), kind, head["warc-target-uri"], inner(refers) if refers else None,
-                    len(body) if full else None, hashlib.sha256(body).hexdigest() if full else None,
-                    head["warc-payload-digest"].removeprefix("sha256:"),
-                ))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"payload_bytes": "Int64"})
+        rows = []
+        for packed in batch["packed"]:
+            if not packed:
+                continue  # before a file's first member
+            record = zlib.decompress(MEMBER + packed, 31)
+            if not record:
+                continue
+            head, block = _head(record)
+            kind, refers = head["warc-type"], head.get("warc-refers-to")
+            body = block[: int(head["content-length"])].partition(b"\r\n\r\n")[2]
+            full = kind == "response"
+            rows.append((
+                inner(head["warc-record-id"]), kind, head["warc-target-uri"], inner(refers) if refers else None,
+                len(body) if full else None, hashlib.sha256(body).hexdigest() if full else None,
+                head["warc-payload-digest"].removeprefix("sha256:"),
+            ))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"payload_bytes": "Int64"})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -116,8 +150,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A revisit gets the bytes and the digest that were measured on the response to which it
     refers, and nulls where that isn't in the archives or its digest differs.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = materialize(files.mapInPandas(_parse, SCHEMA))
+    small_batches(spark)
+    # Split at the heads of members, so that files of any size are read by many tasks, record by record.
+    packed = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MEMBER.decode("latin-1")).text(path)
+    found = materialize(packed.select(F.col("value").cast("binary").alias("packed")).mapInPandas(_parse, SCHEMA))
     full = found.filter("record_type = 'response'")
     cited = full.select(
         F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest"), "payload_bytes", "payload_digest"

@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
 
+import gzip
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,12 @@ def test_host_verdicts(spark):
     assert good
 
 
+def test_hosts_beyond_the_broadcast(spark):
+    rows = ODD + [(i + 10, t, f"h{i % 3}") for i, t in enumerate(lines(4, 40, ["a", "bb", "#"]))]
+    shape = lambda **o: sorted(map(str, quality.quality(frame(spark, rows), **o).select("doc_id", "host_docs", "host_rejected", "kept").collect()))
+    assert shape(broadcast_rows=0) == shape()
+
+
 def test_sharding_against_a_walk_round_the_ring(spark):
     rows = ODD + [(i + 10, t, "s") for i, t in enumerate(lines(2, 200, "a b c é".split()))]
     got = sharding.shard(frame(spark, rows), shards=4, vnodes=8).collect()
@@ -237,11 +245,15 @@ def test_decontaminate(spark, monkeypatch, few, segment, options):
 
 def test_warc(spark, tmp_path):
     long = "é" * 60 + "\r\n\r\nWARC/1.1\r\n"
-    rows = [(3, "http://x/\r\ny", long), (1, None, long), (2, "u", long), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", long + "!"), (8, "u", "z" * 99), (9, "u", "z" * 100), (10, "u", "z" * 100)]
+    huge = "".join(random.Random(3).choices("abcdefgh é", k=1_000)) * 17_500
+    rows = [(11, "u", huge), (3, "http://x/\r\ny", long), (1, None, long), (2, "u", long), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", long + "!"), (8, "u", "z" * 99), (9, "u", "z" * 100), (10, "u", "z" * 100)]
     pages = spark.createDataFrame([(*x, "r") for x in rows], "page_id long, url string, html string, record_type string")
     for few in (200_000, 0):
         path = scratch.shared_folder(spark)
-        warc.write_archives(pages, path, broadcast_rows=few, records_per_file=2)
+        warc.write_archives(pages, path, broadcast_rows=few, file_bytes=400)
+        files = [f.removeprefix("file:") for f in spark.read.text(path).inputFiles()]
+        whole = [gzip.decompress(Path(f.removeprefix("//")).read_bytes()) for f in files]  # as other readers see them
+        assert sum(x.count(b"WARC-Record-ID") for x in whole) == len(rows) and len(files) > 5
         got = {r.record_id: r for r in warc.read_archives(spark, path).collect()}
         assert len(got) == len(rows)
         for i, _, t in rows:
