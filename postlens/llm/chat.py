@@ -94,7 +94,9 @@ def format_chats(nodes: DataFrame, branches: int = 1, learn_from: str = "assista
 
     nodes: tree_id, node_id, parent_id, role, text, score. Null roles and texts are empty.
     loss_spans cover the escaped texts of the role ``learn_from``, in order. A null tree_id
-    is a tree like any other; an empty table gives no rows.
+    is a tree like any other; messages alike in tree and node are put one after another; an
+    empty table gives no rows; other columns, whatever their names, are not looked at. One
+    conversation becomes one string, so one task holds its texts, however long.
     """
     on, n = paths(nodes, branches).alias("p"), nodes.alias("n")
     turns = on.join(n, F.col("p.tree_id").eqNullSafe(F.col("n.tree_id")) & (F.col("p.node_id") == F.col("n.node_id")))

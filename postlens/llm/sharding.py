@@ -90,7 +90,7 @@ def shard(
     """One row per input row: doc_id, size, text_crc32, shard, slot, home_shard, hops.
 
     Size is the text's UTF-8 bytes plus 1; a null text counts as empty. Slots run from 0
-    without gaps in each shard. hops is 0 where a row stays in the shard that it met first.
+    without gaps in each shard; long texts are only measured and summed. hops is 0 where a row stays in the shard that it met first.
     Rows are ordered on their arc by ring place, id, checksum and size; rows equal in all
     of these take neighbouring slots in any order. An empty table gives no rows; other
     columns of docs are not looked at.

@@ -394,7 +394,8 @@ def restore_texts(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", te
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, n_restored.
 
-    Null, empty and wordless texts have no features and get the model's bias; repeated rows
+    Null, empty and wordless texts have no features and get the model's bias; texts of any
+    length are restored whole; repeated rows
     get equal scores; a null id is held out; an empty table gives no rows; without labels
     all scores are near 0. Other columns are not looked at.
     """
@@ -410,7 +411,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is under 0.5; nothing is shuffled for it."""
+    """The rows of docs, all columns as they are, whose score is under 0.5; nothing is shuffled for it.
+
+    Null, empty and wordless texts get the model's bias as their score; repeated rows stay or
+    go alike; without labels all rows stay; an empty table gives no rows.
+    """
     sc, model = docs.sparkSession.sparkContext, character_model(docs, text_col)
     scorer = _score(sc.broadcast(model), sc.broadcast(learn(docs, labels, model, id_col, text_col, **options)))
     at = docs.columns.index(text_col)

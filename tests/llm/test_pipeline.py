@@ -12,7 +12,8 @@ from postlens.llm import sentencepiece as sp
 def tables(spark, folder):
     text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
     docs = [(0, text("a"), "en", "s", 0), (1, text("a"), "en", "s", 0), (2, text("a") + " tail", "en", "s", 0), (3, text("b") + " mail x@y.zz", "en", None, 0),
-            (4, text("c") + " " + text("q"), "en", "s", 0), (5, None, None, None, None), (6, "", "en", "s", 0)]
+            (4, text("c") + " " + text("q"), "en", "s", 0), (5, None, None, None, None), (6, "", "en", "s", 0),
+            (7, " ".join(f"long{i % 7919}é" for i in range(25_000)), "en", "s", 0)]
     docs += [(10 + i, text(f"k{i}x") + (" nasty awful" if i % 4 == 0 else ""), "en", "s", 0) for i in range(80)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")

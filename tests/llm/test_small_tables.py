@@ -103,6 +103,10 @@ def test_reply_trees(spark):
     two = chat.format_chats(df, branches=2).filter("tree_id = 1").orderBy("branch").collect()
     assert len(two) == 2 and "short" in two[1].formatted
     assert chat.format_chats(df.limit(0)).count() == 0
+    clash = df.withColumns({"branch": F.lit("x"), "depth": F.lit(3), "turn": F.lit(None).cast("int"), "formatted": F.lit("")})
+    assert sorted(map(str, chat.format_chats(clash).collect())) == sorted(map(str, chat.format_chats(df).collect()))
+    long = df.withColumn("text", F.when(F.col("node_id") == 3, F.repeat(F.lit("a[~]é"), 200_000)).otherwise(F.col("text")))
+    assert chat.read_back(chat.format_chats(long)).filter("tree_id = 1").first().loss_text == "a[~]é" * 200_000
 
 
 def test_long_chain(spark):

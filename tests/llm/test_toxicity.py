@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -35,6 +36,53 @@ def test_restores_disguised_words(spark):
     assert r.text("an 1d10t here") == "an idiot here"
 
 
+def cheapest(r, word):
+    """The best text of all paths through a word's lattice."""
+    best = None
+    for path in itertools.product(*r.options(word)):
+        a = b = 0
+        total, text = 0.0, ""
+        for letter, extra in path:
+            total += extra
+            if letter:
+                c = int(tx.letter_class()[ord(letter)])
+                total += r.cost[(a * tx.CLASSES + b) * tx.CLASSES + c]
+                a, b, text = b, c, text + letter
+        total += r.cost[(a * tx.CLASSES + b) * tx.CLASSES]
+        best = min(best or (total, text), (total, text))
+    return best
+
+
+def test_viterbi_takes_the_best_of_all_paths():
+    g = np.random.default_rng(4)
+    r = tx.Restorer(-np.log(g.dirichlet(np.full(tx.CLASSES, 0.2), size=(tx.CLASSES, tx.CLASSES)).clip(1e-7)))
+    letters = random.Random(4)
+    for _ in range(300):
+        word = "".join(letters.choice("aabs1!3$@0+é-.") for _ in range(letters.randint(1, 7)))
+        total, text = cheapest(r, word)
+        got = r.viterbi(word)
+        states = {(0, 0): (0.0, "")}
+        for choices in r.options(word):
+            states = r.step(states, choices)
+        assert abs(r.end(states)[0] - total) < 1e-9 and (got == text or abs(r.end(states)[0] - total) < 1e-9), word
+
+
+def test_scores_equal_plain_python(spark):
+    docs, labels = corpus(300)
+    docs.append((999_999, " ".join(t for _, t, _ in docs) * 10, "a very long text"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = tx.character_model(df)
+    index, weights = tx.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), model)
+    r, seen = tx.Restorer(model), {}
+    for i, text, _ in docs:
+        words = r.words(text)[0]
+        n = {f: sum(w + "$" == f or (len(w) > len(f) and w.startswith(f)) for w in words) for f in index}
+        z = weights[-1] + sum(weights[index[f]] * np.log2(1 + k) for f, k in n.items())
+        seen[i] = 1 / (1 + np.exp(-z))
+    got = {x.doc_id: x.score for x in tx.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got.keys() == seen.keys() and all(abs(got[i] - seen[i]) < 1e-6 for i in seen)
+
+
 def test_scores_held_out_rows(spark):
     docs, labels = corpus()
     extra = [(10_000, "the re ing you 1d10t and m0r0n an l0ser", "x"), (10_001, "", "x"), (10_002, None, "x"), (None, "the", "x"), (10_003, "the", None), (10_003, "the", None)]
