@@ -10,28 +10,44 @@ from postlens.llm.scratch import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents with a toxicity score of 0.5 or more go."""
+    """Operator 7: documents with a toxicity score of 0.5 or more go.
+
+    Null and empty texts have the model's bias as score and stay; repeated rows go alike.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of linked documents the one with the smallest doc_id stays."""
+    """Operator 5: of each group of linked documents the one with the smallest doc_id stays.
+
+    Null and wordless texts stay; of rows alike in id and text one stays.
+    """
     return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents in which a window of a benchmark item occurs go."""
+    """Operator 6: documents in which a window of a benchmark item occurs go.
+
+    Null and empty texts stay; repeated rows go alike.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: spans of personal data are replaced by their kind; n_chars follows the text."""
+    """Operator 1: spans of personal data are replaced by their kind; n_chars follows the text.
+
+    No row goes; null texts stay null, with a null n_chars.
+    """
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the token ids of each text and the text decoded from them, as digests."""
+    """Operator 2: the token ids of each text and the text decoded from them, as digests.
+
+    One row for each document; null texts are empty. Every stage takes texts of any length
+    whole and gives an empty table for one.
+    """
     return sentencepiece.digests(docs, sentencepiece.load_model(sentencepiece.model_path()))
 
 
