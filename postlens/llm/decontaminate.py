@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import jaccard
-from postlens.llm.scratch import discard, materialize, small_batches
+from postlens.llm.scratch import discard, give_back, materialize, small_batches
 
 WINDOW = 10
 #: Bytes of words: digits, lower-case letters and all of non-ASCII text; A-Z are lower-cased, the rest are spaces.
@@ -93,6 +93,8 @@ def _segments(shared, gap: int):
                     segment, held, size = segment + 1, [], 0
         if held:
             yield from rows(segment, pd.concat(held))
+        del held
+        give_back()
 
     return run
 

@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlens.llm.scratch import discard, materialize, small_batches
+from postlens.llm.scratch import discard, give_back, materialize, small_batches
 
 MOST_SEEN = 200_000
 SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 BLOCK = 64
+MOST_BITS = 1_024
 #: A list of more sets is processed by pairs of parts rather than whole.
 PART = 2_000
 #: The list of a shingle that more texts have is dealt out by set, in salted parts of about this many.
@@ -139,8 +140,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bits, as many as the set has shingles or up to twice as many: fewer bits differ than shingles."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    """Parity bits, as many as the set has shingles or up to twice as many, MOST_BITS at most: fewer bits differ than shingles."""
+    bits = min(MOST_BITS, max(64, 1 << (len(s) - 1).bit_length())) if len(s) else 64
     return np.packbits(np.bincount((s & u64(bits - 1)).astype(np.int64), minlength=bits) % 2 == 1, bitorder="little").tobytes()
 
 
@@ -175,6 +176,7 @@ def _profiles(size: int):
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = c >= max(4, len(sets) // 500)
             yield pd.DataFrame({"uid": None, "doc_id": None, "n": None, "sid": None, "sig": None, "h": h[often].view(np.int64), "c": c[often]})
+        give_back()
 
     return run
 
@@ -218,6 +220,7 @@ def _postings(shared, size: int, percent: int):
                     "h": h.view(np.int64), "salt": salt, "sid": sid,
                     "np": np.repeat(np.array(ns, np.int64), at) * PACK + pos,
                 })
+        give_back()
 
     return run
 
@@ -530,11 +533,14 @@ def jaccard_join(
     signs = materialize(signs)
     sizes = signs.agg(F.sum(F.octet_length("sig") + 64)).first()[0] or 0
     few = sizes <= broadcast_bytes  # else what follows is shuffled by set
+    few_weights = weight.count() * 64 <= broadcast_bytes
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    heavy = lists.select("h", "sid").join(small(weight), "sid")
-    chiefs = materialize(heavy.groupBy("h").agg(F.max(F.struct("w", "sid")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
-    met = lists.select("h", "sid").join(chiefs, "h").select("sid", F.col("p.sid").alias("pivot"), F.col("p.w").alias("pw"))
-    met = met.filter("pivot <> sid").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("pw").alias("pw"))
+    size_of = F.expr(f"np div {PACK}").alias("size")
+    heavy = lists.select("h", "sid", size_of).join(F.broadcast(weight) if few_weights else weight, "sid")
+    chiefs = materialize(heavy.groupBy("h").agg(F.max(F.struct("w", "sid", "size")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    met = lists.select("h", "sid", size_of).join(chiefs, "h")
+    met = met.filter(100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size"))  # else they can't link
+    met = met.select("sid", F.col("p.sid").alias("pivot"), F.col("p.w").alias("pw")).filter("pivot <> sid").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("pw").alias("pw"))
     met = met.join(small(signs), "sid").join(small(signs.toDF("pivot", "n_pivot", "sig_pivot")), "pivot")
     met = met.mapInPandas(_viable(percent), "sid long, pivot long, k long, pw long")
     best = materialize(met.groupBy("sid").agg(F.max(F.struct("k", "pw", "pivot")).alias("p")).select("sid", F.col("p.pivot").alias("pivot")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import cache
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -44,6 +46,13 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(ROWS_PER_BATCH, str(rows))
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system: it goes on to other tasks, and keeps what it once took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import small_batches
+from postlens.llm.scratch import give_back, small_batches
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -39,7 +39,7 @@ NO_LEET_EDGE = re.compile(f"^{_NO_LEET}|{_NO_LEET}$")
 THRICE = re.compile(r"(.)\1\1")
 #: Common punctuation that stands for no letter: words with nothing else around them need no search.
 PLAIN_EDGE = ".,;:?\"'-"
-SHORTEST, LONGEST, MOST_CACHED, MOST_COUNTED = 3, 8, 100_000, 400_000
+SHORTEST, LONGEST, MOST_CACHED, MOST_COUNTED = 3, 8, 60_000, 200_000
 
 
 @cache
@@ -276,6 +276,8 @@ def _count_features(shared):
                     toxic.clear()
                     clean.clear()
         yield table(toxic, clean)
+        del restore, toxic, clean
+        give_back()
 
     return run
 
@@ -374,6 +376,8 @@ def _score(shared, learnt):
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
                 changes.append(changed)
             yield batch.drop(columns="text").assign(score=scores, n_restored=changes)
+        del restore
+        give_back()
 
     return run
 
