@@ -38,7 +38,7 @@ SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 BLOCK = 64
-MOST_BITS = 1_024
+MOST_BITS = 8_192
 #: A list of more sets is processed by pairs of parts rather than whole.
 PART = 2_000
 #: The list of a shingle that more texts have is dealt out by set, in salted parts of about this many.
