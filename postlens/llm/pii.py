@@ -67,21 +67,62 @@ SURE = {
 FEATURES = ("generator", "digits", "length", "groups", "letters", "longest", "signs", "before", "after", "cue", "spelled")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: an expression named inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """The running results of combine over an array of ints of 0 or more.
+
+    Each element added to an array copies it, so long arrays are taken in blocks: the results
+    of whole blocks come first, then each block goes on from what lies before it.
+    """
+
+    def steps(part: Column, first: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda a, v: F.concat(a, F.array(combine(F.element_at(a, -1), v))))
+
+    def in_blocks(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / block).cast("int"), F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * block + 1, F.lit(block)))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, before(ps), lambda p, first: go_on(F.coalesce(p, none), first))))
+
+    def before(parts: Column) -> Column:
+        return steps(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), combine)), F.lit(0))
+
+    def go_on(part: Column, first: Column) -> Column:
+        return F.slice(steps(part, first), F.lit(2), F.size(part))
+
+    none = F.array().cast("array<int>")
+    return let(values, in_blocks)
+
+
 def matches(text: Column, pattern: str, may: Column) -> Column:
     """Array of start, end (code points), match of all matches: what lies between them gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
+    def placed(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        ends = running(F.zip_with(found, gaps, lambda m, g: F.char_length(g) + F.coalesce(F.char_length(m), F.lit(0))), lambda a, b: a + b)
+        spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+        return F.filter(spans, lambda x: x["match"].isNotNull())
 
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(may, F.aggregate(pairs, state, step, lambda a: a["out"])).otherwise(none)
+    return F.when(may, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+
+
+PIECE = 1024
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of 1,024 code points: a substring far into a long text walks all that lies before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to before end, by way of the pieces that hold them."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substring(held, start - first * PIECE + 1, end - start)
 
 
 def _digits(x: Column) -> Column:
@@ -127,9 +168,11 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     def char_class(c: Column) -> Column:
         return F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).otherwise(4)
 
-    def judged(x: Column, no: int, generator: str) -> Column:
+    def judged(x: Column, no: int, generator: str, parts: Column) -> Column:
+        return let(cut(parts, F.greatest(x["start"] - 24, F.lit(0)), x["start"]), lambda before: features(x, no, generator, before, cut(parts, x["end"], x["end"] + 1)))
+
+    def features(x: Column, no: int, generator: str, before: Column, after: Column) -> Column:
         m, start, end = x["match"], x["start"], x["end"]
-        before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
         runs = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda r: F.char_length(r))
         cap = lambda c, n: F.least(c, F.lit(n)).cast("int")
         values = (
@@ -137,7 +180,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             cap(F.regexp_count(m, F.lit("[A-Za-z]")), 60), cap(F.coalesce(F.array_max(runs), F.lit(0)), 40),
             F.regexp_count(m, F.lit("[()]")).cast("int").between(1, 9).cast("int") + 2 * F.regexp_count(m, F.lit("-")).between(1, 9).cast("int")
             + 4 * F.regexp_count(m, F.lit("[.]")).between(1, 9).cast("int"),
-            char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")), char_class(F.substring(text, end + 1, F.lit(1))),
+            char_class(F.substring(before, -1, 1)), char_class(after),
             F.when(before.rlike("(?i)call|phone|tel|fax"), 1).when(before.rlike("(?i)card|visa|pay"), 2).when(before.rlike("(?i)mail|contact"), 3)
             .when(before.rlike("(?i)token|secret|key|pass"), 4).otherwise(0),
             F.when(m.rlike(r"[(\[]at[)\]]"), 2).when(m.contains(" at "), 1).otherwise(0) + 3 * m.rlike(DOT).cast("int"),
@@ -145,10 +188,12 @@ def with_candidates(rows: DataFrame) -> DataFrame:
         sure = SURE[generator](m) if generator in SURE else F.lit(False)
         return F.struct(start.alias("start"), end.alias("end"), F.array(*[v.cast("int") for v in values]).alias("x"), sure.alias("sure"))
 
-    def proposed(no: int, generator: str) -> Column:
-        return F.transform(f"g_{generator}", lambda x: judged(x, no, generator))
+    def proposed(no: int, generator: str, parts: Column) -> Column:
+        return F.transform(f"g_{generator}", lambda x: judged(x, no, generator, parts))
 
-    rows = rows.withColumn("candidates", F.concat(*[proposed(i, g) for i, g in enumerate(GENERATORS)]))
+    found = F.greatest(*[F.size(f"g_{g}") for g in GENERATORS]) > 0
+    every = let(F.when(found, pieces(text)).otherwise(F.array().cast("array<string>")), lambda parts: F.concat(*[proposed(i, g, parts) for i, g in enumerate(GENERATORS)]))
+    rows = rows.withColumn("candidates", every)
     return rows.drop(*[f"g_{g}" for g in GENERATORS])
 
 
@@ -232,8 +277,22 @@ def calibrate(candidates: DataFrame, trees: list[Tree], precision: float, least:
     return out
 
 
-def _overlaps(c: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def _reach(spans: Column) -> Column:
+    """For each of the spans, in order of start, how far it or one before it goes."""
+    return running(F.transform(spans, lambda b: b["end"]), lambda a, b: F.greatest(a, b))
+
+
+def _overlaps(c: Column, spans: Column, reach: Column) -> Column:
+    """Whether c overlaps one of the spans, in order of start: the last that starts before c ends is found by halving."""
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        right = (a["low"] < a["high"]) & F.coalesce(F.get(spans, middle)["start"] < c["end"], F.lit(False))
+        return F.struct(F.when(right, middle + 1).otherwise(a["low"]).alias("low"), F.when(right, a["high"]).otherwise(middle).alias("high"))
+
+    state = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    before = F.aggregate(F.sequence(F.lit(1), F.char_length(F.bin(F.size(spans)))), state, halve, lambda a: a["low"])
+    return F.coalesce(F.get(reach, before - 1) > c["start"], F.lit(False))
 
 
 def find_spans(
@@ -253,12 +312,12 @@ def find_spans(
     rows = with_base(rows)
     rows = with_candidates(rows.withColumn("base", F.array_sort(F.concat(*KINDS))).drop(*KINDS))
     # Candidates and base spans do not depend on the row's other columns.
-    every = rows.select("id", "base", F.explode("candidates").alias("c"))
-    every = every.select(
-        F.xxhash64("id", "c.start", "c.end").alias("o"), F.col("c.x").alias("x"),
-        (_overlaps(F.col("c"), F.col("base")) | F.col("c.sure")).cast("int").alias("y"),
-    )
-    every = materialize(every)
+    def labelled(c: Column, reach: Column) -> Column:
+        y = (_overlaps(c, F.col("base"), reach) | c["sure"]).cast("int")
+        return F.struct(F.xxhash64("id", c["start"], c["end"]).alias("o"), c["x"].alias("x"), y.alias("y"))
+
+    labels = let(_reach(F.col("base")), lambda reach: F.transform("candidates", lambda c: labelled(c, reach)))
+    every = materialize(rows.select(F.inline(labels)))
     train = materialize(every.orderBy("o", "x").limit(sample)).filter("o % 2 = 0")
     kinds = {r.y for r in train.select("y").distinct().collect()}
     trees, bounds = [], []
@@ -266,13 +325,13 @@ def find_spans(
         trees = boost(train)
         bounds = calibrate(every, trees, precision, least)
 
-    def chosen(c: Column) -> Column:
+    def chosen(c: Column, reach: Column) -> Column:
         above = [(c["x"][0] == g) & (raw_score(trees, c["x"]) >= b) for g, b in enumerate(bounds) if b is not None]
-        return reduce(lambda p, q: p | q, above, c["sure"]) & ~_overlaps(c, F.col("base"))
+        return reduce(lambda p, q: p | q, above, c["sure"]) & ~_overlaps(c, F.col("base"), reach)
 
     names = F.array(*[F.lit(g) for g in GENERATORS])
     added = F.transform(
-        F.filter("candidates", chosen),
+        let(_reach(F.col("base")), lambda reach: F.filter("candidates", lambda c: chosen(c, reach))),
         lambda c: F.struct(
             c["start"].alias("start"), (F.lit(len(KINDS)) + c["x"][0]).alias("order"), c["end"].alias("end"), names[c["x"][0]].alias("kind")
         ),
@@ -288,23 +347,22 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the texts' spans replaced by [KIND]; overlapping spans become one, named by the first. Null texts stay null."""
     found = find_spans(docs.select(*[c for c in docs.columns]), id_col, text_col, **options)
-    kind = "array<struct<start:int,order:int,end:int,kind:string>>"
-
-    def merge(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        one = F.struct(last["start"].alias("start"), last["order"].alias("order"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        longer = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(one))
-        return F.when((F.size(a) > 0) & (x["start"] < F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0))), longer).otherwise(F.concat(a, F.array(x)))
-
-    runs = F.aggregate("spans", F.array().cast(kind), merge)
-    found = found.withColumn("__runs", runs)
-    piece = lambda x, i: F.concat(
-        F.substring(F.col(text_col), F.coalesce(F.get("__runs", i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("__runs", i - 1)["end"], F.lit(0))),
-        F.lit("["), F.upper(x["kind"]), F.lit("]"),
-    )
-    tail = F.substring(F.col(text_col), F.coalesce(F.get("__runs", F.size("__runs") - 1)["end"], F.lit(0)) + 1, F.char_length(text_col))
-    clean = F.when(F.size("__runs") > 0, F.concat(F.array_join(F.transform("__runs", piece), ""), tail)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    text, spans = F.col(text_col), F.col("spans")
+
+    def runs(reach: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, n: run(F.get(spans, i), F.get(reach, F.coalesce(F.get(at, n + 1), F.size(spans)) - 1))))
+
+    def run(first: Column, end: Column) -> Column:
+        return F.struct(first["start"].alias("start"), end.alias("end"), first["kind"].alias("kind"))
+
+    def clean(runs: Column, parts: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(runs, i)["end"], F.lit(0))
+        shown = F.transform(runs, lambda x, i: F.concat(cut(parts, end(i - 1), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(shown, ""), cut(parts, end(F.size(runs) - 1), F.char_length(text)))
+
+    redacted = let(let(_reach(spans), runs), lambda r: let(pieces(text), lambda parts: clean(r, parts)))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, redacted).otherwise(text)).select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from postlens.llm import pii
 
 BASE = {
@@ -110,3 +112,57 @@ def test_proposes_numbers_in_ones_and_twos(spark):
     docs = spark.createDataFrame([("ring 06 12 34 56 78 now",), ("ring 12-34-56-78 now",), ("ring 01.23.45.67.89 now",)], "text string")
     got = [{c.x[0] for c in r.candidates} for r in pii.with_candidates(docs).collect()]
     assert got == [{0, 1}, {0, 1}, {0}]
+
+
+def redacted(text, spans):
+    out, end = [], 0
+    for start, _, stop, kind in sorted(spans):
+        if start >= end:
+            out.append(text[end:start] + f"[{kind.upper()}]")
+        end = max(end, stop)
+    return "".join(out) + text[end:]
+
+
+def many(n):
+    r = random.Random(8)
+    kinds = ["x{0}@host.org é", "\U0001f600 +1 ({0}) 555-0199 1.2.3.4", "1.2.3.4@b.cc", "4111 1111 1111 1111x", "token=a1b2c3d4e5{0} word"]
+    return " ".join(r.choice(kinds).format(r.randint(100, 999)) for _ in range(n))
+
+
+def test_long_texts_with_many_matches(spark):
+    """More matches than a block of running sums holds, and spans over the edges of pieces."""
+    rows = [(n, many(n), "kept") for n in (1, 40, 64, 65, 129, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __runs string")
+    found = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_spans(docs).collect()}
+    got = {r.doc_id: r for r in pii.redact(docs).collect()}
+    for n, text, _ in rows:
+        assert [x for x in found[n] if x[1] < 4] == brute(text)
+        assert got[n].text == redacted(text, found[n]) and got[n]["__runs"] == "kept"
+
+
+def test_surroundings_of_candidates_in_long_texts(spark):
+    text = many(600)
+    row = pii.with_candidates(spark.createDataFrame([(text,)], "text string")).first()
+
+    def char_class(c):
+        return 0 if not c else 1 if re.match("[A-Za-z]", c) else 2 if re.match("[0-9]", c) else 3 if c.isspace() else 4
+
+    assert len(row.candidates) > 600 and len(text) > 10 * pii.PIECE
+    for c in row.candidates:
+        assert (c.x[7], c.x[8]) == (char_class(text[max(c.start - 1, 0) : c.start]), char_class(text[c.end : c.end + 1]))
+
+
+def test_running_and_overlaps_against_python(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(120):
+        spans = sorted((s, s + r.randint(1, 12)) for s in (r.randint(0, 900) for _ in range(r.choice([0, 1, 2, 3, 4, 63, 64, 65, 130]))))
+        rows.append((i, spans, [(s, s + r.randint(1, 30)) for s in (r.randint(0, 950) for _ in range(20))]))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"id int, spans {kind}, cs {kind}")
+    df = df.withColumn("reach", pii._reach(F.col("spans")))
+    df = df.withColumn("got", F.transform("cs", lambda c: pii._overlaps(c, F.col("spans"), F.col("reach"))))
+    for x in df.collect():
+        _, spans, cs = rows[x.id]
+        assert x.reach == [max(e for _, e in spans[: i + 1]) for i in range(len(spans))]
+        assert x.got == [any(s < ce and cs_ < e for s, e in spans) for cs_, ce in cs]
