@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, jaccard, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
+from postlens.llm import chat, decontaminate, infill, jaccard, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_revisits": warc.query,
     "op9_host_quality": quality.query,
     "op10_repeated_text": repeats.query,
+    "op11_fill_in_middle": infill.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_decontamination": decontaminate.SQL,
     "op8_warc_revisits": warc.SQL,
     "op9_host_quality": quality.SQL,
+    "op11_fill_in_middle": infill.SQL,
 }
