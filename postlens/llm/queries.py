@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, infill, jaccard, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
+from postlens.llm import chat, decontaminate, infill, jaccard, manifest, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_host_quality": quality.query,
     "op10_repeated_text": repeats.query,
     "op11_fill_in_middle": infill.query,
+    "op12_merkle_manifest": manifest.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_warc_revisits": warc.SQL,
     "op9_host_quality": quality.SQL,
     "op11_fill_in_middle": infill.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }
