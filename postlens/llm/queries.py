@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import chat, decontaminate, infill, jaccard, manifest, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
+from postlens.llm import chat, decontaminate, infill, jaccard, manifest, mixing, pii, quality, repeats, sentencepiece, sharding, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_repeated_text": repeats.query,
     "op11_fill_in_middle": infill.query,
     "op12_merkle_manifest": manifest.query,
+    "op13_source_mix": mixing.query,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_host_quality": quality.SQL,
     "op11_fill_in_middle": infill.SQL,
     "op12_merkle_manifest": manifest.SQL,
+    "op13_source_mix": mixing.SQL,
 }
