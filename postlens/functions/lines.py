@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import DateTimeException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions.text import fold
@@ -71,12 +72,21 @@ def login_result(rest: Column) -> Column:
     return F.when(F.startswith(rest, F.lit("Login:")), "login").when(rest.contains("auth failed"), "auth_failed").when(rest.contains("no auth attempts"), "no_auth")
 
 
+def known_zone(spark: SparkSession, zone: str | None) -> str:
+    """zone, or UTC if it is none that the JVM knows."""
+    try:
+        return spark.sparkContext._jvm.java.time.ZoneId.of(zone or "UTC").getId()
+    except DateTimeException:
+        return "UTC"
+
+
 def parse_login(rows: DataFrame, year: Column | int, now: Column, zone: str = "UTC", text: str = "line") -> DataFrame:
     """ts (UTC, without zone), service, result, user, client_ip, method, tls; null result for other lines.
 
     The year is an estimate: a date that it lacks is taken from a year nearby, and one more
-    than a day ahead of now from the year before.
+    than a day ahead of now from the year before. A zone that isn't known is UTC.
     """
+    zone = known_zone(rows.sparkSession, zone)
     line, year = F.col(text), year if isinstance(year, Column) else F.lit(year)
     part = lambda i: F.regexp_extract(line, LOGIN, i)
     month = F.array_position(F.array(*map(F.lit, MONTHS)), part(1))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlens.functions.text import NOWHERE
 from postlens.plans.reports import total
@@ -30,6 +31,7 @@ class Settings:
     cracked_account_failures: int = 5
     cracked_account_window_minutes: int = 60
     trusted_ips: tuple[str, ...] = ("127.0.0.1", "::1")
+    disk_paths: tuple[str, ...] = ("/",)
 
     @classmethod
     def of(cls, config: dict[str, str]) -> Settings:
@@ -39,10 +41,13 @@ class Settings:
             value = config.get(f.name)
             if value is None:
                 continue
-            if f.name == "trusted_ips":
+            if f.name in ("trusted_ips", "disk_paths"):
                 out[f.name] = tuple(x.strip() for x in value.split(",") if x.strip())
-            elif str(value).strip().lstrip("-").isdigit():
+                continue
+            try:
                 out[f.name] = int(value)
+            except (TypeError, ValueError):
+                pass
         return cls(**out)
 
 
@@ -98,49 +103,69 @@ def queue_saturated(queue_minute: DataFrame, now: str, s: Settings) -> DataFrame
     return _alert(n, "queue_saturated", "warning", "The queue runs at its limit", F.format_string("%d of %d remote deliveries ran at once.", "used", "top"))
 
 
+def _listed(rows: DataFrame, worst: str, *then: str, said: Column) -> DataFrame:
+    """One row, said: the rows' texts, the greatest ``worst`` first; no row for none. The rows are accounts or logs that are past a limit."""
+    each = F.struct(F.negative(worst).alias("a"), *then, said.alias("said"))
+    one = rows.agg(F.sort_array(F.collect_list(each)).alias("l")).filter("size(l) > 0")
+    return one.select(F.concat_ws("; ", F.transform("l", lambda x: x["said"])).alias("said"))
+
+
 def parser_state_large(state: DataFrame, s: Settings) -> DataFrame:
-    """state: logdir, bytes."""
-    big = state.filter(F.col("bytes") > s.parser_state_kb * 1024).agg(F.min(F.struct(F.negative("bytes").alias("b"), "logdir")).alias("w")).filter("w is not null")
-    said = F.format_string("The state of %s takes %d KB.", F.col("w.logdir"), F.floor(F.negative("w.b") / 1024))
-    return _alert(big, "parser_state_large", "serious", "The parser's state has grown", said)
+    """state: logdir, bytes, as of keyed.state_sizes; all logs past the limit are named."""
+    big = state.filter(F.col("bytes") > s.parser_state_kb * 1024)
+    big = _listed(big, "bytes", "logdir", said=F.format_string("The state of %s takes %d KB", F.col("logdir"), F.expr("bytes div 1024")))
+    return _alert(big, "parser_state_large", "serious", "The parser's state has grown", F.concat("said", F.lit(".")))
 
 
 def cracked_accounts(auth_event: DataFrame, now: str, s: Settings) -> DataFrame:
     """user_name, client_ip, failures, seen: recent logins after failures of the same account from the same address within a week before."""
-    login = _last(auth_event.filter((F.col("result") == "login") & ~F.col("client_ip").isin(*s.trusted_ips)), now, f"{s.cracked_account_window_minutes} MINUTE")
-    login = login.select("user_name", "client_ip", F.col("ts").alias("seen"))
-    failed = auth_event.filter("result = 'auth_failed'").select("id", "user_name", "client_ip", F.col("ts").alias("failed"))
+    recent = (F.col("ts") > _at(now) - F.expr(f"INTERVAL {s.cracked_account_window_minutes} MINUTE")) & (F.col("ts") <= _at(now))
+    login = (F.col("result") == "login") & ~F.col("client_ip").isin(*s.trusted_ips) & recent
     # The recent logins bound the week of failures that is read.
-    failed = failed.filter(F.col("failed") > _at(now) - F.expr(f"INTERVAL {s.cracked_account_window_minutes} MINUTE") - F.expr("INTERVAL 7 DAY"))
-    pairs = login.join(failed, ["user_name", "client_ip"]).filter("failed < seen and failed > seen - INTERVAL 7 DAY")
-    out = pairs.groupBy("user_name", "client_ip").agg(F.count_distinct("id").alias("failures"), F.max("seen").alias("seen"))
-    return out.filter(F.col("failures") >= s.cracked_account_failures)
+    since = _at(now) - F.expr(f"INTERVAL {s.cracked_account_window_minutes} MINUTE") - F.expr("INTERVAL 7 DAY")
+    rows = auth_event.filter((F.col("ts") > since) & F.col("user_name").isNotNull() & F.col("client_ip").isNotNull())
+    rows = rows.select("id", "user_name", "client_ip", "ts", login.alias("login"), (F.col("result") == "auth_failed").alias("failed")).filter("login or failed")
+    # Only the next login can be within a week of a failure if any is, and only the last failure before a login; neither is of the same time.
+    seen = Window.partitionBy("user_name", "client_ip").rowsBetween(Window.unboundedPreceding, -1)
+    next_login = F.last(F.when(F.col("login"), F.col("ts")), ignorenulls=True).over(seen.orderBy(F.desc("ts"), "login"))
+    last_failure = F.last(F.when(F.col("failed"), F.col("ts")), ignorenulls=True).over(seen.orderBy("ts", F.desc("login")))
+    rows = rows.withColumns({"next_login": next_login, "last_failure": last_failure})
+    week = F.expr("INTERVAL 7 DAY")
+    out = rows.groupBy("user_name", "client_ip").agg(
+        F.count_distinct(F.when(F.col("failed") & (F.col("next_login") < F.col("ts") + week), F.col("id"))).alias("failures"),
+        F.max(F.when(F.col("login") & (F.col("last_failure") > F.col("ts") - week), F.col("ts"))).alias("seen"),
+    )
+    return out.filter(F.col("failures") >= s.cracked_account_failures).filter("seen is not null")
 
 
 def account_cracked(auth_event: DataFrame, now: str, s: Settings) -> DataFrame:
-    w = cracked_accounts(auth_event, now, s).agg(F.min(F.struct(F.negative("failures").alias("n"), "user_name", "client_ip")).alias("w")).filter("w is not null")
-    said = F.format_string("%s logged in from %s after %d failed tries from there.", F.col("w.user_name"), F.col("w.client_ip"), F.negative("w.n"))
-    return _alert(w, "account_cracked", "critical", "A password was guessed", said)
+    """All accounts that were cracked are named."""
+    said = F.format_string("%s logged in from %s after %d failed tries from there", "user_name", "client_ip", "failures")
+    w = _listed(cracked_accounts(auth_event, now, s), "failures", "user_name", "client_ip", said=said)
+    return _alert(w, "account_cracked", "critical", "A password was guessed", F.concat("said", F.lit(".")))
+
 
+def disk_full(s: Settings, usage=shutil.disk_usage) -> list[tuple[str, str, str, str]]:
+    """id, severity, title, detail of the paths' file systems that are too full, each once; paths that can't be read are left out.
 
-def disk_full(paths: list[str], s: Settings) -> list[tuple[str, str]]:
-    """id, severity of the paths' file systems that are too full, each once; paths that can't be read are left out."""
+    These are the driver's own disks.
+    """
     out, seen = [], set()
-    for p in paths:
+    for p in s.disk_paths:
         try:
-            usage = shutil.disk_usage(p)
+            total, used, free = usage(p)
         except OSError:
             continue
-        if (key := (usage.total, usage.used)) not in seen and usage.total:
-            seen.add(key)
-            percent = 100 * usage.used / usage.total
+        if total and (total, free) not in seen:
+            seen.add((total, free))
+            percent = 100 * used / total
             if percent >= s.disk_percent:
-                out.append((f"disk_full:{p}", "critical" if percent >= 95 else "serious"))
+                out.append((f"disk_full:{p}", "critical" if percent >= 95 else "serious", f"{p} is filling up", f"{percent:.0f} percent used, {free / 1e9:.1f} GB free."))
     return out
 
 
 def evaluate(tables: dict[str, DataFrame], now: str, s: Settings | None = None) -> DataFrame:
-    """All alerts that hold, worst first."""
+    """All alerts that hold, worst first; those of the driver's disks are as of this call."""
     s = s or Settings()
     rules = [
         bounce_storm(tables["delivery"], now, s), delivery_failing(tables["delivery"], now, s), parser_stalled(tables["message"], tables.get("heartbeat"), now, s),
@@ -148,6 +173,10 @@ def evaluate(tables: dict[str, DataFrame], now: str, s: Settings | None = None)
     ]
     if "parser_state" in tables:
         rules.append(parser_state_large(tables["parser_state"], s))
+    full = disk_full(s)
+    if full:
+        disks = tables["delivery"].sparkSession.createDataFrame(full, "id string, severity string, title string, detail string")
+        rules.append(disks.withColumn("rank", F.when(F.col("severity") == "critical", RANK["critical"]).otherwise(RANK["serious"])))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

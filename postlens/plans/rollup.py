@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.plans.reports import outcomes
@@ -10,8 +12,12 @@ from postlens.plans.reports import outcomes
 NUMBERS = ("messages", "bytes", "successes", "deferrals", "failures")
 
 
+def _at(now: str) -> Column:
+    return F.lit(now).cast("timestamp_ntz")
+
+
 def _old(rows: DataFrame, now: str, days: int) -> DataFrame:
-    return rows.filter(F.col("ts") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY"))
+    return rows.filter(F.col("ts") < _at(now) - F.expr(f"INTERVAL {days} DAY"))
 
 
 def fold_messages(message: DataFrame, now: str, days: int = 90) -> DataFrame:
@@ -32,28 +38,77 @@ def merge_daily(stored: DataFrame, *folded: DataFrame) -> DataFrame:
     return every.groupBy("day", "domain", "direction").agg(*[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in NUMBERS])
 
 
-def prune(rows: DataFrame, now: str, days: int = 90, budget: int = 100_000) -> DataFrame:
-    """rows without the oldest ``budget`` of those that are past keeping.
+def _bound(old: DataFrame, budget: int, unit: str) -> tuple[object, int]:
+    """The oldest day or second (of the rows old) that can't go as a whole, None if all can, and what is left of the budget for it."""
+    at = F.date_trunc(unit, "ts").cast("timestamp_ntz")
+    for r in old.groupBy(at.alias("at")).count().orderBy("at").collect():  # a row for each day, or for each second of a day
+        if r["count"] > budget:
+            return r["at"], budget
+        budget -= r["count"]
+    return None, budget
+
 
-    The time up to which rows go is found from counts by day and, within the last day, by
-    second, so no task sees all old rows; the rows of the last second go or stay as one.
+def prune(rows: DataFrame, now: str, days: int = 90, budget: int = 100_000, order: tuple[str, ...] = ()) -> DataFrame:
+    """rows without the oldest ``budget`` of those that are past keeping; rows of no time stay.
+
+    Rows of one time go in the order of ``order`` (no order: of all columns); of rows alike in
+    that, as many go as must. Where the budget ends is found from counts by day, then by
+    second, then among the first ``budget`` rows of one second, so no task sees all old rows.
     """
-    at = F.date_trunc("second", "ts").cast("timestamp_ntz")
     old = _old(rows, now, days)
-    days_ = old.groupBy(F.to_date("ts").alias("d")).count().orderBy("d").collect()  # one row a day
-    left, last = budget, None
-    for r in days_:
-        last = r["d"]
-        if r["count"] > left:
-            break
-        left -= r["count"]
-    else:
-        return rows.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")))
-    upto = None
-    for r in old.filter(F.to_date("ts") == F.lit(last)).groupBy(at.alias("s")).count().orderBy("s").collect():  # 86,400 rows at most
-        if r["count"] > left:
+    day, left = _bound(old, budget, "day")
+    if day is None:
+        return rows.filter(F.col("ts").isNull() | (F.col("ts") >= _at(now) - F.expr(f"INTERVAL {days} DAY")))
+    second, left = _bound(old.filter((F.col("ts") >= F.lit(day)) & (F.col("ts") < F.lit(day) + F.expr("INTERVAL 1 DAY"))), left, "second")
+    begin, end = F.lit(second), F.lit(second) + F.expr("INTERVAL 1 SECOND")
+    if not left:
+        return rows.filter(F.col("ts").isNull() | (F.col("ts") >= begin))
+    key = F.struct("ts", *(order or [c for c in rows.columns if c != "ts"]))
+    here = old.filter((F.col("ts") >= begin) & (F.col("ts") < end)).withColumn("_key", key)
+    last = here.orderBy("_key").limit(left).agg(F.max("_key").alias("_last"))  # one row
+    here = here.join(F.broadcast(last))
+    below, same = here.agg(F.count_if(F.col("_key") < F.col("_last")), F.count_if(F.col("_key") == F.col("_last"))).first()
+    alike = here.filter(F.col("_key") == F.col("_last")).limit(below + same - left)
+    # Rows of that second that aren't past keeping (now may lie within it) are among those after it.
+    later = rows.filter(F.col("ts").isNull() | (F.col("ts") >= end) | ((F.col("ts") >= begin) & (F.col("ts") >= _at(now) - F.expr(f"INTERVAL {days} DAY"))))
+    return later.unionByName(here.filter(F.col("_key") > F.col("_last")).select(rows.columns)).unionByName(alike.select(rows.columns))
+
+
+def prune_stored(spark: SparkSession, path: str, now: str, days: int = 90, budget: int = 100_000) -> int:
+    """Prunes a Parquet table of day partitions and gives the number of rows that went.
+
+    Whole days go as folders, the oldest first; only the day in which the budget or the time
+    of keeping ends is written anew. A run that was broken off can be run again.
+    """
+    rows = spark.read.parquet(path)
+    last = _last_day(now, days)
+    counts = rows.filter(F.col("day") <= F.lit(last)).groupBy("day").count().orderBy("day").collect()  # one row a day
+    gone, whole = 0, []
+    for r in counts:
+        if r["day"] == last or gone + r["count"] > budget:
+            kept = prune(rows.filter(F.col("day") == F.lit(r["day"])), now, days, budget - gone)
+            aside = f"{path.rstrip('/')}.pruned"
+            kept.write.mode("overwrite").parquet(aside)
+            kept = spark.read.schema(rows.schema).parquet(aside)
+            n = kept.count()
+            if n:
+                kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+            else:
+                whole.append(r["day"])
+            gone += r["count"] - n
+            _delete(spark, aside)
             break
-        left -= r["count"]
-        upto = r["s"]
-    bound = F.lit(upto).cast("timestamp_ntz") + F.expr("INTERVAL 1 SECOND") if upto is not None else F.lit(last).cast("timestamp_ntz")
-    return rows.filter(F.col("ts").isNull() | (F.col("ts") >= bound))
+        gone += r["count"]
+        whole.append(r["day"])
+    for day in whole:
+        _delete(spark, f"{path.rstrip('/')}/day={day}")
+    return gone
+
+
+def _last_day(now: str, days: int) -> dt.date:
+    return (dt.datetime.fromisoformat(now) - dt.timedelta(days=days)).date()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)

@@ -155,8 +155,8 @@ report("rollup_deliveries", _FD, lambda d: _dated(rollup.fold_deliveries(d, NOW,
 report("rollup_merge", f"""SELECT day, domain, direction, max(messages)::BIGINT AS messages, max(bytes)::BIGINT AS bytes, max(successes)::BIGINT AS successes, max(deferrals)::BIGINT AS deferrals, max(failures)::BIGINT AS failures FROM (
   SELECT day, domain, direction, messages, bytes, 0 AS successes, 0 AS deferrals, 0 AS failures FROM ({_FM}) UNION ALL SELECT day, domain, direction, 0, 0, successes, deferrals, failures FROM ({_FD})) GROUP BY 1, 2, 3""",
        lambda m, d: _dated(rollup.merge_daily(rollup.fold_messages(m, NOW, 10), rollup.fold_messages(m, NOW, 10), rollup.fold_deliveries(d, NOW, 10))), "message", "delivery")
-report("prune_oldest", f"""SELECT msg_id, ts FROM (SELECT *, max(c) OVER (PARTITION BY date_trunc('second', ts)) AS upto FROM (SELECT *, count(*) OVER (ORDER BY date_trunc('second', ts)) AS c FROM message)) WHERE NOT ({_OLD}) OR upto > 500""",
-       lambda m: rollup.prune(m, NOW, 10, 500).select("msg_id", "ts"), "message")
+report("prune_oldest", f"""SELECT msg_id, ts FROM (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, msg_id NULLS FIRST) AS n FROM message) WHERE coalesce(NOT ({_OLD}), true) OR n > 500""",
+       lambda m: rollup.prune(m, NOW, 10, 500, ("msg_id",)).select("msg_id", "ts"), "message")
 report("digest_figures", f"""SELECT 'messages out' AS figure, count(*) FILTER (direction = 'out')::DOUBLE AS value FROM message WHERE CAST(ts AS DATE) = DATE '2024-01-10'
   UNION ALL SELECT 'messages in', count(*) FILTER (direction = 'in')::DOUBLE FROM message WHERE CAST(ts AS DATE) = DATE '2024-01-10'
   UNION ALL SELECT 'attempts', count(*)::DOUBLE FROM delivery WHERE CAST(ts AS DATE) = DATE '2024-01-10' AND recipient <> '#@[]'""",
@@ -339,9 +339,13 @@ report("alias_config_fold", f"""SELECT CASE recipient_domain WHEN 'dst1.test' TH
        lambda d: R.fold_aliases(R.top_recipients(d, SINCE, UNTIL).select("recipient_domain", "attempts"), R.aliases_from_config(" DST1.test : Dst0.TEST, , x:, :y"), "recipient_domain", ["recipient_domain"], [F.negative("attempts"), F.col("recipient_domain")]), "delivery")
 report("alert_heartbeat_late", _alert("parser_stalled", "serious", "No news from the parser", "format('The last sign is {} minutes old.', a)", "FROM (SELECT date_sub('minute', max(ts) - INTERVAL 90 SECOND, TIMESTAMP '2024-02-02 00:00:00') AS a FROM ban_event) WHERE a >= 1"),
        lambda m, b: alerts.parser_stalled(m, b.select((F.col("ts") - F.expr("INTERVAL 90 SECOND")).alias("ts")), "2024-02-02 00:00:00", LIMITS), "message", "ban_event")
-report("alert_parser_state", _alert("parser_state_large", "serious", "The parser's state has grown", "format('The state of {} takes {} KB.', g, b // 1024)",
-       "FROM (SELECT concat('log', user_id % 5) AS g, (count(*) * 1024 * 1024 + user_id % 5)::BIGINT AS b FROM events GROUP BY 1, user_id % 5 ORDER BY b DESC, g LIMIT 1) WHERE b > 1024 * 1024"),
+report("alert_parser_state", _alert("parser_state_large", "serious", "The parser's state has grown", "d || '.'",
+       "FROM (SELECT string_agg(format('The state of {} takes {} KB', g, b // 1024), '; ' ORDER BY b DESC, g) AS d FROM (SELECT concat('log', user_id % 5) AS g, (count(*) * 1024 * 1024 + user_id % 5)::BIGINT AS b FROM events GROUP BY 1, user_id % 5) WHERE b > 1024 * 1024) WHERE d IS NOT NULL"),
        lambda a: alerts.parser_state_large(a.groupBy(F.expr("cast(substring(client_ip, 9) as int) % 5").alias("g")).count().selectExpr("concat('log', g) as logdir", "count * 1024 * 1024 + g as bytes"), LIMITS), "auth_event")
+report("alert_account_cracked_text", _alert("account_cracked", "critical", "A password was guessed", "d || '.'", f"""FROM (SELECT string_agg(format('{{}} logged in from {{}} after {{}} failed tries from there', user_name, client_ip, failures), '; ' ORDER BY failures DESC, user_name, client_ip) AS d FROM (
+       SELECT l.user_name, l.client_ip, count(DISTINCT f.id) AS failures FROM auth_event l JOIN auth_event f ON f.user_name = l.user_name AND f.client_ip = l.client_ip AND f.result = 'auth_failed' AND f.ts < l.ts AND f.ts > l.ts - INTERVAL 7 DAY
+       WHERE l.result = 'login' AND l.ts > TIMESTAMP '{NOW}' - INTERVAL 44640 MINUTE AND l.ts <= TIMESTAMP '{NOW}' GROUP BY 1, 2)) WHERE d IS NOT NULL"""),
+       lambda a: alerts.account_cracked(a, NOW, LIMITS), "auth_event")
 
 
 # Merges and rules that the queries above do not reach.

@@ -1,27 +1,18 @@
-"""Streams of log lines to facts: stateless parsing, minute folds with a watermark, deliveries and SMTP sessions with state.
+"""Streams of log lines to facts: stateless parsing, minute folds with a watermark, and tables that batches are merged into.
 
-A checkpoint folder takes the place of byte offsets and of the single-writer lock.
+Deliveries and SMTP sessions are in postlens.streaming.keyed. A checkpoint folder takes the place of the single-writer lock.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlens.functions import lines as L
-from postlens.functions.text import after_label, fold, tai64n
-from postlens.operators.assemble import DETAIL, SUBJECT, SUBMISSION_PORTS
-
-EXPIRES, MOST_SESSIONS = pd.Timedelta(hours=24), 5_000
-MESSAGE = "logdir string, seq long, qp long, ts timestamp, direction string, sender string, auth_user string, auth_source string, client_ip string, spam_score double, verdict string, subject string"
-DELIVERY = "logdir string, seq long, ts timestamp, msg_id long, msg_ts timestamp, route string, recipient string, result string, detail string"
+from postlens.functions.text import after_label, tai64n
 
 
 def logins(stream: DataFrame, year: Column | int, now: Column, zone: str = "UTC") -> DataFrame:
@@ -55,93 +46,6 @@ def service_minutes(smtp: DataFrame, late: str = "1 minute") -> DataFrame:
     return out.select("logdir", F.col("w.start").alias("minute"), "connects", "messages", "max_concurrency", "limit_value")
 
 
-def _deliver(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One log's lines in order; open messages and started deliveries are the state, for a day of the log's time at most."""
-    columns = [c.split()[0] for c in DELIVERY.split(", ")]
-    opened, started = map(json.loads, state.get) if state.exists else ({}, {})
-    out = []
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for r in rows.itertuples():
-        if r.kind == "info":
-            opened[str(int(r.msg_id))] = r.ts.isoformat()
-        elif r.kind == "end":
-            opened.pop(str(int(r.msg_id)), None)
-        elif r.kind == "starting":
-            started[str(int(r.delivery_id))] = [int(r.msg_id), opened.get(str(int(r.msg_id))), r.route, r.recipient, r.ts.isoformat()]
-        elif r.kind == "outcome" and (s := started.pop(str(int(r.delivery_id)), None)):
-            out.append((key[0], r.seq, r.ts, s[0], pd.Timestamp(s[1]) if s[1] else pd.NaT, s[2], s[3], r.result, r.detail[:DETAIL]))
-    oldest = (rows["ts"].max() - EXPIRES).isoformat()
-    opened = {k: t for k, t in opened.items() if t >= oldest}
-    started = {k: s for k, s in started.items() if s[4] >= oldest}
-    state.update((json.dumps(opened), json.dumps(started)))
-    yield pd.DataFrame(out, columns=columns)
-
-
-def deliveries(send: DataFrame) -> DataFrame:
-    """One row for each outcome of a started delivery, across batches. send: parse_send's columns with logdir, seq, ts.
-
-    A log is written by one process and read in order, so a log is a group; logs run side by side.
-    """
-    rows = send.filter("kind in ('info', 'end', 'starting', 'outcome')").select("logdir", "seq", "ts", "kind", "msg_id", "delivery_id", "route", "recipient", "result", "detail")
-    return rows.groupBy("logdir").applyInPandasWithState(_deliver, DELIVERY, "opened string, started string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _sessions(default_direction: str, envelope_fallback: bool):
-    columns = [c.split()[0] for c in MESSAGE.split(", ")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """One log's lines in order. The state: open sessions by process number, and the policy line not yet used."""
-        sessions, policy = map(json.loads, state.get) if state.exists else ({}, None)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
-            if r.kind == "policy":
-                policy = r.auth_user if r.authenticated else policy
-                continue
-            pid = str(int(r.pid))
-            if r.kind == "close":
-                sessions.pop(pid, None)
-            elif r.kind == "recv":
-                s, by = sessions.pop(pid, {}), policy
-                policy = None  # unused ones must not reach a later message
-                port = s.get("port")
-                direction = default_direction if port is None else "out" if port in SUBMISSION_PORTS else "in"
-                source = "policy_check" if by is not None and direction == "out" else None
-                by = by if source else None
-                if envelope_fallback and direction == "out" and source is None and r.sender:
-                    by, source = r.sender, "envelope"
-                out.append((key[0], r.seq, int(r.qp), r.ts, direction, r.sender, by, source, s.get("ip"), s.get("score"), s.get("verdict"), s.get("subject")))
-            else:
-                if pid not in sessions and len(sessions) >= MOST_SESSIONS:
-                    del sessions[next(iter(sessions))]  # the oldest: its end was never logged
-                s = sessions.setdefault(pid, {})
-                s["at"] = r.ts.isoformat()
-                if r.kind == "connect":
-                    s |= {"ip": r.client_ip, "port": int(r.local_port)}
-                else:
-                    s |= {"ip": s.get("ip") or r.client_ip or None, "score": r.spam_score, "verdict": r.verdict, "subject": r.subject[:SUBJECT]}
-        oldest = (rows["ts"].max() - EXPIRES).isoformat()
-        sessions = {k: s for k, s in sessions.items() if s["at"] >= oldest}
-        state.update((json.dumps(sessions), json.dumps(policy)))
-        yield pd.DataFrame(out, columns=columns).astype({"spam_score": "float64"})
-
-    return run
-
-
-def smtp_messages(smtp: DataFrame, default_direction: str = "in", envelope_fallback: bool = False) -> DataFrame:
-    """The stream form of assemble.smtp_messages, across batches. smtp: parse_smtp's columns with logdir, seq, ts.
-
-    At most MOST_SESSIONS sessions of a log stay open, for a day of the log's time at most.
-    """
-    rows = smtp.filter("kind in ('connect', 'scan', 'policy', 'recv', 'close')").select(
-        "logdir", "seq", "ts", "kind", "pid", "local_port", "client_ip", "spam_score", "verdict", "subject", "auth_user", "authenticated", "sender", "qp"
-    )
-    out = rows.groupBy("logdir").applyInPandasWithState(
-        _sessions(default_direction, envelope_fallback), MESSAGE, "sessions string, policy string", "append", GroupStateTimeout.NoTimeout
-    )
-    return out.withColumns({"sender": fold(F.col("sender")), "auth_user": fold(F.col("auth_user"))})
-
-
 def beat(spark: SparkSession, path: str, now: str) -> None:
     """Appends a heartbeat: a run has ended, mail or no mail."""
     spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("ts")).coalesce(1).write.mode("append").parquet(path)

@@ -1,14 +1,23 @@
-"""Streams of log files, read to their end twice with files added between."""
+"""Streams of logs, read to their end twice or more with lines added between."""
 
 import random
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import lines as L
 from postlens.operators import assemble
-from postlens.sources.logs import stream_lines
-from postlens.streaming import ingest
+from postlens.plans import alerts
+from postlens.sources.growing import follow
+from postlens.sources.logs import read_multilog, stream_lines
+from postlens.streaming import ingest, keyed
+
+
+@pytest.fixture(autouse=True)
+def two_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def put(folder, name, rows):
@@ -29,76 +38,95 @@ def test_logins_are_stored_once(spark, tmp_path):
     assert len(got) == 4 and {r.user_name for r in got} == {"u0@a.test", "u1@a.test", "u2@a.test"}
 
 
+def label(second):
+    return f"@{(1 << 62) + 10 + 1_790_000_000 + second:016x}{0:08x}"
+
+
+def add(folder, lines):
+    """Appends lines with a label each: (second, text)."""
+    folder.mkdir(parents=True, exist_ok=True)
+    with (folder / "current").open("a") as f:
+        f.writelines(f"{label(s)} {x}\n" for s, x in lines)
+
+
 def test_deliveries_over_batches(spark, tmp_path):
-    src, table, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
-    src.mkdir()
-    first = ["info msg 7: bytes 10 from <s@a.test> qp 9 uid 1", "starting delivery 1: msg 7 to remote r@b.test", "delivery 5: success: never_started/"]
-    second = ["delivery 1: deferral: later/", "end msg 7", "starting delivery 2: msg 7 to local x@a.test", "delivery 2: success: did_0+0+1/"]
-
-    def run(name, lines, start):
-        put(src, name, [f"{start + i}|{x}" for i, x in enumerate(lines)])
-        rows = stream_lines(spark, str(src)).select(
-            F.lit("send").alias("logdir"), F.split("line", "[|]")[0].cast("long").alias("seq"), F.timestamp_seconds(F.split("line", "[|]")[0].cast("long")).alias("ts"),
-            F.split("line", "[|]")[1].alias("text"),
-        )
-        ingest.store(ingest.deliveries(L.parse_send(rows)), table, mark).awaitTermination(120)
-
-    run("a", first, 100)
-    run("b", second, 200)
+    table, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run(lines):
+        add(tmp_path / "root" / "send", lines)
+        rows = ingest.labelled(follow(spark, str(tmp_path / "root"), ["send"]))
+        ingest.store(keyed.deliveries(L.parse_send(rows)), table, mark).awaitTermination(120)
+
+    run([(100, "info msg 7: bytes 10 from <s@a.test> qp 9 uid 1"), (101, "starting delivery 1: msg 7 to remote r@b.test"), (102, "delivery 5: success: never_started/")])
+    run([(200, "delivery 1: deferral: later/"), (201, "end msg 7"), (202, "starting delivery 2: msg 7 to local x@a.test"), (203, "delivery 2: success: did_0+0+1/")])
     got = sorted(spark.read.parquet(table).collect(), key=lambda r: r.seq)
-    assert [(r.seq, r.msg_id, r.route, r.result) for r in got] == [(200, 7, "remote", "deferral"), (203, 7, "local", "success")]
+    assert [(r.logdir, r.msg_id, r.route, r.result) for r in got] == [("send", 7, "remote", "deferral"), ("send", 7, "local", "success")]
     assert got[0].msg_ts is not None and got[1].msg_ts is None  # the message had ended before the second start
 
 
-def test_sessions_over_batches_equal_those_of_one_batch(spark, tmp_path):
-    r, text = random.Random(6), []
-    for _ in range(400):
+def random_sessions(seed, n):
+    r = random.Random(seed)
+    for _ in range(n):
         pid = r.randrange(12)
-        text.append(r.choice([
+        yield r.choice([
             f"tcpserver: ok {pid} mx:192.0.2.2:{r.choice([25, 587, 465])} :192.0.2.{pid}::99", f"mail recv: pid {pid} from <S{pid}@a.test> qp {r.randrange(10**6)}", f"tcpserver: end {pid} status 0",
             f"simscan:[{pid}]:SPAM ({pid}.5/12.0):0.1s:a: b:198.51.100.{pid}:s@a.test:r@b.test", f"policy_check: local U{pid}@a.test -> remote r@b.test{r.choice(['', ' (AUTHENTICATED SENDER)'])}",
-        ]))
-    src, table, mark, beats = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark"), str(tmp_path / "beats")
-    src.mkdir()
-    read = lambda lines: lines.select(
-        F.lit("smtp").alias("logdir"), F.split("line", "[|]")[0].cast("long").alias("seq"), F.timestamp_seconds(F.split("line", "[|]")[0].cast("long")).alias("ts"), F.split("line", "[|]")[1].alias("text")
-    )
-    assert ingest.beats(spark, beats) is None
-    for k, cut in enumerate((0, 130, 131, 300)):
-        end = (130, 131, 300, 400)[k]
-        put(src, f"f{k}", [f"{i}|{text[i]}" for i in range(cut, end)])
-        rows = L.parse_smtp(read(stream_lines(spark, str(src))))
-        ingest.store(ingest.smtp_messages(rows, "out", True), table, mark, ["logdir", "seq", "ts"], heartbeat=beats).awaitTermination(120)
-    columns = ["seq", "qp", "direction", "sender", "auth_user", "auth_source", "client_ip", "spam_score", "verdict", "subject"]
-    batch = assemble.smtp_messages(L.parse_smtp(read(spark.createDataFrame([(f"{i}|{x}",) for i, x in enumerate(text)], "line string"))), "out", True)
-    want = sorted(tuple(map(str, x)) for x in batch.select(columns).collect())
-    assert sorted(tuple(map(str, x)) for x in spark.read.parquet(table).select(columns).collect()) == want
-    assert ingest.beats(spark, beats).count() == 4
-
+        ])
 
-def test_open_sessions_are_bounded(monkeypatch):
-    monkeypatch.setattr(ingest, "MOST_SESSIONS", 2)
 
-    class State:
-        exists, get = False, None
+COLUMNS = ["logdir", "qp", "ts", "direction", "sender", "auth_user", "auth_source", "client_ip", "spam_score", "verdict", "subject"]
 
-        def update(self, x):
-            self.get = x
 
-    state, t = State(), pd.Timestamp("2026-09-15 10:00:00")
-    line = lambda i, kind, pid: {"seq": i, "ts": t, "kind": kind, "pid": pid, "local_port": 25, "client_ip": f"192.0.2.{pid}", "auth_user": None, "authenticated": False, "sender": "s", "qp": i}
-    rows = pd.DataFrame([line(1, "connect", 1), line(2, "connect", 2), line(3, "connect", 3), line(4, "recv", 1), line(5, "recv", 3)])
-    out = pd.concat(ingest._sessions("out", False)(("log",), iter([rows]), state))
-    assert list(out["client_ip"]) == [None, "192.0.2.3"] and list(out["direction"]) == ["out", "in"]
+def test_sessions_over_batches_equal_those_of_one_batch(spark, tmp_path):
+    """Two logs that grow; ranges of a few lines, so that policy lines are carried from one to the next."""
+    table, mark, beats = str(tmp_path / "out"), str(tmp_path / "mark"), str(tmp_path / "beats")
+    text = {"smtp": list(random_sessions(6, 300)), "other": list(random_sessions(7, 90))}
+    assert ingest.beats(spark, beats) is None
+    for k, (low, high) in enumerate([(0, 100), (100, 101), (101, 300)]):
+        for x, lines in text.items():
+            add(tmp_path / "root" / x, [(i, line) for i, line in enumerate(lines)][low:high])
+        if k == 1:
+            (tmp_path / "root" / "smtp" / "current").rename(tmp_path / "root" / "smtp" / "@1.s")
+        rows = L.parse_smtp(ingest.labelled(follow(spark, str(tmp_path / "root"), list(text), split=700)))
+        ingest.store(keyed.smtp_messages(rows, "out", True, size=500), table, mark, ["logdir", "seq", "ts"], heartbeat=beats).awaitTermination(120)
+    got = spark.read.parquet(table).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = [assemble.smtp_messages(L.parse_smtp(read_multilog(spark, str(tmp_path / "root" / x))), "out", True) for x in text]
+    assert sorted(map(str, got.select(COLUMNS).collect())) == sorted(str(r) for w in want for r in w.select(COLUMNS).collect())
+    assert ingest.beats(spark, beats).count() >= 3
+
+
+def test_state_is_forgotten_after_a_while(spark, tmp_path):
+    """By the log's own clock: a session and a delivery that end hours after their start find nothing."""
+    root = str(tmp_path / "root")
+
+    def run(name, stream):
+        ingest.store(stream, str(tmp_path / name), str(tmp_path / f"{name}-mark")).awaitTermination(120)
+        to = tmp_path / name
+        return spark.read.parquet(str(to)).collect() if any(to.rglob("*.parquet")) else []
+
+    send = lambda: keyed.deliveries(L.parse_send(ingest.labelled(follow(spark, root, ["send"]))), F.col("ts"), "1 hour")
+    smtp = lambda: keyed.smtp_messages(L.parse_smtp(ingest.labelled(follow(spark, root, ["smtp"]))), "in", False, F.col("ts"), "1 hour")
+    add(tmp_path / "root" / "send", [(0, "starting delivery 1: msg 7 to remote r@b.test"), (0, "starting delivery 2: msg 7 to remote r@b.test"), (1_800, "delivery 2: success: ok/")])
+    add(tmp_path / "root" / "smtp", [(0, "tcpserver: ok 5 mx:192.0.2.2:587 :192.0.2.9::99"), (0, "tcpserver: ok 6 mx:192.0.2.2:587 :192.0.2.9::99"), (1_800, "mail recv: pid 6 from <s@a.test> qp 1")])
+    assert [len(run("d", send())), len(run("m", smtp()))] == [1, 1]
+    add(tmp_path / "root" / "send", [(9_000, "delivery 8: success: lost/"), (9_000, "starting delivery 9: msg 7 to remote r@b.test")])
+    add(tmp_path / "root" / "smtp", [(9_000, "tcpserver: end 8 status 0"), (9_000, "mail recv: pid 9 from <s@a.test> qp 3")])
+    run("d", send()), run("m", smtp())
+    add(tmp_path / "root" / "send", [(9_001, "delivery 1: success: late/")])
+    add(tmp_path / "root" / "smtp", [(9_001, "mail recv: pid 5 from <s@a.test> qp 2")])
+    assert len(run("d", send())) == 1
+    state = keyed.state_sizes(spark, str(tmp_path / "d-mark")).collect()
+    assert [x.logdir for x in state] == ["send"] and 0 < state[0].bytes < 1_000
+    small, usual = alerts.Settings(parser_state_kb=0), alerts.Settings()
+    state = spark.createDataFrame(state, "logdir string, bytes long")
+    assert alerts.parser_state_large(state, small).count() == 1 and alerts.parser_state_large(state, usual).count() == 0
+    assert sorted((r.qp, r.direction, r.client_ip) for r in run("m", smtp())) == [(1, "out", "192.0.2.9"), (2, "in", None), (3, "in", None)]
 
 
 def test_service_minutes_keep_the_last_limit(spark, tmp_path):
-    src, table, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
-    src.mkdir()
-    put(src, "a", ["1|tcpserver: status: 3/100", "2|tcpserver: status: 2/40", "500|tcpserver: status: 1/40"])
-    rows = stream_lines(spark, str(src)).select(
-        F.lit("smtp").alias("logdir"), F.split("line", "[|]")[0].cast("long").alias("seq"), F.timestamp_seconds(F.split("line", "[|]")[0].cast("long")).alias("ts"), F.split("line", "[|]")[1].alias("text")
-    )
+    table, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    add(tmp_path / "smtp", [(1, "tcpserver: status: 3/100"), (2, "tcpserver: status: 2/40"), (500, "tcpserver: status: 1/40")])
+    rows = ingest.labelled(follow(spark, str(tmp_path / "smtp")))
     ingest.store(ingest.service_minutes(L.parse_smtp(rows)), table, mark).awaitTermination(120)
     got = spark.read.parquet(table).collect()
-    assert [(x.max_concurrency, x.limit_value) for x in got] == [(3, 40)]
+    assert [(x.logdir, x.max_concurrency, x.limit_value) for x in got] == [("smtp", 3, 40)]
