@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import decontaminate, jaccard, pii, sentencepiece, toxicity
-from postlens.llm.scratch import materialize
+from postlens.llm.scratch import discard, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)  # a stage's table is read by the next one alone
     return STAGES[-1][1](spark, docs, sf_dir)
