@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postlens.functions import lines as L
@@ -62,6 +63,11 @@ def test_deliveries_over_batches(spark, tmp_path):
     got = sorted(spark.read.parquet(table).collect(), key=lambda r: r.seq)
     assert [(r.logdir, r.msg_id, r.route, r.result) for r in got] == [("send", 7, "remote", "deferral"), ("send", 7, "local", "success")]
     assert got[0].msg_ts is not None and got[1].msg_ts is None  # the message had ended before the second start
+    run([(300, "starting delivery 3: msg 8 to local y@a.test")])
+    state = keyed.state_sizes(spark, mark).collect()
+    assert [x.logdir for x in state] == ["send"] and 0 < state[0].bytes < 1_000
+    state = spark.createDataFrame(state, "logdir string, bytes long")
+    assert alerts.parser_state_large(state, alerts.Settings(parser_state_kb=0)).count() == 1 and alerts.parser_state_large(state, alerts.Settings()).count() == 0
 
 
 def random_sessions(seed, n):
@@ -95,32 +101,52 @@ def test_sessions_over_batches_equal_those_of_one_batch(spark, tmp_path):
     assert ingest.beats(spark, beats).count() >= 3
 
 
-def test_state_is_forgotten_after_a_while(spark, tmp_path):
-    """By the log's own clock: a session and a delivery that end hours after their start find nothing."""
-    root = str(tmp_path / "root")
-
-    def run(name, stream):
-        ingest.store(stream, str(tmp_path / name), str(tmp_path / f"{name}-mark")).awaitTermination(120)
-        to = tmp_path / name
-        return spark.read.parquet(str(to)).collect() if any(to.rglob("*.parquet")) else []
-
-    send = lambda: keyed.deliveries(L.parse_send(ingest.labelled(follow(spark, root, ["send"]))), F.col("ts"), "1 hour")
-    smtp = lambda: keyed.smtp_messages(L.parse_smtp(ingest.labelled(follow(spark, root, ["smtp"]))), "in", False, F.col("ts"), "1 hour")
-    add(tmp_path / "root" / "send", [(0, "starting delivery 1: msg 7 to remote r@b.test"), (0, "starting delivery 2: msg 7 to remote r@b.test"), (1_800, "delivery 2: success: ok/")])
-    add(tmp_path / "root" / "smtp", [(0, "tcpserver: ok 5 mx:192.0.2.2:587 :192.0.2.9::99"), (0, "tcpserver: ok 6 mx:192.0.2.2:587 :192.0.2.9::99"), (1_800, "mail recv: pid 6 from <s@a.test> qp 1")])
-    assert [len(run("d", send())), len(run("m", smtp()))] == [1, 1]
-    add(tmp_path / "root" / "send", [(9_000, "delivery 8: success: lost/"), (9_000, "starting delivery 9: msg 7 to remote r@b.test")])
-    add(tmp_path / "root" / "smtp", [(9_000, "tcpserver: end 8 status 0"), (9_000, "mail recv: pid 9 from <s@a.test> qp 3")])
-    run("d", send()), run("m", smtp())
-    add(tmp_path / "root" / "send", [(9_001, "delivery 1: success: late/")])
-    add(tmp_path / "root" / "smtp", [(9_001, "mail recv: pid 5 from <s@a.test> qp 2")])
-    assert len(run("d", send())) == 1
-    state = keyed.state_sizes(spark, str(tmp_path / "d-mark")).collect()
-    assert [x.logdir for x in state] == ["send"] and 0 < state[0].bytes < 1_000
-    small, usual = alerts.Settings(parser_state_kb=0), alerts.Settings()
-    state = spark.createDataFrame(state, "logdir string, bytes long")
-    assert alerts.parser_state_large(state, small).count() == 1 and alerts.parser_state_large(state, usual).count() == 0
-    assert sorted((r.qp, r.direction, r.client_ip) for r in run("m", smtp())) == [(1, "out", "192.0.2.9"), (2, "in", None), (3, "in", None)]
+class Store:
+    """A handle of keyed state for one key, in memory."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        class Value:
+            held = None
+
+            def exists(self):
+                return self.held is not None
+
+            def get(self):
+                return self.held
+
+            def update(self, x):
+                self.held = x
+
+            def clear(self):
+                self.held = None
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_state_is_forgotten_after_a_while():
+    """A delivery that ends more than an hour after its start finds nothing, and one timer at most is set."""
+    keep = Store()
+    one = keyed.Keyed(keyed._delivery, "", 3_600_000)
+    one.init(keep)
+    line = lambda seq, hours, kind: Row(logdir="send", seq=seq, at=None, ms=int(hours * 3_600_000), us=0, kind=kind, msg_id=7, msg_us=None, route="local", recipient="r", result="success", detail="ok/")
+    feed = lambda *lines: [x.seq for x in one.handleInputRows(("send", 1), iter(lines), None)]
+    assert feed(line(2, 0.5, "outcome"), line(1, 0, "starting")) == [2] and keep.timers == set()
+    assert feed(line(3, 1, "starting")) == [] and keep.timers == {7_200_000}
+    assert feed(line(4, 1.5, "starting")) == [] and keep.timers == {9_000_000}
+    assert feed(line(5, 2.6, "outcome"), line(6, 2.7, "starting")) == [] and keep.timers == {int(3.7 * 3_600_000)}
+    assert feed(line(7, 3.7, "outcome")) == [7]
+    feed(line(8, 4, "starting"))
+    assert list(one.handleExpiredTimer(("send", 1), None, None)) == []
+    assert feed(line(9, 4.1, "outcome")) == []
 
 
 def test_service_minutes_keep_the_last_limit(spark, tmp_path):
