@@ -172,6 +172,7 @@ def test_demo_tables(spark):
     s = a.summary("2026-08-01 00:00:00", "2026-10-01 00:00:00").first()
     assert s.messages_in > s.messages_out > 100 and s.failures > 0 and s.deferrals > 0
     assert demo.tables(spark, "2026-09-15")["message"].exceptAll(t["message"]).count() == 0
+    assert all(t[x].count() > 10 for x in ("auth_event", "ban_event", "queue_minute", "service_minute"))
 
 
 def test_ranges_and_texts():
