@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlens.functions import text as T
+from postlens.operators.merge import UNKNOWN_INSTANCE
 
 BUCKETS = {
     "day": lambda ts: F.date_format(ts, "yyyy-MM-dd"),
@@ -97,7 +99,14 @@ def mailboxes(message: DataFrame, delivery: DataFrame, since: str, until: str, l
 
 
 def joined(message: DataFrame, delivery: DataFrame, how: str = "inner") -> DataFrame:
-    """Deliveries with their message instance; an unknown instance (the epoch) joins none."""
+    """Deliveries with their message instance; an unknown instance (the epoch) joins none.
+
+    The first and last instance of the deliveries, asked for beforehand, bound the messages
+    that are read: a range of deliveries may reach back some days, but not to all of history.
+    """
+    known = delivery.filter(F.col("msg_ts") > F.lit(UNKNOWN_INSTANCE).cast("timestamp_ntz"))
+    first, last = known.agg(F.min("msg_ts"), F.max("msg_ts")).first()
+    message = message.filter((F.col("queue_ts") >= F.lit(first)) & (F.col("queue_ts") <= F.lit(last)) if first else F.lit(False))
     m = message.withColumnsRenamed({"ts": "message_ts", "queue_ts": "msg_ts"})
     return delivery.join(m, ["msg_id", "msg_ts"], how)
 
@@ -145,15 +154,33 @@ def spam_per_account(message: DataFrame, delivery: DataFrame, since: str, until:
 
 
 def failure_reasons(message: DataFrame, delivery: DataFrame, since: str, until: str, limit: int = 25) -> DataFrame:
+    """Reasons with attempts, distinct messages, senders, recipients and domains, and the three first domains of either side.
+
+    Attempts are summed by reason and value first, for all kinds of values at once, so every
+    distinct count is a plain count of sums, and a hot reason is spread by its values.
+    """
     rows = joined(message, real(between(delivery, since, until)).filter("result <> 'success'"), "left")
-    rows = rows.withColumns({"cause": F.coalesce("reason", "detail"), "who": F.coalesce("auth_user", "sender")})
-    first3 = lambda c: F.array_join(F.slice(F.sort_array(F.collect_set(c)), 1, 3), ", ")
-    out = rows.groupBy("result", F.col("remote_code").alias("code"), F.col("remote_status").alias("status"), F.col("cause").alias("reason")).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_distinct("msg_id", "msg_ts").alias("messages"), F.count_distinct("who").alias("senders"),
-        F.count_distinct("recipient").alias("recipients"), F.count_distinct("recipient_domain").alias("domains"), first3("recipient_domain").alias("sample_domains"),
-        first3("sender_domain").alias("sample_senders"), F.max("ts").alias("last_seen"),
+    key = ["result", "code", "status", "reason"]
+    text = lambda c: F.col(c).cast("string")
+    values = {
+        "messages": F.concat(text("msg_id"), F.lit(" "), text("msg_ts")), "senders": F.coalesce("auth_user", "sender"), "recipients": F.col("recipient"),
+        "domains": F.col("recipient_domain"), "sender_domains": F.col("sender_domain"),
+    }
+    pairs = rows.select(
+        "result", F.col("remote_code").alias("code"), F.col("remote_status").alias("status"), F.coalesce("reason", "detail").alias("reason"), "ts",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])).alias("x"),
+    ).select(*key, "ts", "x.*")
+    sums = pairs.groupBy(*key, "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("seen"))
+    # The three first values of each of some parts of a reason's values hold the three first of all.
+    part = Window.partitionBy(*key, "kind", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(F.asc_nulls_last("value"))
+    sums = sums.withColumn("rank", F.row_number().over(part))
+    held = lambda kind: (F.col("kind") == kind) & F.col("value").isNotNull()
+    first3 = lambda kind: F.array_join(F.slice(F.sort_array(F.collect_list(F.when(held(kind) & (F.col("rank") <= 3), F.col("value")))), 1, 3), ", ")
+    out = sums.groupBy(*key).agg(
+        F.sum(F.when(F.col("kind") == "recipients", F.col("n"))).alias("attempts"), *[F.count_if(held(k)).alias(k) for k in list(values)[:4]],
+        first3("domains").alias("sample_domains"), first3("sender_domains").alias("sample_senders"), F.max("seen").alias("last_seen"),
     )
-    return out.orderBy(F.desc("attempts"), "result", "code", "status", "reason").limit(limit)
+    return out.orderBy(F.desc("attempts"), *key).limit(limit)
 
 
 def domain_flow(message: DataFrame, delivery: DataFrame, since: str, until: str, limit: int = 50) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import lines as L
-from postlens.plans import alerts, rollup
+from postlens.plans import alerts, demo, rollup
+from postlens.plans import reports as R
 
 NOW, T = "2026-10-01 12:00:00", dt.datetime(2026, 6, 1, 10)
 
@@ -106,3 +108,16 @@ def test_failures_before_a_login(spark):
     assert "Join" not in plan
     text = alerts.account_cracked(events, NOW, s).first().detail
     assert text.count("logged in from") == len(want)
+
+
+def test_reports_read_the_messages_of_their_range(spark, tmp_path):
+    """A day's deliveries bound the scan of the messages; failure reasons need no Expand and no unbounded array."""
+    for name, rows in demo.tables(spark, "2026-09-16").items():
+        rows.write.parquet(str(tmp_path / name))
+    message, delivery = (spark.read.parquet(str(tmp_path / x)) for x in ("message", "delivery"))
+    day = ("2026-09-10 00:00:00", "2026-09-11 00:00:00")
+    for report in (R.domain_flow, R.failure_reasons):
+        plan = report(message, delivery, *day)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(queue_ts,2026-09-", plan), plan
+        assert "Expand" not in plan and "collect_set" not in plan
+    assert R.domain_flow(message, delivery, "2020-01-01 00:00:00", "2020-01-02 00:00:00").count() == 0
