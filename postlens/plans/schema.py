@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,3 +32,8 @@ def conform(rows: DataFrame, table: str) -> DataFrame:
     made = {"id": F.xxhash64(*key)} if table == "auth_event" else {}
     absent = lambda f: made.get(f.name, F.lit(None))
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else absent(f)).cast(f.dataType).alias(f.name) for f in schema(table)])
+
+
+def read_stored(spark: SparkSession, table: str, *paths: str) -> DataFrame:
+    """Parquet folders of any age as one table: what an old file lacks is null, its narrower numbers are widened, columns that the table no longer has go."""
+    return spark.read.schema(schema(table)).parquet(*paths)

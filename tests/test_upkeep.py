@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import lines as L
-from postlens.plans import alerts, demo, rollup
+from postlens.plans import alerts, demo, rollup, schema
 from postlens.plans import reports as R
 
 NOW, T = "2026-10-01 12:00:00", dt.datetime(2026, 6, 1, 10)
@@ -121,3 +121,14 @@ def test_reports_read_the_messages_of_their_range(spark, tmp_path):
         assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(queue_ts,2026-09-", plan), plan
         assert "Expand" not in plan and "collect_set" not in plan
     assert R.domain_flow(message, delivery, "2020-01-01 00:00:00", "2020-01-02 00:00:00").count() == 0
+
+
+def test_stored_tables_of_any_age(spark, tmp_path):
+    """A folder with narrow numbers, a column that is gone, and without newer ones, beside a folder of today."""
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    spark.createDataFrame([(T, 5, 7, "x")], "minute timestamp_ntz, connects int, messages int, gone string").write.parquet(old)
+    now = spark.createDataFrame([(T, "smtp", 1 << 40, 2, 3, 4)], "minute timestamp_ntz, service string, connects long, messages long, max_concurrency long, limit_value long")
+    schema.conform(now, "service_minute").write.parquet(new)
+    got = schema.read_stored(spark, "service_minute", old, new)
+    assert got.schema == schema.schema("service_minute")
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[2]) == [(T, None, 5, 7, None, None), (T, "smtp", 1 << 40, 2, 3, 4)]
