@@ -4,22 +4,24 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers. Besides,
 with high recall propose spans, overlapping ones too; boosted trees judge each by its form
 and its surroundings, and spans above a threshold calibrated for their generator are added.
 The trees learn which candidates are confirmed, from features that leave out most of what the
-confirming rules test (check digits, the leading plus, endings), so they add what looks and
-stands alike. Numbers are confirmed by the base rules. These cannot confirm spelled-out
-addresses and secrets, which have strict rules of their own; what those confirm is added
-in any corpus, however few there are.
+confirming rules test (the leading plus, endings, a letter beside a digit), so they add what
+looks and stands alike; a number of a card's length that fails its check is told apart. Numbers are confirmed by the base rules; these cannot confirm spelled-out
+addresses and secrets, for which strict rules label what is certain. Rules only label: which
+candidates are added the trees decide, and each candidate is judged by trees fitted on the
+other half of the strings, so that its own confirmation is hidden from them.
 Only DataFrame functions are used, and texts are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.scratch import materialize
+from postlens.llm.scratch import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the contract's patterns with the same matches: a run of characters is
@@ -58,13 +60,13 @@ GENERATOR_MAY = {
 #: Endings of addresses that are no English words, and words before " at " that are no names.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|nl|es|pt|pl|se|fi|dk|ch|cz|hu|ro|gr|eu|ru|ua|cn|jp|kr|br|ar|mx|ca|au|nz|za|ie|il|tr|dev|app"
 NO_NAME = "us|me|him|her|them|it|one|all|out|up|now|here|online|available|visit|look|looks|looked|looking|is|are|was|were|site|page|website"
-#: Strict rules of the generators whose candidates no base rule can confirm. Plain " at " needs a spelled-out dot and
+#: Strict rules that label candidates of the generators that no base rule can confirm. Plain " at " needs a spelled-out dot and
 #: a known ending (else "us at host.com" counts); a secret's value has a letter beside a digit, and a mere key is long.
 SURE = {
     "address": lambda m: m.rlike(rf"(?i)[(\[]at[)\]]|@| at .*{DOT}") & m.rlike(rf"(?i)(?:\.|{DOT})(?:{ENDINGS})$") & ~m.rlike(rf"(?i)^(?:{NO_NAME}) at "),
     "secret": lambda m: m.rlike(r"[=:].*(?:[A-Za-z][0-9]|[0-9][A-Za-z])") & (~m.rlike("(?i)^key") | m.rlike(r"[=:] ?[\"']?[^ \"']{16}")),
 }
-FEATURES = ("generator", "digits", "length", "groups", "letters", "longest", "signs", "before", "after", "cue", "spelled")
+FEATURES = ("generator", "digits", "length", "groups", "letters", "longest", "signs", "before", "after", "cue", "spelled", "check")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -161,7 +163,7 @@ def with_base(rows: DataFrame) -> DataFrame:
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
-    """Adds candidates: array of start, end, the features by which they are judged, and whether a strict rule confirms them."""
+    """Adds candidates: array of start, end, the features by which they are judged, whether a strict rule confirms them, and the fold."""
     text = F.col("text")
     rows = rows.withColumns({f"g_{g}": matches(text, p, GENERATOR_MAY[g](text)) for g, p in GENERATORS.items()})
 
@@ -183,10 +185,13 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             char_class(F.substring(before, -1, 1)), char_class(after),
             F.when(before.rlike("(?i)call|phone|tel|fax"), 1).when(before.rlike("(?i)card|visa|pay"), 2).when(before.rlike("(?i)mail|contact"), 3)
             .when(before.rlike("(?i)token|secret|key|pass"), 4).otherwise(0),
-            F.when(m.rlike(r"[(\[]at[)\]]"), 2).when(m.contains(" at "), 1).otherwise(0) + 3 * m.rlike(DOT).cast("int"),
+            F.when(m.rlike(r"[(\[]at[)\]]"), 2).when(m.contains(" at "), 1).otherwise(0) + 3 * m.rlike(DOT).cast("int")
+            + 6 * m.rlike(f"(?i)^(?:{NO_NAME})(?: at |@)").cast("int"),
+            F.when(VALID["card"](m), 2).when(F.char_length(_digits(m)).between(12, 19), 0).otherwise(1),
         )
         sure = SURE[generator](m) if generator in SURE else F.lit(False)
-        return F.struct(start.alias("start"), end.alias("end"), F.array(*[v.cast("int") for v in values]).alias("x"), sure.alias("sure"))
+        fold = F.pmod(F.xxhash64(m), F.lit(2)).cast("int")  # by the string, so that no copy of a candidate is in the other fold
+        return F.struct(start.alias("start"), end.alias("end"), F.array(*[v.cast("int") for v in values]).alias("x"), sure.alias("sure"), fold.alias("fold"))
 
     def proposed(no: int, generator: str, parts: Column) -> Column:
         return F.transform(f"g_{generator}", lambda x: judged(x, no, generator, parts))
@@ -209,6 +214,33 @@ class Tree:
         return F.when(x[self.feature] <= self.most, self.low.column(x, result)).otherwise(self.high.column(x, result))
 
 
+@dataclass
+class Model:
+    """Boosted trees for each fold, fitted on the other one, and the generators' least steps of the score.
+
+    report tells of all candidates, each judged by trees that have not seen its string: for each
+    generator how many there are, are confirmed, are chosen, and are both.
+    """
+
+    forests: list[list[Tree]]
+    bounds: list[int | None]
+    report: dict[str, dict[str, int]]
+
+    def chooses(self, c: Column) -> Column:
+        bound = F.get(F.array(*[F.lit(b).cast("int") for b in self.bounds]), c["x"][0])
+        return F.coalesce(step(score(self.forests, c["x"], c["fold"])) >= bound, F.lit(False))
+
+
+def score(forests: list[list[Tree]], x: Column, fold: Column) -> Column:
+    first, second = (reduce(lambda a, t: a + t.column(x, lambda leaf: F.lit(float(leaf.value))), trees, F.lit(0.0)) for trees in forests)
+    return F.when(fold == 0, first).otherwise(second)
+
+
+def step(raw: Column) -> Column:
+    """The score in steps of 0.1, -100 to 100."""
+    return F.floor(F.greatest(F.least(raw, F.lit(10.0)), F.lit(-10.0)) * 10).cast("int")
+
+
 def best_split(bins: list, l2: float, least: int) -> tuple[float, int, int, float, float] | None:
     """Gain, feature, bound and the values of both sides; bins: f, v, g, h, n sorted by f, v."""
     best = None
@@ -225,15 +257,15 @@ def best_split(bins: list, l2: float, least: int) -> tuple[float, int, int, floa
     return best
 
 
-def boost(sample: DataFrame, rounds: int = 8, depth: int = 2, rate: float = 0.5, l2: float = 1.0, least: int = 5) -> list[Tree]:
-    """Boosted trees for the logistic loss; sample: x (array of small integers), y (0 or 1).
+def boost(sample: DataFrame, rounds: int = 10, depth: int = 2, rate: float = 0.5, l2: float = 1.0, least: int = 3) -> list[list[Tree]]:
+    """Boosted trees for the logistic loss, for each fold from the rows of the other; sample: x (array of small integers), y, fold (0 or 1).
 
-    Spark sums gradients by node, feature and value; the driver sees these sums alone, at
-    most nodes x features x 61 rows, and picks the splits.
+    Spark sums gradients by node, feature and value, for both folds in one job; the driver sees
+    these sums alone, at most nodes x features x 61 rows, and picks the splits.
     """
-    trees = [Tree(0.0)]
+    forests: list[list[Tree]] = [[], []]
     for _ in range(rounds):
-        root = Tree(0.0)
+        roots = [Tree(0.0), Tree(0.0)]
         for _ in range(depth):
             leaves: list[Tree] = []
 
@@ -241,40 +273,69 @@ def boost(sample: DataFrame, rounds: int = 8, depth: int = 2, rate: float = 0.5,
                 leaves.append(t)
                 return F.lit(len(leaves) - 1)
 
-            node = root.column(F.col("x"), number)
-            p = 1 / (1 + F.exp(-raw_score(trees, F.col("x"))))
+            nodes = [r.column(F.col("x"), number) for r in roots]
+            node = F.when(F.col("fold") == 1, nodes[0]).otherwise(nodes[1])
+            p = 1 / (1 + F.exp(-score(forests, F.col("x"), 1 - F.col("fold"))))
             bins = sample.select(node.alias("node"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"), F.posexplode("x").alias("f", "v"))
             bins = bins.groupBy("node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
             bins = sorted(bins.collect(), key=lambda b: (b.node, b.f, b.v))
             for i, leaf in enumerate(leaves):
                 if (s := best_split([b for b in bins if b.node == i], l2, least)) and s[0] > 1e-6:
                     leaf.feature, leaf.most, leaf.low, leaf.high = s[1], s[2], Tree(rate * s[3]), Tree(rate * s[4])
-        trees.append(root)
-    return trees
+        for trees, root in zip(forests, roots):
+            trees.append(root)
+    return forests
 
 
-def raw_score(trees: list[Tree], x: Column) -> Column:
-    return reduce(lambda a, t: a + t.column(x, lambda leaf: F.lit(float(leaf.value))), trees, F.lit(0.0))
+def thresholds(counts: list, precision: float, prior: float) -> list[int | None]:
+    """For each generator the lowest step of the score from which on its confirmed share is at least ``precision``.
+
+    The share of few candidates is drawn towards that of all generators from the same step on,
+    which counts as ``prior`` candidates more. None where no step reaches it. counts: g, s, y, n.
+    """
+    out: list[int | None] = [None] * len(GENERATORS)
+    good, total = [0] * len(GENERATORS), [0] * len(GENERATORS)
+    for s in sorted({r.s for r in counts}, reverse=True):
+        for r in counts:
+            if r.s == s:
+                good[r.g], total[r.g] = good[r.g] + r.y, total[r.g] + r.n
+        pooled = sum(good) / sum(total)
+        for g in range(len(GENERATORS)):
+            if good[g] + prior * pooled >= precision * (total[g] + prior):
+                out[g] = s
+    return out
 
 
-def calibrate(candidates: DataFrame, trees: list[Tree], precision: float, least: int) -> list[float | None]:
-    """For each generator the lowest score above which the share of confirmed spans is at least ``precision``.
+def draw(candidates: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` candidates, the same share for each generator: those with the smallest hashes.
 
-    None where no score has ``least`` spans above it. Spark counts all candidates by score in
-    steps of 0.1; the driver sees at most generators x 201 rows.
+    The hashes are cut by the generators' counts before anything is sorted.
     """
-    steps = F.floor(F.greatest(F.least(raw_score(trees, F.col("x")), F.lit(10.0)), F.lit(-10.0)) * 10).cast("int")
-    counts = candidates.groupBy(F.col("x")[0].alias("g"), steps.alias("s")).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
-    out: list[float | None] = []
-    for g in range(len(GENERATORS)):
-        good = total = 0
-        best = None
-        for r in sorted((r for r in counts if r.g == g), key=lambda r: -r.s):
-            good, total = good + r.y, total + r.n
-            if total >= least and good >= precision * total:
-                best = r.s / 10
-        out.append(best)
-    return out
+    share = sample // len(GENERATORS)
+    counts = {r.g: r.n for r in candidates.groupBy(F.col("x")[0].alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = 1 << 30
+    most = F.array(*[F.lit(min(scale, 2 * share * scale // counts.get(g, 1) + 1)) for g in range(len(GENERATORS))])
+    near = candidates.filter(F.pmod("o", F.lit(scale)) < F.get(most, F.col("x")[0]))
+    order = Window.partitionBy(F.col("x")[0]).orderBy(F.pmod("o", F.lit(scale)), "o", "x", "y")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= share).select("x", "y", "fold")
+
+
+def fit(candidates: DataFrame, sample: int = 20_000, precision: float = 0.95, prior: float = 10.0) -> Model:
+    """Trees from at most ``sample`` of the candidates (o, x, y, fold), thresholds from all; chooses nothing where a fold has only one sort."""
+    train = materialize(draw(candidates, sample))
+    sorts = train.select("fold", "y").distinct().count()
+    forests = boost(train) if sorts == 4 else [[], []]
+    discard(train)
+    x = F.col("x")
+    counts = candidates.groupBy(x[0].alias("g"), step(score(forests, x, F.col("fold"))).alias("s")).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    counts = counts.collect()  # at most generators x 201 rows
+    bounds = thresholds(counts, precision, prior) if sorts == 4 else [None] * len(GENERATORS)
+    report = {}
+    for g, name in enumerate(GENERATORS):
+        mine = [r for r in counts if r.g == g]
+        above = [r for r in mine if bounds[g] is not None and r.s >= bounds[g]]
+        report[name] = {"candidates": sum(r.n for r in mine), "confirmed": sum(r.y for r in mine), "chosen": sum(r.n for r in above), "both": sum(r.y for r in above)}
+    return Model(forests, bounds, report)
 
 
 def _reach(spans: Column) -> Column:
@@ -295,49 +356,56 @@ def _overlaps(c: Column, spans: Column, reach: Column) -> Column:
     return F.coalesce(F.get(reach, before - 1) > c["start"], F.lit(False))
 
 
-def find_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, precision: float = 0.95, least: int = 50
-) -> DataFrame:
-    """The rows of docs with two more columns: base and spans, arrays of start, order, end, kind in order.
-
-    spans holds the base spans and the added ones (kinds: the generators' names), which
-    overlap no base span: those that a strict rule of SURE confirms, and those that the model
-    likes. Texts of any length are read whole. The trees are fitted on half of at most ``sample`` candidates, those with the
-    smallest hash of id and place; the thresholds come from all candidates. With too few or
-    only one sort of candidates the model adds nothing. Null and empty texts have no spans; repeated rows get equal spans; an empty table gives no rows; columns of
-    docs named like the new ones are replaced.
-    """
+def judged_rows(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """A written table of row (the columns to keep), base and labelled candidates: all that texts are read for."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     rows = with_base(rows)
     rows = with_candidates(rows.withColumn("base", F.array_sort(F.concat(*KINDS))).drop(*KINDS))
-    # Candidates and base spans do not depend on the row's other columns.
+
     def labelled(c: Column, reach: Column) -> Column:
-        y = (_overlaps(c, F.col("base"), reach) | c["sure"]).cast("int")
-        return F.struct(F.xxhash64("id", c["start"], c["end"]).alias("o"), c["x"].alias("x"), y.alias("y"))
+        return let(_overlaps(c, F.col("base"), reach), lambda hit: F.struct(
+            F.xxhash64("id", c["start"], c["end"]).alias("o"), *[c[k].alias(k) for k in ("start", "end", "x", "fold")],
+            hit.alias("hit"), (hit | c["sure"]).cast("int").alias("y"),
+        ))
 
     labels = let(_reach(F.col("base")), lambda reach: F.transform("candidates", lambda c: labelled(c, reach)))
-    every = materialize(rows.select(F.inline(labels)))
-    train = materialize(every.orderBy("o", "x").limit(sample)).filter("o % 2 = 0")
-    kinds = {r.y for r in train.select("y").distinct().collect()}
-    trees, bounds = [], []
-    if len(kinds) == 2:
-        trees = boost(train)
-        bounds = calibrate(every, trees, precision, least)
-
-    def chosen(c: Column, reach: Column) -> Column:
-        above = [(c["x"][0] == g) & (raw_score(trees, c["x"]) >= b) for g, b in enumerate(bounds) if b is not None]
-        return reduce(lambda p, q: p | q, above, c["sure"]) & ~_overlaps(c, F.col("base"), reach)
+    return materialize(rows.select("row", "base", labels.alias("candidates")))
+
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+    """The model of a corpus, for texts of others; options: those of fit."""
+    rows = judged_rows(docs, id_col, text_col, [id_col])
+    model = fit(rows.select(F.inline("candidates")), **options)
+    discard(rows)
+    return model
+
+
+def find_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: Model | None = None, **options
+) -> DataFrame:
+    """The rows of docs (or the columns of them to ``keep``) with two more: base and spans, arrays of start, order, end, kind in order.
+
+    spans holds the base spans and the added ones (kinds: the generators' names), which
+    overlap no base span and which the trees choose. Texts of any length are read whole, and
+    once: what is found and kept goes to a table below spark.checkpoint.dir that the result reads.
+    Without a model (see learn) one is fitted on docs; options: those of fit. With so few
+    candidates that a fold has only one sort, it adds nothing. Null and empty texts have no
+    spans; repeated rows get equal spans; an empty table gives no rows; columns of docs named
+    like the new ones are replaced.
+    """
+    keep = docs.columns if keep is None else keep
+    rows = judged_rows(docs, id_col, text_col, keep)
+    model = fit(rows.select(F.inline("candidates")), **options) if model is None else model
     names = F.array(*[F.lit(g) for g in GENERATORS])
     added = F.transform(
-        let(_reach(F.col("base")), lambda reach: F.filter("candidates", lambda c: chosen(c, reach))),
+        F.filter("candidates", lambda c: ~c["hit"] & model.chooses(c)),
         lambda c: F.struct(
             c["start"].alias("start"), (F.lit(len(KINDS)) + c["x"][0]).alias("order"), c["end"].alias("end"), names[c["x"][0]].alias("kind")
         ),
     )
     out = rows.select("row", "base", F.array_sort(F.concat("base", added)).alias("spans"))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep if c not in ("base", "spans")], "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -346,7 +414,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the texts' spans replaced by [KIND]; overlapping spans become one, named by the first. Null texts stay null."""
-    found = find_spans(docs.select(*[c for c in docs.columns]), id_col, text_col, **options)
+    found = find_spans(docs, id_col, text_col, **options)
     text, spans = F.col(text_col), F.col("spans")
 
     def runs(reach: Column) -> Column:
@@ -366,7 +434,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = find_spans(docs)
+    out = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -82,13 +83,110 @@ def test_repeated_null_and_no_rows(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def spelled_corpus(n):
+    """Secrets and spelled-out addresses beside what only looks like them."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(4, 9)))
+    forms = [
+        lambda: f"the api_key={''.join(r.choice('abXY') + r.choice('0123456789') for _ in range(6))} leaked",
+        lambda: f"the {r.choice(['token', 'password'])}: {r.choice(['something', 'whatever', 'unlimited'])} else",
+        lambda: f"write to {word()}.{word()} at {word()} dot {word()} dot {r.choice(['org', 'com'])} today",
+        lambda: f"or {word()} [at] {word()}.{r.choice(['org', 'com'])}, thanks",
+        lambda: f"visit {r.choice(['us', 'me', 'them'])} at {word()}.com or {r.choice(['us', 'me'])} at {word()} dot com",
+    ]
+    return [(100 + i, forms[i % len(forms)]()) for i in range(n)]
+
+
 def test_secrets_and_spelled_out_addresses(spark):
+    """The model of a corpus judges texts of another table, and of its own."""
     rows = [(1, "the api_key=9fQ2x7Lm4Zt8 leaked"), (2, "write to jane.roe at mail dot example dot org today"), (3, "or joe [at] example.com, thanks"),
             (4, "he looked at the dot product, and the password: something else"), (5, "visit us at example.com or us at example dot com")]
+    kind = "doc_id long, text string"
+    model = pii.learn(spark.createDataFrame(spelled_corpus(400), kind))
+    for docs, given in ((rows, model), (rows + spelled_corpus(400), None)):
+        got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, kind), model=given).collect()}
+        assert got[1] == "the [SECRET] leaked" and got[2] == "write to [ADDRESS] today" and got[3] == "or [ADDRESS], thanks"
+        assert got[4] == rows[3][1] and got[5] == rows[4][1]
+
+
+def test_strict_rules_alone_add_nothing(spark):
+    """One secret is no corpus to learn from; without trees only base spans stand."""
+    docs = spark.createDataFrame([(1, "the api_key=9fQ2x7Lm4Zt8 leaked, a@b.cc")], "doc_id long, text string")
+    assert [x.kind for x in pii.find_spans(docs).first().spans] == ["email"]
+
+
+def brute_forest(rows, rounds=10, depth=2, rate=0.5, l2=1.0, least=3):
+    """Scores of all rows by trees of the rows for fit; rows: (x, y, for fit)."""
+    raw = [0.0] * len(rows)
+    for _ in range(rounds):
+        g = [y - 1 / (1 + math.exp(-s)) for (_, y, _), s in zip(rows, raw)]
+        h = [1 / (1 + math.exp(-s)) * (1 - 1 / (1 + math.exp(-s))) for s in raw]
+        nodes = [(list(range(len(rows))), 0.0)]
+        for _ in range(depth):
+            after = []
+            for inside, value in nodes:
+                fit = [i for i in inside if rows[i][2]]
+                best = None
+                for f in range(len(rows[0][0])):
+                    for v in sorted({rows[i][0][f] for i in fit})[:-1]:
+                        sides = [[i for i in fit if rows[i][0][f] <= v], [i for i in fit if rows[i][0][f] > v]]
+                        if min(map(len, sides)) < least:
+                            continue
+                        sums = [(sum(g[i] for i in side), sum(h[i] for i in side)) for side in sides]
+                        gain = sum(a * a / (b + l2) for a, b in sums) - sum(a for a, _ in sums) ** 2 / (sum(b for _, b in sums) + l2)
+                        if best is None or gain > best[0] + 1e-9:
+                            best = (gain, f, v, [rate * a / (b + l2) for a, b in sums])
+                if best is None or best[0] <= 1e-6:
+                    after.append((inside, value))
+                    continue
+                _, f, v, values = best
+                after.append(([i for i in inside if rows[i][0][f] <= v], values[0]))
+                after.append(([i for i in inside if rows[i][0][f] > v], values[1]))
+            nodes = after
+        for inside, value in nodes:
+            for i in inside:
+                raw[i] += value
+    return raw
+
+
+def test_trees_scores_thresholds_and_added_spans_against_python(spark):
+    r = random.Random(21)
+    rows = spelled_corpus(150)
+    rows += [(1000 + i, f"call {r.choice(['+1', '1', '', '+'])} ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)} or {r.randint(1, 10**16)} x") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert got[1] == "the [SECRET] leaked" and got[2] == "write to [ADDRESS] today" and got[3] == "or [ADDRESS], thanks"
-    assert got[4] == rows[3][1] and got[5] == rows[4][1]
+    table = pii.judged_rows(docs, "doc_id", "text", ["doc_id"])
+    model = pii.fit(table.select(F.inline("candidates")), precision=0.9, prior=4.0)
+    c = table.select("row.doc_id", F.inline("candidates"))
+    c = c.withColumn("s", pii.score(model.forests, F.col("x"), F.col("fold"))).withColumn("step", pii.step(F.col("s"))).collect()
+    want = [None] * len(c)
+    for fold in (0, 1):
+        raw = brute_forest([(x.x, x.y, x.fold != fold) for x in c])
+        want = [s if x.fold == fold else w for x, s, w in zip(c, raw, want)]
+    assert all(abs(x.s - w) < 1e-6 for x, w in zip(c, want)) and len({round(w, 3) for w in want}) > 10
+    bounds = []
+    for g in range(len(pii.GENERATORS)):
+        good = None
+        for least in sorted({x.step for x in c}):
+            every, mine = [x for x in c if x.step >= least], [x for x in c if x.step >= least and x.x[0] == g]
+            share = (sum(x.y for x in mine) + 4.0 * sum(x.y for x in every) / len(every)) / (len(mine) + 4.0)
+            if share >= 0.9 and good is None:
+                good = least
+        bounds.append(good)
+    assert model.bounds == bounds and any(b is not None for b in bounds)
+    names = list(pii.GENERATORS)
+    added = {(x.doc_id, x.start, x.end, names[x.x[0]]) for x in c if bounds[x.x[0]] is not None and x.step >= bounds[x.x[0]] and not x.hit}
+    got = pii.find_spans(docs, precision=0.9, prior=4.0).select("doc_id", F.inline("spans")).filter(~F.col("kind").isin(*pii.KINDS)).collect()
+    assert {(x.doc_id, x.start, x.end, x.kind) for x in got} == added and added
+    for g, name in enumerate(names):
+        mine = [x for x in c if x.x[0] == g]
+        assert (model.report[name]["candidates"], model.report[name]["confirmed"]) == (len(mine), sum(x.y for x in mine))
+
+
+def test_draws_the_same_share_of_each_generator(spark):
+    rows = [(i, "ring 12-34-56-78 now" if i % 50 else "token=a1b2c3d4e5") for i in range(2000)]
+    table = pii.judged_rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", ["doc_id"])
+    got = pii.draw(table.select(F.inline("candidates")), 400).groupBy(F.col("x")[0].alias("g")).count().collect()
+    assert {r.g: r["count"] for r in got} == {0: 100, 1: 100, 3: 40}
 
 
 def test_learns_secrets_from_confirmed_ones(spark):
