@@ -291,11 +291,13 @@ def thresholds(counts: list, precision: float, prior: float) -> list[int | None]
     """For each generator the lowest step of the score from which on its confirmed share is at least ``precision``.
 
     The share of few candidates is drawn towards that of all generators from the same step on,
-    which counts as ``prior`` candidates more. None where no step reaches it. counts: g, s, y, n.
+    which counts as ``prior`` candidates more. Steps below even odds (0) don't count: what the
+    trees hold unlikely is not let in by a share that others earn. None where no step reaches
+    it. counts: g, s, y, n.
     """
     out: list[int | None] = [None] * len(GENERATORS)
     good, total = [0] * len(GENERATORS), [0] * len(GENERATORS)
-    for s in sorted({r.s for r in counts}, reverse=True):
+    for s in sorted({r.s for r in counts if r.s >= 0}, reverse=True):
         for r in counts:
             if r.s == s:
                 good[r.g], total[r.g] = good[r.g] + r.y, total[r.g] + r.n
