@@ -134,6 +134,8 @@ def settle(aside: Aside, rows: DataFrame, seconds: int, size: int) -> DataFrame:
     the end into one; so the work is bounded and the result exact in each case.
     """
     first = aside.write(_matched(slices(rows, seconds, size), seconds))
+    if gone(first, seconds, size).isEmpty():  # most records: no match reaches over a border
+        return first
     pairs, seen, last = first, None, None
     while True:
         now = aside.write(gone(pairs, seconds, size))
@@ -142,7 +144,7 @@ def settle(aside: Aside, rows: DataFrame, seconds: int, size: int) -> DataFrame:
         n = wrong.count()
         if not n:
             return pairs
-        if seen is None:  # most corpora never come here: no island reaches over a border
+        if seen is None:
             long = now.select("sender", "island").distinct()
             rows = aside.write(rows.join(long, ["sender", "island"], "left_semi"))
         elif 2 * n > last:
@@ -154,11 +156,11 @@ def settle(aside: Aside, rows: DataFrame, seconds: int, size: int) -> DataFrame:
         seen, last = now, n
 
 
-def correlate(smtp: DataFrame, queue: DataFrame, seconds: int = SECONDS, size: int = 12) -> DataFrame:
+def correlate(smtp: DataFrame, queue: DataFrame, seconds: int = SECONDS, size: int = 720) -> DataFrame:
     """sender, queue_qp, queue_ts, qp, ts of the matched pairs, one to one.
 
     Equal distances go to the earlier record, equal times to the smaller number. Islands are
-    matched in slices of ``size`` times the seconds, 2 at least. The pairs are a table below
+    matched in slices of ``size`` times the seconds, 2 at least: an hour, unless set otherwise. The pairs are a table below
     spark.checkpoint.dir; nothing else that is written on the way stays.
     """
     rows = islands(smtp.filter("sender is not null"), queue.filter("sender is not null"), seconds)
