@@ -94,6 +94,7 @@ def _segments(shared, gap: int):
         if held:
             yield from rows(segment, pd.concat(held))
         del held
+        jaccard.powers.cache_clear()
         give_back()
 
     return run

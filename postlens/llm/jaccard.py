@@ -176,6 +176,7 @@ def _profiles(size: int):
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = c >= max(4, len(sets) // 500)
             yield pd.DataFrame({"uid": None, "doc_id": None, "n": None, "sid": None, "sig": None, "h": h[often].view(np.int64), "c": c[often]})
+        powers.cache_clear()
         give_back()
 
     return run
@@ -220,6 +221,7 @@ def _postings(shared, size: int, percent: int):
                     "h": h.view(np.int64), "salt": salt, "sid": sid,
                     "np": np.repeat(np.array(ns, np.int64), at) * PACK + pos,
                 })
+        powers.cache_clear()
         give_back()
 
     return run

@@ -18,7 +18,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +28,7 @@ from postlens.llm.scratch import give_back, small_batches
 
 MARK = "▁"
 #: Characters that are encoded at once, and the longest part that is filled side by side with others.
-SLICE, LONGEST = 1 << 19, 64
+SLICE, LONGEST = 1 << 18, 64
 #: Pair tests kept by a Python worker, in a table of SLOTS numbers (8 MB), and those of longer parts.
 MOST_PAIRS, SLOTS, MOST_LONG = 500_000, 1 << 20, 50_000
 
@@ -95,10 +94,6 @@ class Table:
         ends = "" if any("\n" in p for p in self.ids) else "\n"
         self.ends = ord(ends) if ends else None
         self.cut = re.compile(f"(?<=[^{MARK}]){MARK}" + (f"|{ends}" if ends else ""))
-        self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
         self.long_pairs: dict[tuple[str, str], bool] = {}
         self._number(len(proto.pieces))
         text = {i: p.piece.replace(MARK, " ").encode() for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
@@ -112,7 +107,8 @@ class Table:
         names = [p for p, _ in sorted(self.ids.items(), key=lambda x: x[1])]
         letters = {c: k for k, c in enumerate(sorted({c for p in names if len(p) > 1 for c in p}), 1)}
         self.none, self.width = none, len(letters) + 1
-        self.kind, self.alone = np.zeros(0x110000, np.uint16), np.full(0x110000, none, np.int32)
+        self.top = max(map(ord, {c for p in names for c in p})) + 1  # stands for all characters from here on
+        self.kind, self.alone = np.zeros(self.top + 1, np.uint16), np.full(self.top + 1, none, np.int32)
         for c, k in letters.items():
             self.kind[ord(c)] = k
         for p in names:
@@ -120,7 +116,11 @@ class Table:
                 self.alone[ord(p)] = self.ids[p]
         begins = sorted({p[:k] for p in names for k in range(len(p) + 1) if len(p) > 1 or p in letters}, key=len)
         state = {p: i for i, p in enumerate(begins)}
-        self.next = np.zeros((len(begins), self.width), np.uint16 if len(begins) < 1 << 16 else np.int32)
+        # A state that no piece goes on from shares the row of the longest ending that one goes on from.
+        inner = sorted({state[p[:-1]] for p in begins[1:]})
+        row = np.full(len(begins), -1, np.int32)
+        row[inner] = np.arange(len(inner))
+        steps = np.zeros((len(inner), self.width), np.uint16 if len(begins) < 1 << 16 else np.int32)
         self.longest, self.shorter = np.full(len(begins), none, np.int32), np.full(none + 1, none, np.int32)
         self.size = np.ones(none + 1, np.int32)
         fail = np.zeros(len(begins), np.int64)
@@ -129,19 +129,23 @@ class Table:
             to = np.array([state[p] for p in level])
             before, letter = np.array([state[p[:-1]] for p in level]), np.array([letters[p[-1]] for p in level])
             if size > 1:
-                fail[to] = self.next[fail[before], letter]
-            self.next[before, letter] = to
+                fail[to] = steps[row[fail[before]], letter]
+            steps[row[before], letter] = to
             self.longest[to] = self.longest[fail[to]]
             for p, i in zip(level, to.tolist(), strict=True):
                 if (name := self.ids.get(p)) is not None:
                     self.shorter[name], self.longest[i], self.size[name] = self.longest[i], name, size
             # What does not go on from here goes on from the longest ending that is a beginning.
             # All states of fewer characters are complete by now; these get their own steps with the next level.
-            self.next[to] = self.next[fail[to]]
-        self.next = self.next.ravel()
-        by_id = {i: p for p, i in self.ids.items()} | {none: ""}
+            own = row[to] >= 0
+            steps[row[to[own]]] = steps[row[fail[to[own]]]]
+            row[to[~own]] = row[fail[to[~own]]]
+        self.next, self.row = steps.ravel(), row * self.width
+        self.name = [""] * (none + 1)
+        for p, i in self.ids.items():
+            self.name[i] = p
         # What is no piece merges with nothing, as if the part began after it.
-        self.together = Pairs(lambda a, b: b == none or self._compatible(by_id[a], by_id[b]), none + 1)
+        self.together = Pairs(lambda a, b: b == none or self._compatible(self.name[a], self.name[b]), none + 1)
         self.byte_ids = np.array([self.byte[b] for b in range(256)], np.uint32)
 
     def merged(self, text: str) -> list[str]:
@@ -172,17 +176,15 @@ class Table:
 
     def tokens(self, part: str) -> list[str]:
         """The tokens of a part, from the table of each prefix's last token."""
-        ending: list[list[str]] = [[] for _ in range(len(part) + 1)]
-        for end, piece in self.automaton.iter(part):
-            ending[end + 1].append(piece)
-        last = [""]
-        for end in range(1, len(part) + 1):
-            for piece in ending[end]:
-                if self.compatible(last[end - len(piece)], piece):
-                    last.append(piece)
-                    break
-            else:  # a character that is no piece, spelled in bytes
-                last.append(part[end - 1])
+        last, state = [""], 0
+        for end, c in enumerate(part, 1):
+            code = min(ord(c), self.top)
+            kind = int(self.kind[code])
+            state = int(self.next[int(self.row[state]) + kind])
+            piece = int(self.longest[state]) if kind else int(self.alone[code])
+            while piece != self.none and not self.compatible(last[end - int(self.size[piece])], self.name[piece]):
+                piece = int(self.shorter[piece])
+            last.append(self.name[piece] or c)  # a character that is no piece is spelled in bytes
         out, end = [], len(part)
         while end:
             out.append(last[end])
@@ -194,15 +196,15 @@ class Table:
         order = np.argsort(-size, kind="stable")
         start, size = start[order].astype(np.int64), size[order].astype(np.int64)
         base = np.cumsum(size + 1) - size - 1  # of each part's prefixes, the empty one first
-        last, state = np.full(int((size + 1).sum()), self.none, np.int32), np.zeros(len(size), np.int64)
-        kind = self.kind[codes]
+        last, state = np.full(int((size + 1).sum()), self.none, np.int32), np.zeros(len(size), self.next.dtype)
+        kind = self.kind[np.minimum(codes, self.top)]
         apart = not kind.all()
         for j, n in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):  # n parts are longer than j
             letter = kind[start[:n] + j]
-            state = self.next[state[:n] * self.width + letter].astype(np.int64)
+            state = self.next[self.row[state[:n]] + letter]
             piece = self.longest[state]
             if apart and len(odd := np.flatnonzero(letter == 0)):
-                piece[odd] = self.alone[codes[start[odd] + j]]
+                piece[odd] = self.alone[np.minimum(codes[start[odd] + j], self.top)]
             prefix = base[:n] + j + 1
             wrong = np.flatnonzero(~self.together(last[prefix - self.size[piece]], piece))
             while len(wrong):
@@ -300,6 +302,7 @@ def table(shared) -> Table:
     model = shared.value
     if (key := hash(model)) not in _tables:
         _tables[key] = Table(model)
+        give_back()
     return _tables[key]
 
 

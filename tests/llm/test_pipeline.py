@@ -1,11 +1,14 @@
 """The stages of the pipeline against plain Python on a small folder of tables."""
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import sentencepiece
 
 import corpus_pipeline
+from postlens.llm import decontaminate, jaccard
 from postlens.llm import sentencepiece as sp
 
 
@@ -42,3 +45,15 @@ def test_stages_keep_columns(spark, tmp_path):
         assert out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_workers_keep_little_between_stages(monkeypatch):
+    """Tasks give back their tables of powers, and the encoder's tables take less than 30 MB in all."""
+    rows = pd.DataFrame({"uid": [1], "doc_id": ["1"], "text": ["one two three four five six"]})
+    assert len(list(jaccard._profiles(5)(iter([rows])))) == 2 and jaccard.powers.cache_info().currsize == 0
+    task = SimpleNamespace(partitionId=lambda: 0)
+    monkeypatch.setattr(decontaminate, "TaskContext", SimpleNamespace(get=lambda: task))
+    assert len(list(decontaminate._segments(None, 20)(iter([rows])))) == 2 and jaccard.powers.cache_info().currsize == 0
+    table = sp.Table(sp.load_model(sp.model_path()))
+    held = [x for o in (table, table.together) for x in vars(o).values() if isinstance(x, np.ndarray)]
+    assert 1_000_000 < sum(x.nbytes for x in held) < 30_000_000
